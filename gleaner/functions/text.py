@@ -19,22 +19,27 @@ def as_text(c: Column) -> Column:
 def double_text(c: Column) -> Column:
     """Print a double in full: no exponent, and no `.0` on whole numbers; null gives ''."""
     s = c.cast("string")
-    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    whole = F.regexp_extract(s, r"^-?(\d+)", 1)
-    part = F.regexp_replace(F.regexp_extract(s, r"\.(\d+)", 1), "0+$", "")
-    exp = F.coalesce(F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    digits = F.concat(whole, part)
-    shifted_up = F.when(
-        exp >= F.length(part), F.concat(digits, F.repeat(F.lit("0"), exp - F.length(part)))
-    ).otherwise(F.concat(F.substr(digits, F.lit(1), exp + 1), F.lit("."), F.substr(digits, exp + 2)))
-    shifted_down = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), F.regexp_replace(digits, "0+$", ""))
-    plain = F.concat(whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise(F.lit("")))
+    plain = F.when(s.endswith(".0"), F.left(s, F.length(s) - 2)).otherwise(s)
     return (
         F.when(c.isNull(), F.lit(""))
         .when(F.isnan(c), F.lit("NaN"))
         .when(F.abs(c) == float("inf"), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .otherwise(F.concat(sign, F.when(exp > 0, shifted_up).when(exp < 0, shifted_down).otherwise(plain)))
+        .when(F.contains(s, F.lit("E")), _without_exponent(s))
+        .otherwise(plain)
+    )
+
+
+def _without_exponent(s: Column) -> Column:
+    """`-1.25E3` as `-1250`: the digits moved past the point, or zeros put before them."""
+    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    exp = F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int")
+    digits = F.rtrim(F.regexp_replace(F.split_part(s, F.lit("E"), F.lit(1)), r"[-.]", ""), F.lit("0"))
+    size = F.length(digits)
+    up = F.when(size <= exp + 1, F.rpad(digits, exp + 1, "0")).otherwise(
+        F.concat(F.left(digits, exp + 1), F.lit("."), F.substr(digits, exp + 2))
     )
+    down = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    return F.concat(sign, F.when(exp >= 0, up).otherwise(down))
 
 
 def lower(c: Column) -> Column:

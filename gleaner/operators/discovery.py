@@ -68,9 +68,20 @@ def keyset_page(rows: DataFrame, by: str, ref: str, cursor: tuple | None, limit:
             ordered = rows.filter((F.col(by) < value) | ((F.col(by) == value) & (F.col(ref) > last)))
     top = ordered.orderBy(F.desc(by), F.asc(ref)).limit(limit + 1)
     page = top.orderBy(F.desc(by), F.asc(ref)).limit(limit)
-    more = top.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
-    end = page.agg(F.min_by(F.struct(by, ref), F.struct(F.col(by), -F.col(ref))).alias("c"))
-    return page, more.join(end).select("c.*")
+    # At most limit + 1 rows: the last of the page is the cursor if one more follows.
+    seen = F.array_sort(F.collect_list(F.struct(F.col(by).alias("by"), F.col(ref).alias("ref"))), _newest_first)
+    cursor_row = top.agg(seen.alias("s")).filter(F.size("s") > limit).select(F.get("s", F.lit(limit - 1)).alias("c"))
+    return page, cursor_row.select(F.col("c.by").alias(by), F.col("c.ref").alias(ref))
+
+
+def _newest_first(a: Column, b: Column) -> Column:
+    return (
+        F.when(a["by"] > b["by"], -1)
+        .when(a["by"] < b["by"], 1)
+        .when(a["ref"] < b["ref"], -1)
+        .when(a["ref"] > b["ref"], 1)
+        .otherwise(0)
+    )
 
 
 def roles(pins: DataFrame, inputs: DataFrame, outputs: DataFrame, key: Sequence[str]) -> DataFrame:

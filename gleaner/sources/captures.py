@@ -37,9 +37,9 @@ def read_captures(spark: SparkSession, path: str, strict: bool = True) -> DataFr
         return spark.createDataFrame([], CAPTURE)
     if strict:
         return spark.read.schema(CAPTURE).json(path, mode="FAILFAST")
-    return spark.read.schema(f"{CAPTURE}, {CORRUPT} string").json(
-        path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
-    )
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", f"{CAPTURE}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+    return lines.select(parsed.alias("c")).select("c.*")
 
 
 def quarantine(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
