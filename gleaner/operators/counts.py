@@ -37,7 +37,11 @@ def check_counts(records: DataFrame, expected: Sequence[tuple[str, str, int]], t
         )
         for t, op, n in expected
     ]
-    rows = records.agg(F.array(*checks).alias("c")).select(F.inline("c"))
+    return judged(records.agg(F.array(*checks).alias("c")).select(F.inline("c")))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Rows `(type, op, expected, actual)` with whether the expectation is met."""
     met = None
     for op, test in OPS.items():
         held = test(F.col("actual"), F.col("expected"))
