@@ -16,8 +16,13 @@ def given(c: Column, what: str = "number") -> Column:
     return F.when(c.isNull(), F.raise_error(F.lit(f"expected {what}, got null"))).otherwise(c)
 
 
-def _over(a: Column, b: Column, tried: Column, wide) -> Column:
-    return F.coalesce(tried.cast("double"), wide(given(a).cast("double"), given(b).cast("double")))
+# Doubles below this are safely inside the long range. A `try_` function would find overflow
+# too, but by an exception per row.
+_SAFE = 9.0e18
+
+
+def _wide(rough: Column, exact: Column) -> Column:
+    return F.when(F.abs(rough) < _SAFE, exact.cast("double")).otherwise(rough)
 
 
 def add(a: Column, b: Column) -> Column:
@@ -35,15 +40,15 @@ def multiply(a: Column, b: Column) -> Column:
 
 def add_wide(a: Column, b: Column) -> Column:
     """Sum of two integers as a double, so that an overflow continues as a double."""
-    return _over(a, b, F.try_add(a, b), lambda x, y: x + y)
+    return _wide(given(a).cast("double") + given(b).cast("double"), a + b)
 
 
 def subtract_wide(a: Column, b: Column) -> Column:
-    return _over(a, b, F.try_subtract(a, b), lambda x, y: x - y)
+    return _wide(given(a).cast("double") - given(b).cast("double"), a - b)
 
 
 def multiply_wide(a: Column, b: Column) -> Column:
-    return _over(a, b, F.try_multiply(a, b), lambda x, y: x * y)
+    return _wide(given(a).cast("double") * given(b).cast("double"), a * b)
 
 
 def divide(a: Column, b: Column) -> Column:

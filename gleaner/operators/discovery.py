@@ -30,15 +30,13 @@ def discover(index: DataFrame, packages: DataFrame, versions: DataFrame, key: st
 
 
 def filter_packages(packages: DataFrame, category: str | None = None, query: str | None = None) -> DataFrame:
-    """Category as given, and a substring in any case."""
+    """Category as given, and a substring of `author/slug description` in any case."""
     out = packages
     if category is not None:
         out = out.filter(F.col("category") == category)
     if query:
-        out = out.filter(
-            F.contains(F.lower("description"), F.lit(query.lower()))
-            | F.contains(F.lower(F.col("slug").cast("string")), F.lit(query.lower()))
-        )
+        shown = F.concat("author", F.lit("/"), "slug", F.lit(" "), F.coalesce("description", F.lit("")))
+        out = out.filter(F.contains(F.lower(shown), F.lit(query.lower())))
     return out
 
 

@@ -58,6 +58,12 @@ def entities(payloads: DataFrame, key: str, json: str) -> DataFrame:
     )
 
 
+def from_responses(captures: DataFrame, body: str = "body") -> DataFrame:
+    """Entity payloads `(key, json)` out of recorded responses `{"entities": {key: {...}}}`."""
+    found = F.from_json(body, "entities map<string,string>")["entities"]
+    return captures.select(F.explode(found).alias("key", "json"))
+
+
 def enrich(records: DataFrame, key: str, table: DataFrame, properties: dict[str, str], strict: bool = False) -> DataFrame:
     """Records with the wanted properties of their entity, all from one join.
 

@@ -232,7 +232,7 @@ _ARROW_NODE = pa.struct(
 
 
 def parse_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Rows `(key, html, text, nodes)`: the page as serialized, all its text, its elements.
+    """Rows `(key, page_html, page_text, nodes)`: the page as serialized, all its text, its elements.
 
     Pages are independent, so this is a map over the scan's own partitions.
     """
@@ -247,7 +247,7 @@ def parse_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
             def flush():
                 columns = zip(*rows, strict=True)
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, fields, strict=True)], [key, "html", "text", "nodes"]
+                    [pa.array(c, t) for c, t in zip(columns, fields, strict=True)], [key, "page_html", "page_text", "nodes"]
                 )
 
             for k, page in zip(batch.column(0), batch.column(1), strict=True):
@@ -260,7 +260,7 @@ def parse_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
             if rows:
                 yield flush()
 
-    return pages.select(key, html).mapInArrow(parse, f"{key} {kind}, html binary, text binary, nodes array<{NODE}>")
+    return pages.select(key, html).mapInArrow(parse, f"{key} {kind}, page_html binary, page_text binary, nodes array<{NODE}>")
 
 
 def html_nodes(parsed: DataFrame, key: str) -> DataFrame:

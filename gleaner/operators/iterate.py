@@ -18,8 +18,9 @@ def for_each(df: DataFrame, items: Column, name: str, at: str | None = None, sam
     cut before it is unnested, so the rest is never produced.
     """
     arr = items if sample is None else F.slice(items, 1, sample)
-    # posexplode must stand alone in a select to name both of its columns.
-    out = df.select("*", F.posexplode(arr).alias(at or "__at", name))
+    # The outer form, then the filter: for the inner form Spark adds a test of the array's size
+    # below it, which computes the array a second time.
+    out = df.select("*", F.posexplode_outer(arr).alias(at or "__at", name)).filter(F.col(at or "__at").isNotNull())
     return out if at else out.drop("__at")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.iterate import for_each
 from gleaner.operators.ordered import first_rows
 
 
@@ -28,9 +29,7 @@ def _hits(url: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 def match_rules(captures: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """One row per capture and matching rule; sort by (rule_no, seq) for the emission order."""
-    return captures.withColumn("__hit", F.explode(_hits(F.col("url"), rules))).select(
-        *captures.columns, "__hit.rule_no", "__hit.rule"
-    )
+    return for_each(captures, _hits(F.col("url"), rules), "__hit").select(*captures.columns, "__hit.rule_no", "__hit.rule")
 
 
 def unmatched_captures(captures: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:

@@ -3,7 +3,7 @@
 A plain window sorts each group in one task, so a group with a third of all rows makes one
 task do a third of the work. Here rows are range partitioned by (keys, order) into blocks, a
 group may span many blocks, windows run inside (keys, block), and each block is shifted by
-what came before it. The carried table has one row per group and block.
+what came before it.
 """
 
 from __future__ import annotations
@@ -39,11 +39,30 @@ def running(
     rank = [F.col(k) for k in keys] + by
     ranged = df.withColumns(inputs)
     ranged = ranged.repartitionByRange(blocks, *rank) if blocks else ranged.repartitionByRange(*rank)
-    rows = stored(ranged.withColumn(BLOCK, F.spark_partition_id()), "ordered")
+    # Partition number in the upper bits, row in the partition in the lower 33.
+    place = F.monotonically_increasing_id()
+    rows = stored(
+        ranged.sortWithinPartitions(*rank)
+        .withColumn("__place", place)
+        .withColumns(
+            {BLOCK: F.shiftright("__place", 33).cast("int"), "__head": F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) == 0}
+        )
+        .drop("__place"),
+        "ordered",
+    )
 
-    position = F.struct(*[F.col(c) for c in order])
+    # Blocks follow one another in (keys, order), so only the first group of a block can have
+    # begun before it: what is carried over has at most one row per block, which bounds both
+    # broadcasts below by the number of blocks.
+    named = [F.col(k).alias(f"__k_{k}") for k in keys]
+    same_keys = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    heads = rows.filter("__head").select(F.col(BLOCK).alias("__kb"), *named)
+    spanning = rows
+    if keys:
+        spanning = rows.join(F.broadcast(heads.drop("__kb").distinct()), _all(same_keys), "left_semi")
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     latest = F.min_by if descending else F.max_by
-    totals = rows.groupBy(*keys, BLOCK).agg(
+    totals = spanning.groupBy(*keys, BLOCK).agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.sum(f"__s_{n}").alias(f"__t_{n}") for n in sums],
         *[
@@ -51,10 +70,9 @@ def running(
             for n in last
         ],
     )
-    # One row per (group, block); a group has at most as many rows here as there are blocks.
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
+        *named,
         F.col(BLOCK).alias("__kb"),
         F.sum("__n").over(earlier).alias("__before"),
         *[F.sum(f"__t_{n}").over(earlier).alias(f"__t_{n}") for n in sums],
@@ -62,14 +80,11 @@ def running(
     ).filter(F.col("__before").isNotNull())
 
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    same = F.col(BLOCK) == F.col("__kb")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     local = rows.withColumns(
         {f"__s_{n}": F.sum(f"__s_{n}").over(inside) for n in sums}
         | {f"__l_{n}": F.last(f"__l_{n}", ignorenulls=True).over(inside) for n in last}
     )
-    joined = local.join(carried, same, "left")
+    joined = local.join(F.broadcast(carried), _all([F.col(BLOCK) == F.col("__kb"), *same_keys]), "left")
     return joined.select(
         *df.columns,
         *[
@@ -82,6 +97,13 @@ def running(
     )
 
 
+def _all(tests: Sequence[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n", blocks: int | None = None
 ) -> DataFrame:

@@ -57,15 +57,14 @@ def accepted_publishes(log: DataFrame, key: str, event: str, seq: str, base: str
 def forks(packages: DataFrame, versions: DataFrame, requests: DataFrame, key: str, owner: str) -> DataFrame:
     """Fork requests that succeed, as version 1 of a new package with its origin.
 
-    `requests` is `(key, owner)`. Forking one's own package or one the user already has is refused.
+    `requests` is `(key, owner)`. A user who already has a package of that name, be it the one
+    to fork, is refused; so is a fork of a package that does not exist.
     """
     head = latest(versions, [key]).select(key, F.col("version").alias("from_version"), "recipe")
-    theirs = packages.select(key, F.col(owner).alias("__owner"))
     return (
-        requests.dropDuplicates([key, owner])
-        .join(theirs, key)
-        .filter(F.col(owner) != F.col("__owner"))
-        .drop("__owner")
+        requests.distinct()
+        .join(packages.select(key, owner), [key, owner], "left_anti")
+        .join(packages.select(key), key, "left_semi")
         .join(head, key)
         .withColumn("version", F.lit(1))
     )
@@ -90,10 +89,15 @@ def download_counts(downloads: DataFrame, forked: DataFrame, package: str) -> Da
     )
 
 
-def profile_counts(packages: DataFrame, author: str, stars: DataFrame, user: str) -> DataFrame:
-    """Packages and stars per user, for users known by either."""
+def profile_counts(
+    packages: DataFrame, author: str, stars: DataFrame, user: str, known: DataFrame | None = None
+) -> DataFrame:
+    """Packages and stars per user: of everyone who has either, or is in `known(user)`."""
     have = packages.groupBy(F.col(author).cast("string").alias("user")).agg(F.count(F.lit(1)).alias("packages"))
     gave = stars.groupBy(F.col(user).cast("string").alias("user")).agg(F.count(F.lit(1)).alias("stars"))
-    return have.join(gave, "user", "full_outer").select(
+    out = have.join(gave, "user", "full_outer")
+    if known is not None:
+        out = out.join(known.select(F.col("user").cast("string")).distinct(), "user", "full_outer")
+    return out.select(
         "user", F.coalesce("packages", F.lit(0)).alias("packages"), F.coalesce("stars", F.lit(0)).alias("stars")
     )

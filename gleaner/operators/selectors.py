@@ -74,6 +74,8 @@ def _nth(nth: Column, arg: str) -> Column:
 def _steps(selector: str) -> list[tuple[str, str]]:
     """`a > b c` as [("", "a"), (">", "b"), (" ", "c")]."""
     tokens = re.findall(r"\s*[>+~]\s*|\s+|(?:\[[^\]]*\]|\([^)]*\)|[^\s>+~\[(])+", selector.strip())
+    if "".join(tokens) != selector.strip():
+        raise ValueError(f"invalid selector {selector!r}")
     out, link = [], ""
     for tok in tokens:
         if tok.strip() in (">", "+", "~", ""):

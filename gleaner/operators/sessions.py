@@ -14,6 +14,17 @@ from pyspark.sql import functions as F
 from gleaner.operators.ordered import running
 
 
+def _position(order: Sequence[str]) -> Column:
+    """A single column stays as it is: aggregates over plain numbers need no sort."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
+def _named(pos: str, order: Sequence[str], prefix: str) -> list[Column]:
+    if len(order) == 1:
+        return [F.col(pos).alias(f"{prefix}_{order[0]}")]
+    return [F.col(f"{pos}.{c}").alias(f"{prefix}_{c}") for c in order]
+
+
 def session_runs(
     events: DataFrame,
     log: str,
@@ -29,7 +40,7 @@ def session_runs(
     Records count while their run is open. The last run, if still open, was cancelled; an
     earlier one that never closed stays `running`.
     """
-    pos = F.struct(*order)
+    pos = _position(order)
     end = success | failure
     scan = running(
         events.withColumns({"__start": start, "__end": end, "__ok": success, "__emit": emitted}),
@@ -51,8 +62,8 @@ def session_runs(
     return runs.join(final, F.col(log).eqNullSafe(F.col("__log"))).select(
         log,
         "session",
-        *[F.col(f"__from.{c}").alias(f"from_{c}") for c in order],
-        *[F.col(f"__to.{c}").alias(f"to_{c}") for c in order],
+        *_named("__from", order, "from"),
+        *_named("__to", order, "to"),
         F.when(F.col("__won"), F.lit("ok"))
         .when(F.col("__to").isNotNull() | cancelled, F.lit("fail"))
         .otherwise(F.lit("running"))
@@ -72,8 +83,8 @@ def emit_bursts(
     return (
         scan.filter("__emit")
         .groupBy(log, "burst", type_col)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("__first"))
-        .select(log, "burst", type_col, "n", *[F.col(f"__first.{c}").alias(f"first_{c}") for c in order])
+        .agg(F.count(F.lit(1)).alias("n"), F.min(_position(order)).alias("__first"))
+        .select(log, "burst", type_col, "n", *_named("__first", order, "first"))
     )
 
 
@@ -94,7 +105,7 @@ def step_stats(
 
     Records and the end of the run are credited to the step of the last request before them.
     """
-    pos = F.struct(*order)
+    pos = _position(order)
     rows = running(
         events.withColumns(
             {

@@ -247,9 +247,9 @@ def status_gate(t):
     return ok.unionByName(rejected).select("seq", "status", "accepted")
 
 
-@query("storage_filter", "SELECT p_partkey AS slug, p_name AS description FROM part WHERE p_type = 'PROMO' AND (contains(lower(p_name), 'ing') OR contains(p_partkey::VARCHAR, 'ing'))")
+@query("storage_filter", "SELECT p_partkey AS slug, p_name AS description FROM part WHERE p_type = 'PROMO' AND contains(lower(p_brand || '/' || p_partkey || ' ' || p_name), '1/')")
 def storage_filter(t):
-    return filter_packages(t.packages, "PROMO", "ING").select("slug", "description")
+    return filter_packages(t.packages, "PROMO", "1/").select("slug", "description")
 
 
 @query(

@@ -208,7 +208,8 @@ def _fork_requests(t: Tables) -> DataFrame:
     "profile_counts",
     """WITH p AS (SELECT c_custkey::VARCHAR AS u, count(*) AS packages FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
       s AS (SELECT user_id::VARCHAR AS u, count(*) AS stars FROM (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS package FROM events WHERE event_type = 'view') GROUP BY 1)
-    SELECT coalesce(p.u, s.u) AS "user", coalesce(packages, 0) AS packages, coalesce(stars, 0) AS stars FROM p FULL JOIN s ON p.u = s.u""",
+    SELECT u AS "user", coalesce(packages, 0) AS packages, coalesce(stars, 0) AS stars
+    FROM (SELECT u FROM p UNION SELECT u FROM s UNION SELECT c_custkey::VARCHAR FROM customer) LEFT JOIN p USING (u) LEFT JOIN s USING (u)""",
 )
 def profile_counts(t):
     starred = (
@@ -216,7 +217,8 @@ def profile_counts(t):
         .select("user_id", F.get_json_object("props", "$.k").cast("long").alias("package"))
         .distinct()
     )
-    return publishing.profile_counts(t.orders, "o_custkey", starred, "user_id")
+    known = t.customer.select(F.col("c_custkey").alias("user"))
+    return publishing.profile_counts(t.orders, "o_custkey", starred, "user_id", known)
 
 
 @query("count_by_type", "SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")

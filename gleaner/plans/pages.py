@@ -11,6 +11,7 @@ from gleaner.operators.selectors import select
 from gleaner.plans import query
 from gleaner.plans.sources import URL
 from gleaner.plans.tables import Tables
+from gleaner.session import spread
 from gleaner.sources import captures as C
 
 RULES = [("org", r"example\.org"), ("english", "/en/"), ("dot html", r"\.html"), ("never", r"nowhere\.invalid")]
@@ -18,7 +19,7 @@ RULE_SQL = r"""(VALUES (0, 'org', 'example\.org'), (1, 'english', '/en/'), (2, '
 
 
 def parsed(t: Tables) -> DataFrame:
-    return html.parse_pages(t.pages, "page_id", "html")
+    return html.parse_pages(spread(t.pages.select("page_id", "html"), "page_id"), "page_id", "html")
 
 
 @query("match_rules", f"SELECT page_id, rule_no, rule FROM pages JOIN {RULE_SQL} ON regexp_matches(url, p)")
@@ -130,7 +131,7 @@ LINKS = UNESCAPE.format(
 @query("html_text", f"SELECT page_id, {H1} AS h1, {LINKS} AS links FROM pages")
 def html_text(t):
     p = parsed(t)
-    text, nodes = F.col("text"), F.col("nodes")
+    text, nodes = F.col("page_text"), F.col("nodes")
     return p.select(
         "page_id",
         html.node_text(text, html.first(select(nodes, "h1"))).alias("h1"),
@@ -160,7 +161,7 @@ def html_attr(t):
     r"""SELECT page_id, regexp_extract(html, '<nav>.*?</nav>') AS nav, regexp_extract(html, '<script>.*?</script>') AS script FROM pages""",
 )
 def html_outer(t):
-    page, nodes = F.col("html"), F.col("nodes")
+    page, nodes = F.col("page_html"), F.col("nodes")
     return parsed(t).select(
         "page_id",
         html.node_html(page, html.first(select(nodes, "nav"))).alias("nav"),
@@ -177,7 +178,7 @@ def html_inner(t):
     return p.select(
         "page_id",
         *[
-            html.node_inner(F.col("html"), F.col("text"), html.first(select(F.col("nodes"), s))).alias(s)
+            html.node_inner(F.col("page_html"), F.col("page_text"), html.first(select(F.col("nodes"), s))).alias(s)
             for s in ("nav", "script")
         ],
     )
@@ -189,7 +190,7 @@ def html_first(t):
     return parsed(t).select(
         "page_id",
         html.node_attr(html.first(select(nodes, "nav a")), "href").alias("href"),
-        html.node_text(F.col("text"), html.first(select(nodes, "h1"))).alias("h1"),
+        html.node_text(F.col("page_text"), html.first(select(nodes, "h1"))).alias("h1"),
     )
 
 

@@ -17,7 +17,7 @@ from gleaner.sources import store
 from gleaner.streaming import captures as S
 
 KINDS = [("shop", "/(click|view)"), ("account", "/(signup|purchase)")]
-LIVE = C.CAPTURE + ", at timestamp"
+LIVE = C.CAPTURE + ", at_us long"  # JSON timestamps would lose their microseconds
 
 
 def _folder(t: Tables) -> str:
@@ -25,7 +25,7 @@ def _folder(t: Tables) -> str:
     key = (t.spark.sparkContext.applicationId, t.path)
     if key not in _folders:
         path = new_path(t.spark, "live")
-        at = t.events.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
+        at = t.events.select(F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
         C.write_captures(C.matches(t.web_captures).join(at, "seq").repartitionByRange(4, "seq"), path)
         _folders[key] = path
     return _folders[key]
@@ -36,8 +36,8 @@ _folders: dict[tuple, str] = {}
 
 def _stream(t: Tables) -> DataFrame:
     """Two files per batch, so that a drain takes several batches."""
-    return S.read_stream(t.spark, _folder(t), LIVE, per_batch=2).withColumn(
-        "type", F.regexp_extract("url", r"app\.test/([a-z]+)", 1)
+    return S.read_stream(t.spark, _folder(t), LIVE, per_batch=2).withColumns(
+        {"type": F.regexp_extract("url", r"app\.test/([a-z]+)", 1), "at": F.timestamp_micros("at_us")}
     )
 
 

@@ -57,3 +57,12 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for work that costs far more than a row's transport.
+
+    Only a scan with fewer partitions than cores is shuffled, which a large table never is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
