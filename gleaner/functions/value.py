@@ -109,6 +109,18 @@ def get_field(json: Column, name: str) -> Column:
     return F.try_variant_get(F.try_parse_json(json), f"$['{name}']", "string")
 
 
+def epoch_micros(c: Column) -> Column:
+    """Microseconds since 1970 of a TIMESTAMP_NTZ, read as it stands: the session's zone plays no part."""
+    days = F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
+    seconds = F.extract(F.lit("SECOND"), c)
+    return (
+        days * 86_400_000_000
+        + F.hour(c).cast("long") * 3_600_000_000
+        + F.minute(c).cast("long") * 60_000_000
+        + (seconds * 1_000_000).cast("long")
+    )
+
+
 def parse_json(text: Column, schema: str | None = None, strict: bool = True) -> Column:
     """JSON text to a typed value, or to VARIANT when the shape is unknown."""
     if schema is None:

@@ -53,13 +53,13 @@ def on_cycle(edges: DataFrame) -> DataFrame:
     return jump.select(F.col("next").alias("node")).distinct()
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
+def ancestors(edges: DataFrame, cycle: DataFrame | None = None) -> DataFrame:
     """All `(node, ancestor, depth)` of `edges(node, next)`, depth 1 and up.
 
-    Nodes whose chain runs into a cycle are left out; `on_cycle` names the cycle.
+    Nodes whose chain runs into a cycle are left out; `cycle` is `on_cycle(edges)` if known.
     """
     edges = stored(edges.filter(F.col("next").isNotNull()).select("node", "next"), "edges")
-    bad = on_cycle(edges)
+    bad = on_cycle(edges) if cycle is None else cycle
     if not bad.isEmpty():
         parents = edges.select(F.col("next").alias("node"), F.col("node").alias("child"))
         edges = stored(

@@ -153,71 +153,100 @@ def _opening(tag: str, attrs: dict[str, str]) -> str:
     return "<" + tag + "".join(f' {k}="{v}"' for k, v in quoted) + ">"
 
 
-def _parse(page: str) -> tuple[bytes, bytes, list[dict]]:
-    """Serialized page, its text, and its elements in document order with their byte ranges."""
+_FIELDS = (
+    "pre last parent depth nth nth_of_type siblings tag attrs ancestors html_start html_stop text_start text_stop parts"
+).split()
+
+
+def _parse(page: str) -> tuple[bytes, bytes, list[list]]:
+    """Serialized page, its text, and its elements in document order as lists of `_FIELDS`."""
     tree = _Tree()
     tree.feed(page)
     tree.close()
     html, text, nodes = bytearray(), bytearray(), []
-    # An explicit stack: pages may nest deeper than Python can recurse.
-    todo: list[tuple] = [("open", tree.root, None, 0, 1, 1, 1)]
+    # An explicit stack, since pages may nest deeper than Python can recurse: what is on it is
+    # an element to open, the number of one to close, or text with the number of its parent.
+    todo: list = [(tree.root, None, 0, 1, 1, 1)]
     while todo:
-        what, it, *more = todo.pop()
-        if what == "close":
-            at = nodes[it]
-            if at["tag"] not in VOID:
-                html += f"</{at['tag']}>".encode()
-            at["last"], at["html"]["stop"], at["text"]["stop"] = len(nodes) - 1, len(html), len(text)
-            if at["parent"] is not None:
-                nodes[at["parent"]]["parts"].append({"is_text": False, **at["html"]})
+        item = todo.pop()
+        if type(item) is int:
+            node = nodes[item]
+            if node[7] not in VOID:
+                html += b"</" + node[7].encode() + b">"
+            node[1], node[11], node[13] = len(nodes) - 1, len(html), len(text)
+            if node[2] is not None:
+                nodes[node[2]][14].append((False, node[10], node[11]))
             continue
-        if what == "text":
-            (parent,) = more
-            if isinstance(it, _Comment):
-                html += f"<!--{it}-->".encode()
+        if len(item) == 2:
+            words, parent = item
+            if type(words) is _Comment:
+                html += f"<!--{words}-->".encode("utf-8", "replace")
                 continue
-            raw = it.encode("utf-8", "replace")
-            nodes[parent]["parts"].append({"is_text": True, "start": len(text), "stop": len(text) + len(raw)})
+            raw = words.encode("utf-8", "replace")
+            start = len(text)
             text += raw
-            html += raw if nodes[parent]["tag"] in RAW_TEXT else _escaped(it).encode("utf-8", "replace")
+            nodes[parent][14].append((True, start, len(text)))
+            html += raw if nodes[parent][7] in RAW_TEXT else _escaped(words).encode("utf-8", "replace")
             continue
-        parent, depth, nth, nth_of_type, siblings = more
-        tag, attrs, kids = it
-        pre = len(nodes)
-        start = len(html)
+        (tag, attrs, kids), parent, depth, nth, nth_of_type, siblings = item
+        pre, start = len(nodes), len(html)
         html += _opening(tag, attrs).encode("utf-8", "replace")
+        above = [] if parent is None else [*nodes[parent][9], parent]
         nodes.append(
-            {
-                "pre": pre,
-                "last": pre,
-                "parent": parent,
-                "depth": depth,
-                "nth": nth,
-                "nth_of_type": nth_of_type,
-                "siblings": siblings,
-                "tag": tag,
-                "attrs": list(attrs.items()),
-                "ancestors": [] if parent is None else [*nodes[parent]["ancestors"], parent],
-                "html": {"start": start, "stop": start},
-                "text": {"start": len(text), "stop": len(text)},
-                "parts": [],
-            }
+            [pre, pre, parent, depth, nth, nth_of_type, siblings, tag, list(attrs.items()), above, start, start, len(text), len(text), []]
         )
-        below, n, of_type = [], 0, {}
-        elements = sum(not isinstance(k, str) for k in kids)
-        for k in kids:
-            if isinstance(k, str):
-                below.append(("text", k, pre))
-            else:
-                n += 1
-                of_type[k[0]] = of_type.get(k[0], 0) + 1
-                below.append(("open", k, pre, depth + 1, n, of_type[k[0]], elements))
-        todo.append(("close", pre))
-        todo.extend(reversed(below))
+        todo.append(pre)
+        if kids:
+            below, of_type = [], {}
+            elements = [k for k in kids if type(k) is list]
+            n = 0
+            for k in kids:
+                if type(k) is list:
+                    n += 1
+                    of_type[k[0]] = of_type.get(k[0], 0) + 1
+                    below.append((k, pre, depth + 1, n, of_type[k[0]], len(elements)))
+                else:
+                    below.append((k, pre))
+            below.reverse()
+            todo += below
     return bytes(html), bytes(text), nodes
 
 
+def _arrow_nodes(pages: list[list[list]]) -> pa.Array:
+    """Element lists of several pages as one Arrow list column, built column by column."""
+    columns = dict(zip(_FIELDS, zip(*(n for nodes in pages for n in nodes), strict=True), strict=True))
+    ints = lambda name: pa.array(columns[name], pa.int32())
+    span = lambda name: pa.StructArray.from_arrays([ints(f"{name}_start"), ints(f"{name}_stop")], fields=list(_SPAN))
+    parts = columns["parts"]
+    flat = [p for one in parts for p in one]
+    is_text, start, stop = zip(*flat, strict=True) if flat else ((), (), ())
+    part_rows = pa.StructArray.from_arrays(
+        [pa.array(is_text, pa.bool_()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], fields=list(_PART)
+    )
+    rows = pa.StructArray.from_arrays(
+        [
+            *[ints(n) for n in _FIELDS[:7]],
+            pa.array(columns["tag"], pa.string()),
+            pa.array(columns["attrs"], pa.map_(pa.string(), pa.string())),
+            pa.array(columns["ancestors"], pa.list_(pa.int32())),
+            span("html"),
+            span("text"),
+            pa.ListArray.from_arrays(_offsets(parts), part_rows),
+        ],
+        fields=list(_ARROW_NODE),
+    )
+    return pa.ListArray.from_arrays(_offsets(pages), rows)
+
+
+def _offsets(lists) -> pa.Array:
+    out = [0]
+    for one in lists:
+        out.append(out[-1] + len(one))
+    return pa.array(out, pa.int32())
+
+
 _SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+_PART = pa.struct([("is_text", pa.bool_()), ("start", pa.int32()), ("stop", pa.int32())])
 _ARROW_NODE = pa.struct(
     [(n, pa.int32()) for n in ("pre", "last", "parent", "depth", "nth", "nth_of_type", "siblings")]
     + [
@@ -226,7 +255,7 @@ _ARROW_NODE = pa.struct(
         ("ancestors", pa.list_(pa.int32())),
         ("html", _SPAN),
         ("text", _SPAN),
-        ("parts", pa.list_(pa.struct([("is_text", pa.bool_()), ("start", pa.int32()), ("stop", pa.int32())]))),
+        ("parts", pa.list_(_PART)),
     ]
 )
 
@@ -238,27 +267,26 @@ def parse_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
     """
     kind = pages.schema[key].dataType.simpleString()
 
+    def flush(key_type: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+        keys, pages_html, texts, nodes = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, key_type), pa.array(pages_html, pa.binary()), pa.array(texts, pa.binary()), _arrow_nodes(nodes)],
+            [key, "page_html", "page_text", "nodes"],
+        )
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key_type = batch.schema.types[0]
-            fields = [key_type, pa.binary(), pa.binary(), pa.list_(_ARROW_NODE)]
+            # Written out in pieces: a batch of long pages must not pile up in the worker.
             rows, size = [], 0
-
-            def flush():
-                columns = zip(*rows, strict=True)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, fields, strict=True)], [key, "page_html", "page_text", "nodes"]
-                )
-
             for k, page in zip(batch.column(0), batch.column(1), strict=True):
                 if page.is_valid:
                     rows.append((k.as_py(), *_parse(page.as_py())))
                     size += len(rows[-1][1])
                     if size > FLUSH_BYTES:
-                        yield flush()
+                        yield flush(batch.schema.types[0], rows)
                         rows, size = [], 0
             if rows:
-                yield flush()
+                yield flush(batch.schema.types[0], rows)
 
     return pages.select(key, html).mapInArrow(parse, f"{key} {kind}, page_html binary, page_text binary, nodes array<{NODE}>")
 

@@ -60,13 +60,12 @@ def running(
     spanning = rows
     if keys:
         spanning = rows.join(F.broadcast(heads.drop("__kb").distinct()), _all(same_keys), "left_semi")
-    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     latest = F.min_by if descending else F.max_by
     totals = spanning.groupBy(*keys, BLOCK).agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.sum(f"__s_{n}").alias(f"__t_{n}") for n in sums],
         *[
-            latest(F.col(f"__l_{n}"), F.when(F.col(f"__l_{n}").isNotNull(), position)).alias(f"__f_{n}")
+            latest(F.col(f"__l_{n}"), F.when(F.col(f"__l_{n}").isNotNull(), position(order))).alias(f"__f_{n}")
             for n in last
         ],
     )
@@ -97,6 +96,12 @@ def running(
     )
 
 
+def position(order: Sequence[str]) -> Column:
+    """The place of a row as one comparable value; a single column stays as it is, since
+    aggregates over plain numbers need no sort."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
+
+
 def _all(tests: Sequence[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:

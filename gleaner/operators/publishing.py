@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.graph import follow
-from gleaner.operators.ordered import first_rows, look_back, numbered, running
+from gleaner.operators.ordered import first_rows, look_back, numbered, position, running
 
 
 def latest(versions: DataFrame, key: Sequence[str], version: str = "version") -> DataFrame:
@@ -73,9 +73,10 @@ def forks(packages: DataFrame, versions: DataFrame, requests: DataFrame, key: st
 def star_state(events: DataFrame, user: str, package: str, order: Sequence[str], added: Column) -> DataFrame:
     """Who stars what: adds and removes are idempotent, so the last event of a pair decides."""
     state = events.groupBy(user, package).agg(
-        F.max_by(added, F.struct(*order)).alias("__on"), F.max(F.struct(*order)).alias("__at")
+        F.max_by(added, position(order)).alias("__on"), F.max(position(order)).alias("__at")
     )
-    return state.filter("__on").select(user, package, *[F.col(f"__at.{c}").alias(c) for c in order])
+    when = [F.col("__at").alias(order[0])] if len(order) == 1 else [F.col(f"__at.{c}").alias(c) for c in order]
+    return state.filter("__on").select(user, package, *when)
 
 
 def star_counts(stars: DataFrame, package: str) -> DataFrame:

@@ -11,12 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.ordered import running
-
-
-def _position(order: Sequence[str]) -> Column:
-    """A single column stays as it is: aggregates over plain numbers need no sort."""
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+from gleaner.operators.ordered import position, running
 
 
 def _named(pos: str, order: Sequence[str], prefix: str) -> list[Column]:
@@ -40,7 +35,7 @@ def session_runs(
     Records count while their run is open. The last run, if still open, was cancelled; an
     earlier one that never closed stays `running`.
     """
-    pos = _position(order)
+    pos = position(order)
     end = success | failure
     scan = running(
         events.withColumns({"__start": start, "__end": end, "__ok": success, "__emit": emitted}),
@@ -83,7 +78,7 @@ def emit_bursts(
     return (
         scan.filter("__emit")
         .groupBy(log, "burst", type_col)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(_position(order)).alias("__first"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(position(order)).alias("__first"))
         .select(log, "burst", type_col, "n", *_named("__first", order, "first"))
     )
 
@@ -105,7 +100,7 @@ def step_stats(
 
     Records and the end of the run are credited to the step of the last request before them.
     """
-    pos = _position(order)
+    pos = position(order)
     rows = running(
         events.withColumns(
             {

@@ -52,14 +52,16 @@ def flatten_alignments(types: DataFrame, alignments: DataFrame) -> DataFrame:
 
 def extension_problems(types: DataFrame, fields: DataFrame) -> DataFrame:
     """Unknown parents, cycles, and fields a child redeclares with another type or optionality."""
-    unknown = _parents(types).join(
-        types.select(F.col("type").alias("next")), "next", "left_anti"
-    ).select(F.col("node").alias("type"), F.lit("unknown parent").alias("problem"), F.lit(None).cast("string").alias("field"))
-    cyclic = on_cycle(_parents(types)).select(
+    parents = _parents(types)
+    cycle = stored(on_cycle(parents), "cycle")
+    unknown = parents.join(types.select(F.col("type").alias("next")), "next", "left_anti").select(
+        F.col("node").alias("type"), F.lit("unknown parent").alias("problem"), F.lit(None).cast("string").alias("field")
+    )
+    cyclic = cycle.select(
         F.col("node").alias("type"), F.lit("cycle").alias("problem"), F.lit(None).cast("string").alias("field")
     )
     above = (
-        ancestors(_parents(types))
+        ancestors(parents, cycle)
         .select(F.col("node").alias("type"), "ancestor", "depth")
         .join(fields.select(F.col("type").alias("ancestor"), "field", F.struct("kind", "optional").alias("__up")), "ancestor")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleaner.functions.value import epoch_micros
 from gleaner.operators import counts, history, sessions
 from gleaner.plans import query
 
@@ -192,7 +193,7 @@ def step_stats(t):
         "user_id",
         "event_id",
         "event_type",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"),
+        epoch_micros(F.col("ts")).alias("at_us"),
         F.floor(F.get_json_object("props", "$.k").cast("long") / 25).alias("k"),
     )
     return sessions.step_stats(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleaner.functions.value import epoch_micros
 from gleaner.operators import quality
 from gleaner.operators.counts import check_counts
 from gleaner.plans import query
@@ -11,6 +12,7 @@ from gleaner.plans.history import EXPECTED, RUNS_SQL
 from gleaner.plans.pages import RULES
 from gleaner.plans.paging import VERSIONS_SQL
 from gleaner.plans.sources import CATALOG
+from gleaner.plans.tables import RUN_SECONDS
 
 
 @query("dq_required", "SELECT 'quality' AS field, count(*) FILTER (quality IS NULL) AS nulls FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id UNION ALL SELECT 'lang', 0")
@@ -100,7 +102,7 @@ def dq_counts(t):
         "counts", lambda k, v: F.when(k == "view", v + 1).when(k == "error", -v).otherwise(v)
     )
     actual = t.events.groupBy(
-        F.concat(F.lit("sr-"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 21600)).alias("id"),
+        F.concat(F.lit("sr-"), F.floor(epoch_micros(F.col("ts")) / (RUN_SECONDS * 1_000_000))).alias("id"),
         F.col("event_type").alias("type"),
     ).agg(F.count(F.lit(1)).alias("n"))
     return quality.count_problems(t.runs.withColumn("counts", wrong), "counts", ["id"], actual)

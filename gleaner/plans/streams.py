@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.value import epoch_micros
 from gleaner.operators.iterate import emit
 from gleaner.operators.matching import match_rules
 from gleaner.plans import query
@@ -25,7 +26,7 @@ def _folder(t: Tables) -> str:
     key = (t.spark.sparkContext.applicationId, t.path)
     if key not in _folders:
         path = new_path(t.spark, "live")
-        at = t.events.select(F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+        at = t.events.select(F.col("event_id").alias("seq"), epoch_micros(F.col("ts")).alias("at_us"))
         C.write_captures(C.matches(t.web_captures).join(at, "seq").repartitionByRange(4, "seq"), path)
         _folders[key] = path
     return _folders[key]

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.value import epoch_micros
 from gleaner.operators.ordered import numbered
 from gleaner.session import stored
 from gleaner.sources.captures import exchange
@@ -128,7 +129,7 @@ class Tables:
         return self._once("runs", self._runs)
 
     def _runs(self) -> DataFrame:
-        bucket = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / RUN_SECONDS)
+        bucket = F.floor(epoch_micros(F.col("ts")) / (RUN_SECONDS * 1_000_000))
         per_type = self.events.groupBy(bucket.alias("bucket"), "event_type").agg(F.count(F.lit(1)).alias("n"))
         of = lambda t: F.coalesce(F.sum(F.when(F.col("event_type") == t, F.col("n"))), F.lit(0))
         return per_type.groupBy("bucket").agg(
@@ -155,7 +156,7 @@ class Tables:
             "l_linenumber",
             "l_suppkey",
             "l_extendedprice",
-            F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("published_at"),
+            epoch_micros(F.col("l_shipdate")).alias("published_at"),
             F.concat("l_returnflag", "l_linestatus").alias("recipe"),
         )
         return numbered(rows, ["l_partkey"], order, "version").select(

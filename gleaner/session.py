@@ -43,8 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/gleaner/{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete every intermediate table this application wrote; frames that read them end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
