@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.session import stored
+from gleaner.session import stored, stored_counted
 
 
 def follow(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -18,20 +18,20 @@ def follow(edges: DataFrame, starts: DataFrame) -> DataFrame:
     `node` has at most one `next`. Distances double each round, so a chain of n pages takes
     log2(n) joins. A walk that meets itself keeps the first visit of each node.
     """
-    jump = stored(edges.filter(F.col("next").isNotNull()).select("node", "next"), "jump")
-    seen = stored(starts.select("start", "node", F.lit(0).cast("long").alias("hops")), "seen")
-    reach, count = 1, seen.count()
-    while not jump.isEmpty():
+    jump, jumps = stored_counted(edges.filter(F.col("next").isNotNull()).select("node", "next"), "jump")
+    seen, count = stored_counted(starts.select("start", "node", F.lit(0).cast("long").alias("hops")), "seen")
+    reach = 1
+    while jumps:
         step = jump.select("node", F.col("next").alias("to"))
         further = seen.join(step, "node").select(
             "start", F.col("to").alias("node"), (F.col("hops") + reach).alias("hops")
         )
-        seen = stored(seen.unionByName(further).groupBy("start", "node").agg(F.min("hops").alias("hops")), "seen")
-        now = seen.count()
+        both = seen.unionByName(further).groupBy("start", "node").agg(F.min("hops").alias("hops"))
+        seen, now = stored_counted(both, "seen")
         if now == count:
             break
         count, reach = now, reach * 2
-        jump = stored(_compose(jump), "jump")
+        jump, jumps = stored_counted(_compose(jump), "jump")
     return seen
 
 
@@ -46,10 +46,11 @@ def on_cycle(edges: DataFrame) -> DataFrame:
     After at least as many steps as there are edges a walk either ended or is on a cycle,
     and every node of a cycle is where some walk stands.
     """
-    jump = stored(edges.filter(F.col("next").isNotNull()).select("node", "next"), "jump")
-    edges_left, reach = jump.count(), 1
-    while reach < edges_left and not jump.isEmpty():
-        jump, reach = stored(_compose(jump), "jump"), reach * 2
+    jump, jumps = stored_counted(edges.filter(F.col("next").isNotNull()).select("node", "next"), "jump")
+    all_edges, reach = jumps, 1
+    while reach < all_edges and jumps:
+        jump, jumps = stored_counted(_compose(jump), "jump")
+        reach *= 2
     return jump.select(F.col("next").alias("node")).distinct()
 
 
@@ -71,8 +72,8 @@ def ancestors(edges: DataFrame, cycle: DataFrame | None = None) -> DataFrame:
     reach = 1
     while True:
         onward = closure.select(F.col("node").alias("next"), "ancestor", (F.col("depth") + reach).alias("depth"))
-        further = stored(jump.join(onward, "next").select("node", "ancestor", "depth"), "closure")
-        if further.isEmpty():
+        further, n = stored_counted(jump.join(onward, "next").select("node", "ancestor", "depth"), "closure")
+        if not n:
             return closure
         closure = closure.unionByName(further)
         jump, reach = stored(_compose(jump), "jump"), reach * 2
@@ -80,15 +81,16 @@ def ancestors(edges: DataFrame, cycle: DataFrame | None = None) -> DataFrame:
 
 def leads_to(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Distinct nodes reachable from `starts(node)` along `edges(node, next)`, starts included."""
-    seen = frontier = stored(starts.select("node").distinct(), "seen")
-    while not frontier.isEmpty():
+    frontier, n = stored_counted(starts.select("node").distinct(), "seen")
+    seen = frontier
+    while n:
         new = (
             frontier.join(edges, "node")
             .select(F.col("next").alias("node"))
             .distinct()
             .join(seen, "node", "left_anti")
         )
-        frontier = stored(new, "frontier")
+        frontier, n = stored_counted(new, "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -96,17 +98,16 @@ def leads_to(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def closure_from(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """All `(root, node)` with node reachable from root in one or more steps of any digraph."""
     step = edges.select("node", F.col("next").alias("to"))
-    seen = frontier = stored(
-        roots.select(F.col("node").alias("root"), "node").join(step, "node").select("root", F.col("to").alias("node")).distinct(),
-        "closure",
-    )
-    while not frontier.isEmpty():
+    first = roots.select(F.col("node").alias("root"), "node").join(step, "node")
+    frontier, n = stored_counted(first.select("root", F.col("to").alias("node")).distinct(), "closure")
+    seen = frontier
+    while n:
         new = (
             frontier.join(step, "node")
             .select("root", F.col("to").alias("node"))
             .distinct()
             .join(seen, ["root", "node"], "left_anti")
         )
-        frontier = stored(new, "closure")
+        frontier, n = stored_counted(new, "closure")
         seen = seen.unionByName(frontier)
     return seen

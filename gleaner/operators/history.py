@@ -43,7 +43,7 @@ def prior_ok(runs: DataFrame, value: Column, name: str = "prior", blocks: int |
 
 def median(values: Column) -> Column:
     """Middle of an array, the mean of the two middle values when even; 0 when empty."""
-    s, n = F.array_sort(values), F.size(values)
+    s, n = F.sort_array(values), F.size(values)
     low, high = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
     return F.when(n == 0, F.lit(0.0)).otherwise((low.cast("double") + high) / 2)
 

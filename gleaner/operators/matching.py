@@ -62,17 +62,14 @@ def first_document(captures: DataFrame, run: Sequence[str] = (), order: str = "s
 
 def url_key(url: Column) -> Column:
     """Path and sorted query: what two URLs must share, whatever their origin."""
-    path = F.regexp_extract(url, r"(?s)^([^?]*)", 1)
-    query = F.regexp_extract(url, r"(?s)\?(.*)$", 1)
+    asked = F.contains(url, F.lit("?"))
+    path = F.substring_index(url, "?", 1)
+    query = F.substr(url, F.instr(url, F.lit("?")) + 1)
     rest = F.substring_index(path, "//", -1)
-    local = F.when(
-        F.contains(path, F.lit("//")),
-        F.when(F.contains(rest, F.lit("/")), F.regexp_extract(rest, r"(?s)(/.*)$", 1)).otherwise(rest),
-    ).otherwise(path)
-    return F.when(
-        F.contains(url, F.lit("?")),
-        F.concat(local, F.lit("?"), F.array_join(F.array_sort(F.split(query, "&", -1)), "&")),
-    ).otherwise(local)
+    below = F.when(F.contains(rest, F.lit("/")), F.substr(rest, F.instr(rest, F.lit("/")))).otherwise(rest)
+    local = F.when(F.contains(path, F.lit("//")), below).otherwise(path)
+    params = F.array_join(F.sort_array(F.split(query, "&", -1)), "&")
+    return F.when(asked, F.concat(local, F.lit("?"), params)).otherwise(local)
 
 
 def _recorded(captures: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.graph import ancestors, closure_from, follow, on_cycle
 from gleaner.operators.iterate import for_each
-from gleaner.session import stored
+from gleaner.session import stored, stored_counted
 
 
 def _parents(types: DataFrame) -> DataFrame:
@@ -125,13 +125,11 @@ def cyclic_jobs(stages: DataFrame) -> DataFrame:
     Jobs nothing leads into, or that lead nowhere, cannot be on a cycle; they are trimmed off
     before the closure is built, which leaves little of a sound registry.
     """
-    edges = stored(stages.select("node", "next").distinct(), "edges")
-    size = edges.count()
+    edges, size = stored_counted(stages.select("node", "next").distinct(), "edges")
     while size:
         heads, tails = edges.select(F.col("next").alias("node")).distinct(), edges.select(F.col("node").alias("next")).distinct()
-        trimmed = stored(edges.join(heads, "node", "left_semi").join(tails, "next", "left_semi").select("node", "next"), "edges")
-        left = trimmed.count()
-        edges = trimmed
+        inner = edges.join(heads, "node", "left_semi").join(tails, "next", "left_semi")
+        edges, left = stored_counted(inner.select("node", "next"), "edges")
         if left > 0.9 * size:
             break  # long tails are cheaper to close than to trim one layer at a time
         size = left

@@ -80,9 +80,13 @@ def _requests(t: Tables) -> DataFrame:
       CASE WHEN o_orderstatus <> 'P' THEN 200 END AS hit_status, o_orderstatus = 'P' AS missed FROM orders""",
 )
 def replay_join(t):
-    hits = matching.replay(_requests(t), t.captures, ["seq", "page"]).select("id", "hit_url", "hit_status")
-    misses = matching.replay_misses(_requests(t), t.captures).select("id", F.lit(True).alias("missed"))
-    return hits.join(misses, "id", "left").withColumn("missed", F.coalesce("missed", F.lit(False)))
+    hits = matching.replay(_requests(t), t.captures, ["seq", "page"])
+    return hits.select("id", "hit_url", "hit_status", F.col("hit_url").isNull().alias("missed"))
+
+
+@query("replay_misses", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'")
+def replay_misses(t):
+    return matching.replay_misses(_requests(t), t.captures).select("id")
 
 
 @query(

@@ -23,7 +23,7 @@ def customer_pages(t: Tables) -> DataFrame:
         rows = numbered(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], "n")
         sizes = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("total"))
         full = rows.groupBy("o_custkey", F.ceil(F.col("n") / PER_PAGE).alias("page_no")).agg(
-            F.array_sort(F.collect_list("o_orderkey")).alias("list")
+            F.sort_array(F.collect_list("o_orderkey")).alias("list")
         )
         empty = sizes.select(
             "o_custkey",

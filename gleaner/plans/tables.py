@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.value import epoch_micros
 from gleaner.operators.ordered import numbered
-from gleaner.session import stored
+from gleaner.session import spread, stored
 from gleaner.sources.captures import exchange
 
 # Shape of the body of an order capture.
@@ -53,7 +53,7 @@ class Tables:
             )
             .groupBy("l_orderkey", F.floor((F.col("row") - 1) / LINES_PER_PAGE).cast("int").alias("page"))
             .agg(
-                F.array_sort(
+                F.sort_array(
                     F.collect_list(
                         F.struct(
                             F.col("l_linenumber").alias("n"),
@@ -66,7 +66,7 @@ class Tables:
                 ).alias("items")
             )
         )
-        whole = self.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        whole = spread(self.orders, "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         page = F.coalesce("page", F.lit(0))
         return whole.select(
             F.col("o_orderkey").alias("seq"),

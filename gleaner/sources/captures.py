@@ -79,33 +79,35 @@ def content_type(headers: Column) -> Column:
     return F.when(mime != "", mime)
 
 
-def body_format(headers: Column, body: Column, override: str | None = None) -> Column:
-    """`json`, `html`, `xml` or `text`: the override, else the Content-Type, else JSON if it parses."""
-    if override:
-        return F.lit(override)
-    mime = content_type(headers)
-    return (
-        F.when(mime.isNull(), F.when(is_json(body), F.lit("json")).otherwise(F.lit("text")))
-        .when(mime.startswith("application/json") | mime.endswith("+json"), F.lit("json"))
-        .when(mime == "text/html", F.lit("html"))
-        .when(mime.startswith("application/xml") | (mime == "text/xml") | mime.endswith("+xml"), F.lit("xml"))
-        .otherwise(F.lit("text"))
-    )
-
-
 def is_json(body: Column) -> Column:
     return F.coalesce(F.try_parse_json(body).isNotNull() & (body != ""), F.lit(False))
 
 
 def decode_body(headers: Column, body: Column, override: str | None = None) -> Column:
-    """`{format, value, text}`: JSON bodies as VARIANT, others (and broken JSON) as text, empty as null."""
-    fmt = body_format(headers, body, override)
-    value = F.when((fmt == "json") & (body != ""), F.try_parse_json(body))
-    return F.struct(
-        fmt.alias("format"),
-        value.alias("value"),
-        F.when(value.isNull() & (body != ""), body).alias("text"),
+    """`{format, value, text}`: JSON bodies as VARIANT, others (and broken JSON) as text, empty as null.
+
+    The format is the override, else what the Content-Type says, else JSON if the body parses.
+    """
+    mime = content_type(headers)
+    declared = (
+        F.when(mime.startswith("application/json") | mime.endswith("+json"), F.lit("json"))
+        .when(mime == "text/html", F.lit("html"))
+        .when(mime.startswith("application/xml") | (mime == "text/xml") | mime.endswith("+xml"), F.lit("xml"))
+        .when(mime.isNotNull(), F.lit("text"))
     )
+    if override:
+        declared = F.lit(override)
+    some = F.when(body != "", body)
+    wanted = F.when(F.coalesce(declared, F.lit("json")) == "json", some)
+
+    def result(value: Column) -> Column:
+        guessed = F.when(value.isNull(), F.lit("text")).otherwise(F.lit("json"))
+        return F.struct(
+            F.coalesce(declared, guessed).alias("format"), value.alias("value"), F.when(value.isNull(), some).alias("text")
+        )
+
+    # Through a lambda, so that each body is parsed once.
+    return F.get(F.transform(F.array(F.try_parse_json(wanted)), result), F.lit(0))
 
 
 def capture_body(body: Column) -> Column:

@@ -36,7 +36,7 @@ def context(types: DataFrame, fields: DataFrame) -> DataFrame:
     mapped = fields.groupBy("type").agg(
         F.map_from_entries(
             F.transform(
-                F.array_sort(
+                F.sort_array(
                     F.collect_list(
                         F.struct("place", "field", alignment_iri(F.col("ontology"), F.col("term")).alias("iri"))
                     )

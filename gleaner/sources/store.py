@@ -27,14 +27,18 @@ def write_records(frames: Mapping[str, DataFrame], base: str, run: Column | str,
     `frames` maps type to records with `_id` and `_order`; `run` is a constant or a column.
     The rebalance hint evens out file sizes and splits a run that holds most of the rows.
     """
-    run = F.lit(run) if isinstance(run, str) else run
+    one_run = run if isinstance(run, str) else None
+    run = F.lit(run) if one_run else run
     at = F.lit(emitted_at) if isinstance(emitted_at, int) else emitted_at
     runs = None
     for name, records in frames.items():
         rows = records.withColumns({"_emitted_at": at.cast("long"), RUN: run.cast("string")})
         _replace(rows.hint("rebalance", RUN), f"{base}/{name}")
-        mine = rows.select(RUN).distinct()
-        runs = mine if runs is None else runs.unionByName(mine)
+        if one_run is None:
+            mine = rows.select(RUN).distinct()
+            runs = mine if runs is None else runs.unionByName(mine)
+    if one_run is not None:
+        runs = records.sparkSession.range(1).select(F.lit(one_run).alias(RUN))
     _replace(runs.distinct().withColumn("committed", F.lit(True)), f"{base}/{COMMITS}")
 
 
@@ -103,7 +107,7 @@ def snapshot_by_type(envelopes: DataFrame, per_block: int = 1000) -> DataFrame:
         "block", F.floor((F.col("__n") - 1) / per_block)
     )
     blocks = placed.groupBy("_type", "block").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__n", "fields"))), lambda x: x["fields"]).alias("records")
+        F.transform(F.sort_array(F.collect_list(F.struct("__n", "fields"))), lambda x: x["fields"]).alias("records")
     )
     sizes = envelopes.groupBy(F.col("_type").alias("__t")).agg(F.count(F.lit(1)).alias("count"))
     return blocks.join(sizes, F.col("_type") == F.col("__t")).drop("__t")
