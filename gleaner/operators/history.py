@@ -7,6 +7,8 @@ of declared types, inside one row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,22 @@ WARN_BELOW = 0.95
 WARN_DELTA = -5
 
 
+def run_rows(records: DataFrame, keys: Sequence[str], type_col: str, at: str) -> DataFrame:
+    """One row per run: `(*keys, counts, started, seconds)`, with `at` in microseconds.
+
+    Records are counted by run and type first, so a run of any size meets the second
+    aggregate as a handful of rows, one per declared type.
+    """
+    per_type = records.groupBy(*keys, type_col).agg(
+        F.count(F.lit(1)).cast("int").alias("n"), F.min(at).alias("__from"), F.max(at).alias("__to")
+    )
+    return per_type.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct(type_col, "n"))).alias("counts"),
+        F.min("__from").alias("started"),
+        ((F.max("__to") - F.min("__from")) / 1_000_000).alias("seconds"),
+    )
+
+
 def prior_ok(runs: DataFrame, value: Column, name: str = "prior", blocks: int | None = None) -> DataFrame:
     """Add the values of up to seven most recent ok runs strictly before each run, oldest first."""
     ok = look_back(

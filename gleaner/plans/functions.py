@@ -28,6 +28,17 @@ def upper(t):
     return t.customer.select("c_custkey", text.upper(F.col("c_name")).alias("s"))
 
 
+@query("lowercase", "SELECT c_custkey, lower(c_mktsegment) AS s FROM customer")
+def lowercase(t):
+    return t.customer.select("c_custkey", registry.pipe(F.col("c_mktsegment"), [("lowercase",)]).alias("s"))
+
+
+# The capital of a sharp s is SS; the twin's `upper` keeps it one letter.
+@query("uppercase", "SELECT doc_id, upper(replace(text, 'ß', 'ss')) AS s FROM documents")
+def uppercase(t):
+    return t.documents.select("doc_id", registry.pipe(F.col("text"), [("uppercase",)]).alias("s"))
+
+
 @query("trim", r"SELECT doc_id, regexp_replace(regexp_replace(chr(160) || chr(10) || text || ' ' || chr(9), '^[\s\x{00A0}]+', ''), '[\s\x{00A0}]+$', '') AS s FROM documents")
 def trim(t):
     padded = F.concat(F.lit(" \n"), "text", F.lit(" \t"))

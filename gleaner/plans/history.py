@@ -87,7 +87,10 @@ def outcome_tally(t):
 
 @query(
     "run_row",
-    f"""{RUNS_SQL} SELECT 'sr-' || r.b AS id, outcome, sum(n) AS records, max(n) AS largest FROM r JOIN c ON c.b = r.b GROUP BY ALL""",
+    f"""{RUNS_SQL} 
+      , d AS (SELECT floor(epoch(ts) / 21600)::BIGINT AS b, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000 AS seconds FROM events GROUP BY 1)
+    SELECT 'sr-' || r.b AS id, outcome, sum(n) AS records, max(n) AS largest, round(any_value(seconds), 3) AS seconds
+    FROM r JOIN c ON c.b = r.b JOIN d ON d.b = r.b GROUP BY r.b, outcome""",
 )
 def run_row(t):
     n = F.map_values("counts")
@@ -96,6 +99,7 @@ def run_row(t):
         "outcome",
         F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x).alias("records"),
         F.array_max(n).alias("largest"),
+        F.round("seconds", 3).alias("seconds"),
     )
 
 

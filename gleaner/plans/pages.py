@@ -125,7 +125,11 @@ def html_select(t):
     return links.select("page_id", html.node_attr(F.col("a"), "href").alias("href"))
 
 
-UNESCAPE = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+# The old references end without their semicolon too: a page cut off at `&amp` reads `&`.
+UNESCAPE = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), "
+    "'&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+)
 H1 = "trim(" + UNESCAPE.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)") + ", chr(32) || chr(9) || chr(10) || chr(160))"
 LINKS = UNESCAPE.format(
     r"array_to_string(list_transform(regexp_extract_all(html, '<li><a [^>]*>(.*?)</a></li>', 1), lambda x: trim(x)), ' ')"

@@ -250,6 +250,18 @@ def run_to_store(t):
     return history.join(rows.groupBy("run").agg(F.count(F.lit(1)).alias("n")), "run").select("run", F.lit("Order").alias("type"), "n")
 
 
+@query(
+    "ephemeral_output",
+    "SELECT o_orderstatus AS status, count(*) AS lines, round(sum(l_extendedprice), 2) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+)
+def ephemeral_output(t):
+    store.ephemeral({"Order": order_records(t), "Line": line_records(t)}, "run_")
+    return t.spark.sql(
+        """SELECT o.status, count(*) AS lines, round(sum(l.price), 2) AS price
+        FROM run_Line l JOIN run_Order o ON l.`order`._ref = o._id GROUP BY o.status"""
+    )
+
+
 @query(
     "bind_column",
     """SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderstatus END AS status,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.value import epoch_micros
+from gleaner.operators.history import run_rows
 from gleaner.operators.ordered import numbered
 from gleaner.session import spread, stored
 from gleaner.sources.captures import exchange
@@ -129,18 +130,17 @@ class Tables:
         return self._once("runs", self._runs)
 
     def _runs(self) -> DataFrame:
-        bucket = F.floor(epoch_micros(F.col("ts")) / (RUN_SECONDS * 1_000_000))
-        per_type = self.events.groupBy(bucket.alias("bucket"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-        of = lambda t: F.coalesce(F.sum(F.when(F.col("event_type") == t, F.col("n"))), F.lit(0))
-        return per_type.groupBy("bucket").agg(
-            F.map_from_entries(F.collect_list(F.struct("event_type", F.col("n").cast("int")))).alias("counts"),
-            F.when(of("error") > of("view"), F.lit("fail")).otherwise(F.lit("ok")).alias("outcome"),
-        ).select(
+        micros = RUN_SECONDS * 1_000_000
+        events = self.events.select("event_type", epoch_micros(F.col("ts")).alias("at_us"))
+        rows = run_rows(events.withColumn("bucket", F.floor(F.col("at_us") / micros)), ["bucket"], "event_type", "at_us")
+        of = lambda t: F.coalesce(F.try_element_at("counts", F.lit(t)), F.lit(0))
+        return rows.select(
             F.concat(F.lit("sr-"), "bucket").alias("id"),
             F.lit("events").alias("run_id"),
             (F.col("bucket") * (RUN_SECONDS * 1000)).alias("at"),
-            "outcome",
+            F.when(of("error") > of("view"), F.lit("fail")).otherwise(F.lit("ok")).alias("outcome"),
             "counts",
+            "seconds",
         )
 
     @cached_property

@@ -75,6 +75,12 @@ def load_records(
     return rows.orderBy("_emitted_at", "_order").limit(limit).drop(*hidden)
 
 
+def ephemeral(frames: Mapping[str, DataFrame], prefix: str = "") -> None:
+    """Records as temporary views instead of files: nothing outlives the session."""
+    for name, records in frames.items():
+        records.createOrReplaceTempView(f"{prefix}{name}")
+
+
 def load_run_snapshot(spark: SparkSession, base: str, names: list[str], run: str | None = None) -> DataFrame:
     """The records of a run of all types as envelopes `(_id, _type, _order, fields)`."""
     out = None

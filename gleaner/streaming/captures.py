@@ -61,8 +61,10 @@ def settle(stream: DataFrame, source: str, at: str, quiet: str, late: str = "1 h
     """Stretches of a source with no gap longer than `quiet`: `(source, from, until, n)`.
 
     In append mode a stretch comes out once the watermark shows that it is over. The time must
-    be a TIMESTAMP: a watermark cannot be set on TIMESTAMP_NTZ.
+    be a TIMESTAMP: a watermark cannot be set on TIMESTAMP_NTZ. Stretches are merged in every
+    map task before the shuffle, so a busy source sends few rows.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         stream.withWatermark(at, late)
         .groupBy(source, F.session_window(at, quiet).alias("w"))

@@ -162,3 +162,19 @@ def test_request_bodies(spark):
     assert got["json"] == '{"q":"a b&c","in":{"x":2},"z":null}'
     assert got["url"] == "http://h/p?x=1&page=2"
     assert got["h"] == {"A": "a b&c", "User-Agent": "agent", "Content-Type": "text/plain"}
+
+
+def test_inputs(spark):
+    from gleaner.sources import inputs
+
+    def file(text):
+        path = new_path(spark, "inputs")
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+        return path
+
+    path = file('{"site": "x", "limit": 5, "items": [{"id": 1}, {"id": 2}]}')
+    given = inputs.read_inputs(spark, path)
+    assert given["site"] == "x" and set(inputs.constants(given)) == {"site", "limit"}
+    assert [r["id"] for r in inputs.table(spark, path, "items", "id: int").collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        inputs.read_inputs(spark, file("[1]"))
