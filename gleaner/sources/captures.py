@@ -88,26 +88,35 @@ def decode_body(headers: Column, body: Column, override: str | None = None) -> C
 
     The format is the override, else what the Content-Type says, else JSON if the body parses.
     """
-    mime = content_type(headers)
-    declared = (
-        F.when(mime.startswith("application/json") | mime.endswith("+json"), F.lit("json"))
-        .when(mime == "text/html", F.lit("html"))
-        .when(mime.startswith("application/xml") | (mime == "text/xml") | mime.endswith("+xml"), F.lit("xml"))
-        .when(mime.isNotNull(), F.lit("text"))
-    )
-    if override:
-        declared = F.lit(override)
     some = F.when(body != "", body)
-    wanted = F.when(F.coalesce(declared, F.lit("json")) == "json", some)
 
-    def result(value: Column) -> Column:
+    def decoded(declared: Column) -> Column:
+        wanted = F.when(F.coalesce(declared, F.lit("json")) == "json", some)
+        return _bind(F.try_parse_json(wanted), lambda value: result(declared, value))
+
+    def result(declared: Column, value: Column) -> Column:
         guessed = F.when(value.isNull(), F.lit("text")).otherwise(F.lit("json"))
         return F.struct(
             F.coalesce(declared, guessed).alias("format"), value.alias("value"), F.when(value.isNull(), some).alias("text")
         )
 
-    # Through a lambda, so that each body is parsed once.
-    return F.get(F.transform(F.array(F.try_parse_json(wanted)), result), F.lit(0))
+    if override:
+        return decoded(F.lit(override))
+    return _bind(content_type(headers), lambda mime: _bind(_format_of(mime), decoded))
+
+
+def _format_of(mime: Column) -> Column:
+    return (
+        F.when(mime.startswith("application/json") | mime.endswith("+json"), F.lit("json"))
+        .when(mime == "text/html", F.lit("html"))
+        .when(mime.startswith("application/xml") | (mime == "text/xml") | mime.endswith("+xml"), F.lit("xml"))
+        .when(mime.isNotNull(), F.lit("text"))
+    )
+
+
+def _bind(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row: a lambda variable is not evaluated again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def capture_body(body: Column) -> Column:
