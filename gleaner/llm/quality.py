@@ -26,6 +26,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)), " "), "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is made once: a lambda's argument is, an expression inside a lambda is not."""
+    return F.transform(F.array(value), use)[0]
+
+
 def word_chars(text: Column) -> Column:
     return F.char_length(F.translate(F.coalesce(text, F.lit("")), SPACES, "")).cast("long")
 
@@ -41,7 +46,7 @@ def lines(text: Column) -> Column:
 
 
 def duplicate_lines(lines: Column) -> Column:
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+    return _let(lines, lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
 
 
 def _windows(ws: Column, make: Callable[[Column, Column], Column]) -> Column:
@@ -51,7 +56,7 @@ def _windows(ws: Column, make: Callable[[Column, Column], Column]) -> Column:
 
 def window_hashes(ws: Column) -> Column:
     """A 64-bit hash of every window; null with fewer words than a window. Equal windows have equal hashes."""
-    return _windows(ws, lambda ws, i: F.xxhash64(*[F.get(ws, i + k) for k in range(WINDOW)]))
+    return _let(ws, lambda ws: _windows(ws, lambda ws, i: F.xxhash64(*[F.get(ws, i + k) for k in range(WINDOW)])))
 
 
 def repeated_words(ws: Column, hashes: Column) -> Column:
@@ -61,10 +66,9 @@ def repeated_words(ws: Column, hashes: Column) -> Column:
     repeat; the union of their stretches is summed over the sorted places.
     """
     window = lambda ws, i: F.struct(F.slice(ws, i + 1, WINDOW).alias("w"), i.alias("at"))
-    ordered = F.array_sort(_windows(ws, window))
-    return F.when(
-        F.coalesce(F.size(hashes) == F.size(F.array_distinct(hashes)), F.lit(True)), F.lit(0).cast("long")
-    ).otherwise(_covered(_repeats(ordered)))
+    exact = lambda ws: _let(F.array_sort(_windows(ws, window)), lambda o: _covered(_repeats(o)))
+    alone = _let(hashes, lambda h: F.coalesce(F.size(h) == F.size(F.array_distinct(h)), F.lit(True)))
+    return F.when(alone, F.lit(0).cast("long")).otherwise(_let(ws, exact))
 
 
 def _repeats(ordered: Column) -> Column:
@@ -173,5 +177,5 @@ def base_rules(text: str = "text") -> list[Rule]:
     ws = words(F.col(text))
     return [
         Rule("short", F.size(ws) < 10),
-        Rule("repeats", 100 * repeated_words(ws, window_hashes(ws)) > 20 * F.size(ws)),
+        Rule("repeats", _let(ws, lambda ws: 100 * repeated_words(ws, window_hashes(ws)) > 20 * F.size(ws))),
     ]
