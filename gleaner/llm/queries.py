@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, quality, sharding
-from gleaner.session import stored
+from gleaner.llm import binary, chat, packing, quality, sharding
+from gleaner.session import new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,31 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
     out = sharding.assign(rows, "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     out = sharding.numbered(out, "shard", "doc_id", ["text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+# Rows of a document's pieces come from one pass over the texts; digests are taken of the ids it returns.
+@query("op2_packing")
+def packed(spark: SparkSession, path: str) -> DataFrame:
+    """All documents in sequences of at most 4096 ids, cut where a sequence is full."""
+    return pieces(documents(spark, path))
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    out = packing.pack_texts(docs, "doc_id", "text", vocabulary("word_bpe_49k.json"), [2])
+    crc = F.crc32("ids").alias("ids_crc32")
+    return out.select(F.col("key").alias("doc_id"), "start", "length", crc, "doc_tokens", "sequence_id", "offset", "segment")
+
+
+@query("op8_token_output")
+def token_output(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of all documents written to Simple-8b frames in order of doc_id, and read back from them."""
+    to = new_path(spark, "tokens")
+    binary.write_tokens(documents(spark, path), "doc_id", "text", vocabulary("byte_bpe_50k.json"), [0], to)
+    back = binary.read_tokens(spark, to)
+    return back.select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
