@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import binary, chat, packing, quality, sharding
+from gleaner.llm import binary, bpe, chat, packing, quality, sharding
 from gleaner.session import new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,13 @@ def token_output(spark: SparkSession, path: str) -> DataFrame:
     binary.write_tokens(documents(spark, path), "doc_id", "text", vocabulary("byte_bpe_50k.json"), [0], to)
     back = binary.read_tokens(spark, to)
     return back.select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op4_byte_bpe")
+def byte_bpe(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of every text by the rank file, and the bytes they decode to, as digests."""
+    v = vocabulary("byte_bpe_50k.tiktoken")
+    out = bpe.encode(documents(spark, path).select("doc_id", "text"), "text", v).drop("text")
+    out = bpe.decode(out, "ids", v, offsets="offsets")
+    n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return out.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
