@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import binary, bpe, chat, packing, quality, sharding
+from gleaner.llm import binary, bpe, chat, packing, quality, sharding, winnow
 from gleaner.session import new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,18 @@ def byte_bpe(spark: SparkSession, path: str) -> DataFrame:
     out = bpe.decode(out, "ids", v, offsets="offsets")
     n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return out.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_winnowing")
+def fingerprinted(spark: SparkSession, path: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited forms; the strings are the chosen hashes in order, in hex."""
+    out = winnow.compared(documents(spark, path), "doc_id", "text")
+    return out.select(
+        F.col("key").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        F.lower(F.hex("hashes")).alias("fingerprint"),
+        F.lower(F.hex("edited_hashes")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
