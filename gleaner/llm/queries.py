@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import binary, bpe, chat, jaccard, packing, quality, sharding, winnow
+from gleaner.llm import binary, bpe, chat, jaccard, packing, quality, sharding, toxicity, winnow
 from gleaner.session import new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,24 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach r ON r.x = w.doc_id GR
 def near_copies(spark: SparkSession, path: str) -> DataFrame:
     """Every document's component of near copies: five-word shingles, similarity of 0.75 or more."""
     return jaccard.near_duplicates(documents(spark, path)).withColumnRenamed("id", "doc_id")
+
+
+TOXIC_FROM = 0.3
+
+
+def held_out(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, path: str) -> toxicity.Model:
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    return toxicity.fit(docs, labels, "doc_id", "text", "toxic", ~held_out())
+
+
+@query("op6_toxicity")
+def toxic_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Every document's toxicity; labels of the held-out fold are not read into the fit."""
+    docs = documents(spark, path).select("doc_id", "text")
+    out = toxicity.scored(docs, "text", toxicity_model(docs, spark, path))
+    predicted = (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", predicted)
