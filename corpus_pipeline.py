@@ -1,13 +1,64 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences: each stage works on what the one before it kept.
+
+`STAGES` are written and read back one after the other; all but the last return the columns of `documents`. Every
+stage handles null texts, repeated rows and empty tables as its operator says.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.llm import jaccard, pii, quality, queries, toxicity
+from gleaner.session import stored
+
+# Packing and compression have no SQL; the tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the limit. Fitted on labels of what is here, but for the held-out fold."""
+    model = queries.toxicity_model(docs, spark, sf_dir)
+    return toxicity.scored(docs, "text", model, "_score").where(F.col("_score") < queries.TOXIC_FROM).drop("_score")
+
+
+def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects; rules are tried in the order that a sample gives."""
+    rules = [*quality.base_rules(), *quality.text_rules()]
+    rules = quality.ordered(stored(quality.sample_of(docs.select("doc_id", "text")), "sample"), rules)
+    return docs.where(quality.cascade(rules).isNull())
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each component of near copies. Rows without an id stay, as do all rows of an id
+    that stays."""
+    found = stored(jaccard.near_duplicates(docs), "components")
+    gone = found.where(F.col("id") != F.col("component_id")).select("id").distinct()
+    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+
+
+def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by pseudonyms of the same length."""
+    return pii.pseudonymised(docs, "text", queries.PII_KEY, spans=None)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 ids."""
+    return queries.pieces(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_junk),
+    ("near_copies", drop_copies),
+    ("private_data", hide_private),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of a folder; each but the last is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
