@@ -130,7 +130,7 @@ def chained(docs: DataFrame, key: str, text: str) -> DataFrame:
     place = F.coalesce(F.col("key").cast("double"), F.lit(-math.inf))
     cuts = docs.select(F.col("key").cast("double").alias("p")).approxQuantile("p", [i / n for i in range(1, n)], 0.1 / n)
     docs = docs.withColumn("_place", place)
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    splits = [-math.inf, *(sorted(set(cuts)) or [0.0]), math.inf]
     docs = Bucketizer(splits=splits, inputCol="_place", outputCol="_block").transform(docs).withColumn("block", F.col("_block").cast("int")).drop("_place", "_block")
     tops = sorted(docs.groupBy("block").agg(F.max("key").alias("top")).collect(), key=lambda r: -r["block"])
     pairs = [(below["top"], here["block"]) for here, below in zip(tops, tops[1:] + tops[:1])]
