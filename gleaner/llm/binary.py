@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,9 +195,11 @@ def _read(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, ["key", "part", "frame", "within", "n_ids", "ids"])
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, value: Column | None = None) -> DataFrame:
     """The documents of written frames: key, start (ids of all documents before it), n_ids, ids (little-endian 32-bit).
 
+    `value`: a column made of `ids` right where they are read, and returned under its own name in their place.
+
     Starts come from the counts beside the frames: summed within a file, then over files, of which there are as
     many as tasks that wrote. A frame's few hundred thousand ids are what a task holds at once.
     """
@@ -209,6 +211,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         + [T.StructField("within", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("ids", T.BinaryType())]
     )
     rows = frames.select("keys", "part", "frame", "image").mapInArrow(_read, schema)
+    rows = rows.select("key", "part", "frame", "within", "n_ids", F.col("ids") if value is None else value)
     counts = frames.select(F.col("part").alias("_part"), F.col("frame").alias("_frame"), F.col("n_ids").alias("_n"))
     before = Window.unboundedPreceding, -1
     parts = counts.groupBy("_part").agg(F.sum("_n").alias("_n"))
@@ -217,5 +220,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     base = counts.withColumn("_in", inside).join(parts, F.col("_part") == F.col("_file"))
     base = base.select("_part", "_frame", (F.col("_file_base") + F.col("_in")).alias("_base"))
     return rows.join(base, (F.col("part") == F.col("_part")) & (F.col("frame") == F.col("_frame"))).select(
-        "key", (F.col("_base") + F.col("within")).alias("start"), "n_ids", "ids"
+        "key", (F.col("_base") + F.col("within")).alias("start"), "n_ids", rows.columns[-1]
     )

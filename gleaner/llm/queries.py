@@ -168,8 +168,8 @@ def token_output(spark: SparkSession, path: str) -> DataFrame:
     """Ids of all documents written to Simple-8b frames in order of doc_id, and read back from them."""
     to = new_path(spark, "tokens")
     binary.write_tokens(documents(spark, path), "doc_id", "text", vocabulary("byte_bpe_50k.json"), [0], to)
-    back = binary.read_tokens(spark, to)
-    return back.select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    back = binary.read_tokens(spark, to, F.crc32("ids").alias("ids_crc32"))
+    return back.select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
 
 @query("op4_byte_bpe")

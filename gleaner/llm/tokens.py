@@ -15,10 +15,11 @@ import pyarrow as pa
 
 # White space that every pattern in use treats as such, after a character that none does: no token spans that place.
 GAP = re.compile(r"(?<=\S)[ \n\t\r]")
-# A word with the white space before it. Rarer white space stays inside.
-SPACED = re.compile(r"\s*\S+(?:[^\S \n\t\r]\s*\S*)*|\s+")
+# A word with the white space before it; rarer white space stays inside. Letters and digits before a full stop or
+# comma are a word of their own, as no token holds both.
+SPACED = re.compile(r"\s*[^\W_]++(?=[.,])|\s*\S+(?:[^\S \n\t\r]\s*\S*)*|\s+")
 # A word alone, for vocabularies that drop white space.
-BARE = re.compile(r"[^ \n\t\r]+")
+BARE = re.compile(r"[^\W_]++(?=[.,])|[^ \n\t\r]+")
 STRETCH = 1 << 18
 
 _loaded: dict[tuple, object] = {}
@@ -44,7 +45,7 @@ class Cache:
     """Ids of words, by `encode` on lists of new ones. Two generations bound the memory: an entry that is not
     used while `limit` others come goes away."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 400_000):
         self.encode, self.limit = encode, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -52,13 +53,14 @@ class Cache:
     def learn(self, words: Iterable[Sequence[str]]) -> None:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        new = set().union(*words)
-        new -= self.young.keys()
-        found = [(w, v) for w in new if (v := self.old.get(w)) is not None]
-        self.young.update(found)
-        new.difference_update(w for w, _ in found)
-        rest = list(new)
-        self.young.update(zip(rest, self.encode(rest)))
+        young, old, rest = self.young, self.old, []
+        for w in set().union(*words):
+            if w not in young:
+                if (v := old.get(w)) is not None:
+                    young[w] = v
+                else:
+                    rest.append(w)
+        young.update(zip(rest, self.encode(rest)))
 
     def join(self, words: Sequence[str]) -> bytes:
         return b"".join(map(self.young.__getitem__, words))
@@ -72,7 +74,7 @@ class Cache:
 def file_encoder(path: str, bare: bool) -> Callable[[Sequence[str]], list[bytes]]:
     """Encode whole texts with a tokenizers file; no special tokens, and their strings are ordinary text.
 
-    `bare` for vocabularies that drop white space, as their words are then the same with and without.
+    `bare` for vocabularies that drop white space and case: words are then kept without either (A to Z only).
     """
 
     def make():
@@ -83,13 +85,17 @@ def file_encoder(path: str, bare: bool) -> Callable[[Sequence[str]], list[bytes]
         tok.encode_special_tokens = True
 
         def encode(words: list[str]) -> Iterator[bytes]:
-            for i in range(0, len(words), 4096):
-                for e in tok.encode_batch_fast(words[i : i + 4096], add_special_tokens=False):
-                    yield np.array(e.ids, "<u4").tobytes()
+            for i in range(0, len(words), 512):
+                some = words[i : i + 512]
+                e = tok.encode(some, is_pretokenized=True, add_special_tokens=False)
+                ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
+                cuts = (np.searchsorted(of, np.arange(len(some) + 1)) * 4).tolist()
+                yield from (ids[a:b] for a, b in zip(cuts, cuts[1:]))
 
         cache = Cache(encode)
         split = BARE if bare else SPACED
-        return lambda texts: cache.texts(texts, split)
+        small = (lambda t: t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) if bare else (lambda t: t)
+        return lambda texts: cache.texts([small(t) for t in texts], split)
 
     return once(("file", path, bare), make)
 
