@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import binary, bpe, chat, jaccard, packing, quality, sharding, toxicity, winnow
+from gleaner.llm import binary, bpe, chat, jaccard, packing, pii, quality, sharding, toxicity, winnow
 from gleaner.session import new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,3 +238,14 @@ def toxic_scores(spark: SparkSession, path: str) -> DataFrame:
     out = toxicity.scored(docs, "text", toxicity_model(docs, spark, path))
     predicted = (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", predicted)
+
+
+# Stands for the secret that a real run takes from its own settings.
+PII_KEY = b"example key of the test tables"
+
+
+@query("op7_pii")
+def private_data(spark: SparkSession, path: str) -> DataFrame:
+    """Every document with pseudonyms for its personal numbers, dates and mail names, and where they are."""
+    out = pii.pseudonymised(documents(spark, path).select("doc_id", "text"), "text", PII_KEY)
+    return out.withColumn("n_replaced", F.coalesce(F.size("spans"), F.lit(0)).cast("long"))
