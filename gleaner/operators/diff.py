@@ -4,31 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.ordered import first_rows
+from gleaner.session import path_exists
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Keys that were added, removed or changed, with the fields that changed; unchanged keys are left out."""
-    old = before.select(*[F.col(k) for k in key], F.struct(*fields).alias("__old"))
-    new = after.select(*[F.col(k) for k in key], F.struct(*fields).alias("__new"))
-    differ = F.array_compact(
-        F.array(*[F.when(~F.col(f"__old.{f}").eqNullSafe(F.col(f"__new.{f}")), F.lit(f)) for f in fields])
+    """Rows that were added, removed, changed or left alone: the key, change, fields (that changed), copies.
+
+    A key may repeat and be null. Equal rows of both sides are `unchanged`, as often as both have them. What is left
+    of a key is paired in the order of its fields: a pair is `changed`, the rest `added` or `removed`. Both sides are
+    reduced to counts of equal rows before they meet, so repeats are never multiplied.
+    """
+    key, fields = list(key), list(fields)
+    both = before.select(*key, *fields, F.lit(1).alias("__b"), F.lit(0).alias("__a")).unionAll(
+        after.select(*key, *fields, F.lit(0).alias("__b"), F.lit(1).alias("__a"))
     )
-    return (
-        old.join(new, list(key), "full_outer")
-        .withColumn(
-            "change",
-            F.when(F.col("__old").isNull(), F.lit("added"))
-            .when(F.col("__new").isNull(), F.lit("removed"))
-            .when(F.size(differ) > 0, F.lit("changed")),
-        )
-        .filter(F.col("change").isNotNull())
-        .withColumn("fields", F.when(F.col("change") == "changed", F.array_join(differ, ",")))
-        .drop("__old", "__new")
+    counts = both.groupBy(*key, *fields).agg(F.sum("__b").alias("__b"), F.sum("__a").alias("__a"))
+    alike = counts.where("__b > 0 AND __a > 0").groupBy(*key).agg(F.sum(F.least("__a", "__b")).alias("copies"))
+    place = Window.partitionBy(*key).orderBy(*fields)
+
+    def rest(n: Column, name: str) -> DataFrame:
+        """The copies that the other side lacks, numbered within their key."""
+        own = counts.where(n > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+        return own.select(*[F.col(k).alias(f"__{name}_{k}") for k in key], F.row_number().over(place).alias(f"__{name}"), F.struct(*fields).alias(name))
+
+    old = rest(F.col("__b") - F.col("__a"), "old")
+    new = rest(F.col("__a") - F.col("__b"), "new")
+    same = F.col("__old") == F.col("__new")
+    for k in key:
+        same = same & F.col(f"__old_{k}").eqNullSafe(F.col(f"__new_{k}"))
+    differ = F.array_compact(F.array(*[F.when(~F.col(f"old.{f}").eqNullSafe(F.col(f"new.{f}")), F.lit(f)) for f in fields]))
+    change = F.when(F.col("__old").isNull(), F.lit("added")).when(F.col("__new").isNull(), F.lit("removed")).otherwise(F.lit("changed"))
+    moved = old.join(new, same, "full_outer").select(
+        *[F.when(F.col("__old").isNull(), F.col(f"__new_{k}")).otherwise(F.col(f"__old_{k}")).alias(k) for k in key],
+        change.alias("change"),
+        F.when(F.col("__old").isNotNull() & F.col("__new").isNotNull(), F.array_join(differ, ",")).alias("fields"),
     )
+    moved = moved.groupBy(*key, "change", "fields").agg(F.count(F.lit(1)).alias("copies"))
+    return moved.unionByName(alike.select(*key, F.lit("unchanged").alias("change"), F.lit(None).cast("string").alias("fields"), "copies"))
 
 
 def snapshot_mismatch(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -55,6 +71,31 @@ def snapshot_equal(before: DataFrame, after: DataFrame) -> bool:
     return snapshot_mismatch(before, after).isEmpty()
 
 
+def moves(prior: DataFrame, following: DataFrame, child: str, parent: str) -> DataFrame:
+    """What an index of parents loses and gains when children move: child, parent, change.
+
+    A child that keeps its parent gives no row, one that moved a `remove` from its old parent and an `add` to its
+    new one; a null parent is none.
+    """
+    old = prior.select(F.col(child).alias("child"), F.col(parent).alias("__old"))
+    new = following.select(F.col(child).alias("child"), F.col(parent).alias("__new"))
+    moved = old.join(new, "child", "full_outer").where(~F.col("__old").eqNullSafe(F.col("__new")))
+    rows = F.array(F.struct(F.col("__old").alias("parent"), F.lit("remove").alias("change")), F.struct(F.col("__new").alias("parent"), F.lit("add").alias("change")))
+    return moved.select("child", F.inline(rows)).where(F.col("parent").isNotNull())
+
+
+def golden(spark: SparkSession, path: str, current: DataFrame, update: bool = False) -> tuple[str, DataFrame]:
+    """Compare a snapshot with the golden one at `path`, which is written if there is none or `update` asks for it.
+
+    Returns `written`, `equal` or `different`, and the rows that differ. The golden one changes in the first case only.
+    """
+    if update or not path_exists(spark, path):
+        current.write.mode("overwrite").parquet(path)
+        return "written", current.limit(0).withColumns({"change": F.lit(""), "copies": F.lit(0).cast("long")})
+    found = snapshot_mismatch(spark.read.schema(current.schema).parquet(path), current)
+    return ("equal" if found.isEmpty() else "different"), found
+
+
 def set_changes(prior: DataFrame, following: DataFrame) -> DataFrame:
     """Rows to add to and remove from an index when `prior` becomes `following`."""
     cols = prior.columns
@@ -67,9 +108,9 @@ def set_changes(prior: DataFrame, following: DataFrame) -> DataFrame:
 
 
 def merge_catalog(shared: DataFrame, local: DataFrame, name: str) -> DataFrame:
-    """Shared declarations, replaced by local ones of the same name."""
+    """Shared declarations, replaced by local ones of the same name; of several local ones the least row."""
     ranked = shared.withColumn("__rank", F.lit(1)).unionByName(local.withColumn("__rank", F.lit(0)))
-    return first_rows(ranked, [name], ["__rank"]).drop("__rank")
+    return first_rows(ranked, [name], ["__rank", *shared.columns]).drop("__rank")
 
 
 def name_collisions(declared: DataFrame, name: str) -> DataFrame:

@@ -1,10 +1,9 @@
 """Running values and short look-backs over ordered groups of any size.
 
 A plain window sorts each group in one task, so a group with a third of all rows makes one
-task do a third of the work. Groups are therefore measured first. While the largest is small
-enough for one task, a window it is. Beyond that rows are range partitioned by (keys, order)
-into blocks, a group may span many blocks, windows run inside (keys, block), and each block is
-shifted by what came before it.
+task do a third of the work. Rows are therefore range partitioned by (keys, order) into
+blocks, whatever their number: a group may span many blocks, windows run inside (keys, block),
+and each block is shifted by what came before it.
 """
 
 from __future__ import annotations
@@ -18,15 +17,6 @@ from gleaner.session import stored
 
 BLOCK = "__block"
 
-# A group up to this many rows is sorted by one task; a larger one is split.
-HOT_ROWS = 1_000_000
-
-
-def has_hot_group(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether some group is too large for one task: counts per group, combined before the shuffle."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return not sizes.filter(F.col("n") > HOT_ROWS).isEmpty()
-
 
 def running(
     df: DataFrame,
@@ -39,19 +29,11 @@ def running(
 ) -> DataFrame:
     """Add inclusive running sums and last-non-null values per group, in `order`.
 
-    `order` must be unique inside a group. `blocks` forces the split into that many blocks; by
-    default it happens for hot groups only, and the session's shuffle setting decides.
+    `order` must be unique inside a group. `blocks` is the number of blocks; by default the
+    session's shuffle setting decides.
     """
     sums, last = dict(sums or {}), dict(last or {})
     keys, order = list(keys), list(order)
-    if blocks is None and not has_hot_group(df, keys):
-        by = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-        w = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select(
-            "*",
-            *[F.sum(c).over(w).alias(n) for n, c in sums.items()],
-            *[F.last(c, ignorenulls=True).over(w).alias(n) for n, c in last.items()],
-        )
     inputs = {f"__s_{n}": c for n, c in sums.items()} | {f"__l_{n}": c for n, c in last.items()}
     by = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     rank = [F.col(k) for k in keys] + by
@@ -150,9 +132,6 @@ def look_back(
     """
     if size < preceding:
         raise ValueError("size must be at least preceding")
-    if blocks is None and not has_hot_group(df, keys):
-        near = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-preceding, -1)
-        return df.withColumns(dict(values(near)))
     rows = numbered(df, keys, order, "__pos", blocks)
     stretch = F.floor((F.col("__pos") - 1) / size)
     tail = (F.col("__pos") - 1) % size >= size - preceding

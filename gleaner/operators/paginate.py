@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.graph import follow
 from gleaner.operators.iterate import for_each
-from gleaner.operators.ordered import first_rows, running
+from gleaner.operators.ordered import running
 
 
 def _until(pages: DataFrame, source: str, page: str, stop: Column) -> DataFrame:
@@ -42,16 +42,20 @@ def pages_until_empty(pages: DataFrame, source: str, page: str, n_items: Column)
     return _until(pages, source, page, F.coalesce(n_items, F.lit(0)) == 0)
 
 
-def pages_by_cursor(pages: DataFrame, starts: DataFrame, token: str, next_token: Column) -> DataFrame:
-    """Pages met by following `next_token` from each `starts(start, node)`; rows get `start` and `hops`.
+def pages_by_cursor(pages: DataFrame, starts: DataFrame, source: str, token: str, next_token: Column) -> DataFrame:
+    """Pages met by following `next_token` within a source from each `starts(source, token)`; rows get `hops`.
 
-    A null or empty token ends the walk.
+    Tokens mean something to their own source only: sources may use the same ones. A null or empty token ends the
+    walk, and so does one that is not text.
     """
-    edges = pages.select(
-        F.col(token).alias("node"), F.when(next_token.cast("string") != "", next_token).alias("next")
-    )
-    met = follow(edges, starts)
-    return pages.join(met, F.col(token) == F.col("node")).drop("node")
+    kind = pages.select(next_token.alias("next")).schema["next"].dataType.simpleString()
+    onward = F.when(next_token != "", next_token) if kind == "string" else F.lit(None).cast("string")
+    place = lambda t: F.struct(F.col(source).alias("source"), t.alias("token"))
+    edges = pages.select(place(F.col(token)).alias("node"), F.when(onward.isNotNull(), place(onward)).alias("next"))
+    first = starts.select(place(F.col(token)).alias("node")).select(F.col("node").alias("start"), "node")
+    met = follow(edges, first).select(F.col("node.source").alias("__src"), F.col("node.token").alias("__token"), "hops")
+    same = F.col(source).eqNullSafe(F.col("__src")) & (F.col(token) == F.col("__token"))
+    return pages.join(met, same).drop("__src", "__token")
 
 
 def page_items(pages: DataFrame, items: Column, name: str = "item") -> DataFrame:
@@ -59,11 +63,21 @@ def page_items(pages: DataFrame, items: Column, name: str = "item") -> DataFrame
     return for_each(pages, items, name, at="position")
 
 
-def request_cap(requests: DataFrame, run: str, order: list[str], cap: int = 500) -> DataFrame:
-    """Requests inside the cap, and whether their run asked for more."""
-    kept = first_rows(requests, [run], order, cap)
+# Fixed value: the requests that a run may make.
+MAX_REQUESTS = 500
+
+
+def request_cap(requests: DataFrame, run: str, order: list[str], cap: int = MAX_REQUESTS, strict: bool = False) -> DataFrame:
+    """All requests, marked `over_cap` beyond the cap of their run, and `capped` if their run went beyond it.
+
+    Nothing is dropped; `strict` raises at a request over the cap.
+    """
+    counted = running(requests, [run], order, sums={"__n": F.lit(1)})
+    over = F.col("__n") > cap
+    if strict:
+        over = F.when(over, F.raise_error(F.lit(f"exceeded {cap} requests"))).otherwise(F.lit(False))
     sizes = requests.groupBy(F.col(run).alias("__run")).agg((F.count(F.lit(1)) > cap).alias("capped"))
-    return kept.join(sizes, F.col(run).eqNullSafe(F.col("__run"))).drop("__run")
+    return counted.withColumn("over_cap", over).join(sizes, F.col(run).eqNullSafe(F.col("__run"))).drop("__run", "__n")
 
 
 def capture_count_until(captures: DataFrame, run: str, order: list[str], needle: str, n: int) -> DataFrame:

@@ -80,26 +80,22 @@ def page_number(t):
 
 @query(
     "pages_by_cursor",
-    f"{PAGES_SQL} SELECT o_custkey AS source, o_orderkey AS id, i - 1 AS hops FROM n",
+    f"""{PAGES_SQL} SELECT o_custkey AS source, ceil(i / 3.0)::BIGINT AS page_no, ceil(i / 3.0)::BIGINT - 1 AS hops FROM n GROUP BY ALL
+    UNION ALL SELECT o_custkey, ceil(max(total) / 3.0)::BIGINT + 1, ceil(max(total) / 3.0)::BIGINT FROM n GROUP BY 1""",
 )
 def pages_by_cursor(t):
-    # Each order page names the customer's next order; the last has no token.
-    pages = _next_orders(t)
-    starts = t.orders.groupBy(F.col("o_custkey").alias("start")).agg(F.min("o_orderkey").alias("node"))
-    met = paginate.pages_by_cursor(pages, starts, "id", F.col("next"))
-    return met.select(F.col("start").alias("source"), "id", "hops")
-
-
-def _next_orders(t: Tables) -> DataFrame:
-    rows = numbered(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], "n")
-    nxt = rows.select("o_custkey", (F.col("n") - 1).alias("n"), F.col("o_orderkey").alias("next"))
-    return rows.join(nxt, ["o_custkey", "n"], "left").select(F.col("o_orderkey").alias("id"), "next")
+    # Every customer uses the tokens '1', '2', ...; the empty page names no next one.
+    pages = _read(t).withColumn("token", F.col("page_no").cast("string"))
+    onward = F.when(F.size("doc.list") > 0, (F.col("page_no") + 1).cast("string"))
+    starts = t.orders.select(F.col("o_custkey").alias("source"), F.lit("1").alias("token")).distinct()
+    met = paginate.pages_by_cursor(pages.select("source", "page_no", "token", onward.alias("next")), starts, "source", "token", F.col("next"))
+    return met.select("source", "page_no", "hops")
 
 
 @query(
     "request_cap",
     """WITH r AS (SELECT event_id, event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i,
-      count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT run, event_id, n > 500 AS capped FROM r WHERE i <= 500""",
+      count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT run, event_id, i > 500 AS over_cap, n > 500 AS capped FROM r""",
 )
 def request_cap(t):
     return paginate.request_cap(t.events.select(F.col("event_type").alias("run"), "event_id"), "run", ["event_id"])

@@ -130,12 +130,21 @@ def dq_stall_report(t):
 
 @query(
     "golden_update",
-    f"{VERSIONS_SQL} SELECT output_ref, count(*) AS n FROM latest GROUP BY 1",
+    f"""{VERSIONS_SQL}, g AS (SELECT output_ref, count(*) AS n FROM latest GROUP BY 1), o AS (SELECT output_ref, count(*) AS n FROM v WHERE version = 1 GROUP BY 1)
+    SELECT *, 'removed' AS change, 1 AS copies, 'different' AS state FROM (FROM o EXCEPT FROM g)
+    UNION ALL SELECT *, 'added', 1, 'different' FROM (FROM g EXCEPT FROM o)
+    UNION ALL SELECT *, 'golden', 1, 'written,equal' FROM o""",
 )
 def golden_update(t):
-    """Write a snapshot as the golden one, then read it back for the next comparison."""
+    """First versions as the golden snapshot: written, compared with itself, then with the latest versions."""
+    from gleaner.operators.diff import golden
     from gleaner.operators.publishing import latest
-    from gleaner.session import stored
-
-    now = latest(t.versions, ["slug"]).groupBy("output_ref").agg(F.count(F.lit(1)).alias("n"))
-    return stored(now, "golden")
+    from gleaner.session import new_path
+
+    refs = lambda v: v.groupBy("output_ref").agg(F.count(F.lit(1)).alias("n"))
+    path = new_path(t.spark, "golden")
+    first = refs(t.versions.where("version = 1"))
+    states = [golden(t.spark, path, first)[0], golden(t.spark, path, first)[0]]
+    state, rows = golden(t.spark, path, refs(latest(t.versions, ["slug"])))
+    kept = t.spark.read.parquet(path).withColumns({"change": F.lit("golden"), "copies": F.lit(1).cast("long"), "state": F.lit(",".join(states))})
+    return rows.withColumn("state", F.lit(state)).unionByName(kept)

@@ -70,11 +70,15 @@ def index_diff(t):
 
 @query(
     "extends_move",
-    f"""{VERSIONS_SQL} SELECT slug AS child, input_ref AS parent FROM latest""",
+    f"""{VERSIONS_SQL}, m AS (SELECT n.slug, p.input_ref AS old, n.input_ref AS new FROM latest n LEFT JOIN v p ON p.slug = n.slug AND p.version = n.version - 1)
+    SELECT slug AS child, old AS parent, 'remove' AS change FROM m WHERE old IS NOT NULL AND old <> new
+    UNION ALL SELECT slug, new, 'add' FROM m WHERE old IS DISTINCT FROM new""",
 )
 def extends_move(t):
-    # A child that moved to another parent is only where its latest version puts it.
-    return publishing.latest(t.versions, ["slug"]).select(F.col("slug").alias("child"), F.col("input_ref").alias("parent"))
+    """The latest publish of each child against the one before: where it leaves and where it goes."""
+    head = publishing.latest(t.versions, ["slug"])
+    before = head.select("slug", (F.col("version") - 1).alias("version")).join(t.versions, ["slug", "version"])
+    return diff.moves(before, head, "slug", "input_ref")
 
 
 @query(
@@ -114,10 +118,12 @@ def order_snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query(
     "snapshot_diff",
     """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'removed' WHEN 'P' THEN 'added' ELSE 'changed' END AS change,
-      CASE o_orderstatus WHEN 'O' THEN 'o_totalprice' END AS fields FROM orders WHERE o_orderstatus <> 'O' OR o_orderpriority = '1-URGENT'""",
+      CASE o_orderstatus WHEN 'O' THEN 'o_totalprice' END AS fields, 2 AS copies FROM orders WHERE o_orderstatus <> 'O' OR o_orderpriority = '1-URGENT'
+    UNION ALL SELECT o_orderkey, 'unchanged', NULL, 2 FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT'""",
 )
 def snapshot_diff(t):
-    before, after = order_snapshots(t)
+    # Every row twice: a key that repeats is not multiplied.
+    before, after = (x.unionAll(x) for x in order_snapshots(t))
     return diff.snapshot_diff(before, after, ["o_orderkey"], ["o_orderpriority", "o_totalprice"])
 
 

@@ -208,7 +208,7 @@ def write_records(t):
     out = None
     for name, amount in (("Order", "total"), ("Line", "price")):
         part = (
-            store.load_records(t.spark, base, name)
+            store.load_records(t.spark, base, name, ordered=False)
             .groupBy(F.col("_scheduled_run_id").alias("run"))
             .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(amount), 2).alias("total"))
             .select(F.lit(name).alias("type"), "run", "n", "total")
@@ -246,7 +246,7 @@ def load_run_snapshot(t):
 @query("run_to_store", f"SELECT {RUN_OF} AS run, 'Order' AS type, count(*) AS n FROM orders GROUP BY 1")
 def run_to_store(t):
     history = t.orders.select(F.year("o_orderdate").cast("string").alias("run")).distinct()
-    rows = store.load_records(t.spark, _store(t), "Order").select(F.col("_scheduled_run_id").alias("run"))
+    rows = store.load_records(t.spark, _store(t), "Order", ordered=False).select(F.col("_scheduled_run_id").alias("run"))
     return history.join(rows.groupBy("run").agg(F.count(F.lit(1)).alias("n")), "run").select("run", F.lit("Order").alias("type"), "n")
 
 

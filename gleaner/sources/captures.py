@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.session import path_exists
+
 # All kinds in one wide row; fields of the other kinds are null.
 CAPTURE = (
     "seq long, kind string, subkind string, url string, method string, "
@@ -33,7 +35,7 @@ def read_captures(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     Strict fails on a line that is not JSON. Otherwise such lines come back with their text in
     `_corrupt_record`, to be split off by `quarantine`.
     """
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], CAPTURE)
     if strict:
         return spark.read.schema(CAPTURE).json(path, mode="FAILFAST")
@@ -123,8 +125,3 @@ def capture_body(body: Column) -> Column:
     """`{value, text}`: JSON if the body parses, else its text."""
     value = F.try_parse_json(body)
     return F.struct(value.alias("value"), F.when(value.isNull(), body).alias("text"))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

@@ -1,11 +1,13 @@
-"""The record store: one Parquet table per record type, partitioned by run.
+"""The record store: one Parquet table per record type, partitioned by run and attempt.
 
-A run becomes visible when its row is in the commit table, written last. Writing a run again
-replaces its partitions, so a retried job leaves no duplicates.
+Rows are written under a fresh attempt, then the run's row in the commit table names it. Readers take the committed
+attempt only: a run stays as it was while it is written again, and nothing of an earlier attempt is seen afterwards,
+be it a type that is no longer emitted.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,55 +16,73 @@ from pyspark.sql import types as T
 
 from gleaner.operators.iterate import envelope
 from gleaner.operators.ordered import numbered
-from gleaner.sources.captures import _exists
+from gleaner.session import path_exists
 
-RUN = "_scheduled_run_id"
-HIDDEN = (RUN, "_emitted_at", "_order", "_type")
+RUN, ATTEMPT = "_scheduled_run_id", "_attempt"
+HIDDEN = (RUN, ATTEMPT, "_emitted_at", "_order", "_type")
 COMMITS = "_runs"
 
 
 def write_records(frames: Mapping[str, DataFrame], base: str, run: Column | str, emitted_at: Column | int) -> None:
     """Write the records of one or many runs, then commit them.
 
-    `frames` maps type to records with `_id` and `_order`; `run` is a constant or a column.
-    The rebalance hint evens out file sizes and splits a run that holds most of the rows.
+    `frames` maps type to records with `_id` and `_order`; `run` is a constant or a column. Each frame is computed
+    once: which runs to commit is read from the folders that were written. A table keeps its columns: records with
+    others, or without some, are refused before anything is written. The rebalance hint evens out file sizes and
+    splits a run that holds most of the rows.
     """
     one_run = run if isinstance(run, str) else None
-    run = F.lit(run) if one_run else run
+    run = F.lit(run) if one_run is not None else run
     at = F.lit(emitted_at) if isinstance(emitted_at, int) else emitted_at
-    runs = None
+    spark = next(iter(frames.values())).sparkSession
+    attempt = uuid.uuid4().hex
+    ready = {}
     for name, records in frames.items():
-        rows = records.withColumns({"_emitted_at": at.cast("long"), RUN: run.cast("string")})
-        _replace(rows.hint("rebalance", RUN), f"{base}/{name}")
+        rows = records.withColumns({"_emitted_at": at.cast("long"), RUN: run.cast("string"), ATTEMPT: F.lit(attempt)})
+        _check_columns(rows, f"{base}/{name}")
+        ready[name] = rows
+    runs = spark.range(1).select(F.lit(one_run).cast("string").alias(RUN)) if one_run is not None else None
+    for name, rows in ready.items():
+        rows.hint("rebalance", RUN).write.mode("append").partitionBy(RUN, ATTEMPT).parquet(f"{base}/{name}")
         if one_run is None:
-            mine = rows.select(RUN).distinct()
+            # Only folder names are read.
+            mine = _rows(spark, f"{base}/{name}").where(F.col(ATTEMPT) == attempt).select(RUN).distinct()
             runs = mine if runs is None else runs.unionByName(mine)
-    if one_run is not None:
-        runs = records.sparkSession.range(1).select(F.lit(one_run).alias(RUN))
-    _replace(runs.distinct().withColumn("committed", F.lit(True)), f"{base}/{COMMITS}")
+    commits = runs.distinct().withColumn(ATTEMPT, F.lit(attempt))
+    commits.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN).parquet(f"{base}/{COMMITS}")
 
 
-def _replace(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN).parquet(path)
+def _check_columns(rows: DataFrame, path: str) -> None:
+    """A table has one set of columns, so that no read drops any."""
+    if not path_exists(rows.sparkSession, path):
+        return
+    kinds = lambda df: {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name not in (RUN, ATTEMPT)}
+    have, come = kinds(_rows(rows.sparkSession, path)), kinds(rows)
+    if have != come:
+        odd = sorted({k for k in have.keys() | come.keys() if have.get(k) != come.get(k)})
+        raise ValueError(f"columns of {path} differ: " + ", ".join(f"{k} {have.get(k, 'absent')} -> {come.get(k, 'absent')}" for k in odd))
+
+
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    # Run ids stay text whatever they look like.
+    text = {RUN, ATTEMPT}
+    fields = [T.StructField(f.name, T.StringType()) if f.name in text else f for f in spark.read.parquet(path).schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame | None:
-    if not _exists(spark, f"{base}/{name}") or not _exists(spark, f"{base}/{COMMITS}"):
+    if not path_exists(spark, f"{base}/{name}") or not path_exists(spark, f"{base}/{COMMITS}"):
         return None
-    # Run ids stay text whatever they look like.
-    schema = spark.read.parquet(f"{base}/{name}").schema
-    fields = [T.StructField(RUN, T.StringType()) if f.name == RUN else f for f in schema.fields]
-    rows = spark.read.schema(T.StructType(fields)).parquet(f"{base}/{name}")
-    commits = spark.read.schema(f"committed boolean, {RUN} string").parquet(f"{base}/{COMMITS}")
-    return rows.join(commits.select(RUN), RUN, "left_semi")
+    commits = spark.read.schema(f"{ATTEMPT} string, {RUN} string").parquet(f"{base}/{COMMITS}")
+    return _rows(spark, f"{base}/{name}").join(commits, [RUN, ATTEMPT], "left_semi")
 
 
 def load_records(
-    spark: SparkSession, base: str, name: str, run: str | None = None, limit: int | None = None
+    spark: SparkSession, base: str, name: str, run: str | None = None, limit: int | None = None, ordered: bool = True
 ) -> DataFrame | None:
     """Records of a type, one run or all, in emission order; `None` when the store has no such table.
 
-    The run filter prunes partitions.
+    The run filter prunes partitions. `ordered=False` saves the sort where the order does not matter.
     """
     rows = _table(spark, base, name)
     if rows is None:
@@ -70,9 +90,9 @@ def load_records(
     if run is not None:
         rows = rows.filter(F.col(RUN) == run).drop(RUN)
     hidden = [c for c in HIDDEN if c in rows.columns and (run is not None or c != RUN)]
-    if limit is None:
-        return rows.drop(*hidden)
-    return rows.orderBy("_emitted_at", "_order").limit(limit).drop(*hidden)
+    if ordered or limit is not None:
+        rows = rows.orderBy("_emitted_at", "_order")
+    return (rows if limit is None else rows.limit(limit)).drop(*hidden)
 
 
 def ephemeral(frames: Mapping[str, DataFrame], prefix: str = "") -> None:
@@ -90,7 +110,7 @@ def load_run_snapshot(spark: SparkSession, base: str, names: list[str], run: str
             continue
         if run is not None:
             rows = rows.filter(F.col(RUN) == run)
-        one = envelope(rows.drop("_emitted_at", RUN))
+        one = envelope(rows.drop("_emitted_at", RUN, ATTEMPT))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -139,15 +139,28 @@ def test_cursor(spark):
     p = pages(spark, [("s", 1, ["a"], 0, "k2"), ("s", 2, ["b"], 0, "k3"), ("s", 3, ["c"], 0, ""), ("s", 9, ["z"], 0, "k1")]).withColumn(
         "token", F.concat(F.lit("k"), "page")
     )
-    starts = spark.createDataFrame([("s", "k1")], "start string, node string")
-    got = paginate.pages_by_cursor(p, starts, "token", F.col("next")).orderBy("hops").collect()
+    starts = spark.createDataFrame([("s", "k1")], "source string, token string")
+    got = paginate.pages_by_cursor(p, starts, p.columns[0], "token", F.col("next")).orderBy("hops").collect()
     assert [(r["hops"], r["items"][0]) for r in got] == [(0, "a"), (1, "b"), (2, "c")]
 
 
+def test_tokens_belong_to_their_source(spark):
+    rows = [("A", "1", "2"), ("A", "2", "3"), ("A", "3", None), ("B", "1", "2"), ("B", "2", ""), ("C", "1", "1")]
+    p = spark.createDataFrame(rows, "src string, token string, next string")
+    starts = spark.createDataFrame([("A", "1"), ("B", "1"), ("C", "1")], "src string, token string")
+    got = paginate.pages_by_cursor(p, starts, "src", "token", F.col("next")).select("src", "token", "hops").collect()
+    assert sorted(tuple(r) for r in got) == [("A", "1", 0), ("A", "2", 1), ("A", "3", 2), ("B", "1", 0), ("B", "2", 1), ("C", "1", 0)]
+    # A token that is no text ends the walk.
+    numbers = p.withColumn("next", F.col("next").try_cast("long"))
+    assert paginate.pages_by_cursor(numbers, starts, "src", "token", F.col("next")).count() == 3
+
+
 def test_request_cap(spark):
     r = spark.range(1205).select((F.col("id") % 2).alias("run"), "id")
-    got = paginate.request_cap(r, "run", ["id"], 500).groupBy("run", "capped").count().orderBy("run").collect()
-    assert [tuple(x) for x in got] == [(0, True, 500), (1, True, 500)]
+    got = paginate.request_cap(r, "run", ["id"], 602).groupBy("run", "over_cap", "capped").count().orderBy("run", "over_cap").collect()
+    assert [tuple(x) for x in got] == [(0, False, True, 602), (0, True, True, 1), (1, False, False, 602)]
+    with pytest.raises(Exception, match="exceeded 602"):
+        paginate.request_cap(r, "run", ["id"], 602, strict=True).collect()
 
 
 def test_request_bodies(spark):

@@ -66,20 +66,17 @@ def test_look_back(df, size):
     assert rows(got) == rows(df.withColumn("p", F.collect_list("at").over(w)))
 
 
-def test_split_only_when_hot(df, monkeypatch):
+def test_one_path_at_every_size(df, monkeypatch):
+    """The number of blocks changes nothing, and nothing is counted beforehand: one write for each scan."""
     from gleaner.operators import ordered
 
-    split = []
+    written = []
     real = ordered.stored
-    monkeypatch.setattr(ordered, "stored", lambda d, name="": split.append(1) or real(d, name))
+    monkeypatch.setattr(ordered, "stored", lambda d, name="": written.append(1) or real(d, name))
     plain = rows(running(df, ["k"], ["at"], sums={"n": F.lit(1)}))
-    assert not split
-    monkeypatch.setattr(ordered, "HOT_ROWS", 500)
-    assert rows(running(df, ["k"], ["at"], sums={"n": F.lit(1)})) == plain and len(split) == 1
-    back = lambda w: {"p": F.collect_list("at").over(w)}
-    hot = rows(look_back(df, ["k"], ["at"], 3, back))
-    monkeypatch.setattr(ordered, "HOT_ROWS", 5000)
-    assert rows(look_back(df, ["k"], ["at"], 3, back)) == hot
+    assert len(written) == 1
+    for blocks in (1, 3, 40):
+        assert rows(running(df, ["k"], ["at"], sums={"n": F.lit(1)}, blocks=blocks)) == plain
 
 
 def test_look_back_needs_room(df):

@@ -81,12 +81,47 @@ def test_store_round_trip(spark):
 def test_uncommitted_run_is_invisible(spark):
     base = new_path(spark, "store")
     store.write_records({"Item": items(spark, [(1, "a", 5)])}, base, "r1", 10)
-    items(spark, [(1, "x", 5)]).withColumns({"_emitted_at": F.lit(1).cast("long"), "_scheduled_run_id": F.lit("r2")}).write.mode("append").partitionBy(
-        "_scheduled_run_id"
-    ).parquet(f"{base}/Item")
+    for run, attempt in (("r2", "x"), ("r1", "y")):
+        odd = {"_emitted_at": F.lit(1).cast("long"), "_scheduled_run_id": F.lit(run), "_attempt": F.lit(attempt)}
+        rows = items(spark, [(1, "x", 5)]).withColumns(odd)
+        rows.write.mode("append").partitionBy("_scheduled_run_id", "_attempt").parquet(f"{base}/Item")
     assert [r["id"] for r in store.load_records(spark, base, "Item").collect()] == ["a"]
 
 
+def test_a_retried_run_leaves_nothing_behind(spark):
+    base = new_path(spark, "store")
+    other = items(spark, [(1, "b", 1)])
+    store.write_records({"Item": items(spark, [(1, "a", 5)]), "Other": other}, base, "r1", 10)
+    store.write_records({"Item": items(spark, [(2, "z", 0), (1, "y", 0)])}, base, "r1", 20)
+    assert [r["id"] for r in store.load_records(spark, base, "Item", "r1").collect()] == ["y", "z"]
+    assert store.load_records(spark, base, "Other", "r1").count() == 0
+
+
+def test_other_columns_are_refused(spark):
+    base = new_path(spark, "store")
+    store.write_records({"Item": items(spark, [(1, "a", 5)])}, base, "r1", 10)
+    for bad in (items(spark, [(1, "c", 7)]).withColumn("y", F.lit(1)), items(spark, [(1, "c", 7)]).drop("n"), items(spark, [(1, "c", 7)]).withColumn("n", F.lit("t"))):
+        with pytest.raises(ValueError, match="differ"):
+            store.write_records({"Item": bad}, base, "r2", 20)
+    assert store.load_records(spark, base, "Item").count() == 1
+
+
+def test_each_frame_is_computed_once(spark):
+    base = new_path(spark, "store")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = items(spark, [(i, str(i), i) for i in range(20)])
+    rows = rows.mapInArrow(count, rows.schema).withColumn("run", (F.col("n") % 3).cast("string"))
+    store.write_records({"Item": rows.coalesce(1)}, base, F.col("run"), 10)
+    assert seen.value == 20
+    assert store.load_records(spark, base, "Item").count() == 20
+
+
 def test_snapshot_blocks(spark):
     env = envelope(items(spark, [(i, str(i), i) for i in range(25)]))
     got = store.snapshot_by_type(env, per_block=10).orderBy("block").collect()
@@ -165,11 +200,40 @@ def test_snapshot_comparison(spark):
     a = spark.createDataFrame([(1, "x", None), (2, "y", 1), (3, "z", 1)], "k int, s string, n int")
     b = spark.createDataFrame([(1, "x", None), (2, "y", None), (4, "w", 1)], "k int, s string, n int")
     got = sorted(tuple(r) for r in diff.snapshot_diff(a, b, ["k"], ["s", "n"]).collect())
-    assert got == [(2, "changed", "n"), (3, "removed", None), (4, "added", None)]
+    assert got == [(1, "unchanged", None, 1), (2, "changed", "n", 1), (3, "removed", None, 1), (4, "added", None, 1)]
     assert diff.snapshot_equal(a, a.orderBy("k")) and not diff.snapshot_equal(a, b)
     assert not diff.snapshot_equal(a, a.unionByName(a.limit(1)))
 
 
+def test_repeated_and_null_keys_are_not_multiplied(spark):
+    a = spark.createDataFrame([(1, "x")] * 3 + [(None, "n"), (2, "p"), (2, "q"), (2, "q")], "k int, s string")
+    b = spark.createDataFrame([(1, "x")] * 3 + [(None, "n"), (2, "q"), (2, "r"), (2, "t"), (2, "u")], "k int, s string")
+    assert sorted(map(str, diff.snapshot_diff(a, a, ["k"], ["s"]).select("k", "change", "copies").toLocalIterator())) == sorted(
+        [f"Row(k={k}, change='unchanged', copies={n})" for k, n in ((1, 3), (None, 1), (2, 3))]
+    )
+    got = {(r["k"], r["change"], r["fields"]): r["copies"] for r in diff.snapshot_diff(a, b, ["k"], ["s"]).collect()}
+    assert got == {(1, "unchanged", None): 3, (None, "unchanged", None): 1, (2, "unchanged", None): 1, (2, "changed", "s"): 2, (2, "added", None): 1}
+
+
+def test_golden_is_written_kept_and_compared(spark):
+    path = new_path(spark, "golden")
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, s string")
+    b = spark.createDataFrame([(1, "x"), (2, "z")], "k int, s string")
+    assert diff.golden(spark, path, a)[0] == "written"
+    assert diff.golden(spark, path, a)[0] == "equal"
+    state, rows = diff.golden(spark, path, b)
+    assert state == "different" and sorted((r["k"], r["change"]) for r in rows.collect()) == [(2, "added"), (2, "removed")]
+    assert diff.golden(spark, path, a)[0] == "equal"
+    assert diff.golden(spark, path, b, update=True)[0] == "written" and diff.golden(spark, path, b)[0] == "equal"
+
+
+def test_moved_children(spark):
+    a = spark.createDataFrame([("c1", "p"), ("c2", "p"), ("c3", None), ("c4", "q")], "c string, p string")
+    b = spark.createDataFrame([("c1", "p"), ("c2", "q"), ("c3", "q"), ("c5", "p")], "c string, p string")
+    got = sorted(tuple(r) for r in diff.moves(a, b, "c", "p").collect())
+    assert got == [("c2", "p", "remove"), ("c2", "q", "add"), ("c3", "q", "add"), ("c4", "q", "remove"), ("c5", "p", "add")]
+
+
 def test_publish_log_against_replay(spark):
     import random
 
