@@ -13,19 +13,30 @@ _ENDS = r"(?U)^\s+|\s+$"
 
 
 def as_text(c: Column) -> Column:
+    """Text as it is, null as ''."""
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def any_text(c: Column) -> Column:
+    """A value of any type as text, null as ''. Doubles are printed in full; `typeof` is a constant, so other types
+    pay nothing once the plan is optimised."""
+    s = c.cast("string")
+    return F.coalesce(F.when(F.typeof(c).isin("double", "float"), _printed(s)).otherwise(s), F.lit(""))
+
+
 def double_text(c: Column) -> Column:
     """Print a double in full: no exponent, and no `.0` on whole numbers; null gives ''."""
-    s = c.cast("string")
-    plain = F.when(s.endswith(".0"), F.left(s, F.length(s) - 2)).otherwise(s)
+    return F.coalesce(_printed(c.cast("string")), F.lit(""))
+
+
+def _printed(s: Column) -> Column:
+    """Of a double as Spark prints it."""
     return (
-        F.when(c.isNull(), F.lit(""))
-        .when(F.isnan(c), F.lit("NaN"))
-        .when(F.abs(c) == float("inf"), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        F.when(s.endswith(".0"), F.left(s, F.length(s) - 2))
+        .when(s == "Infinity", F.lit("inf"))
+        .when(s == "-Infinity", F.lit("-inf"))
         .when(F.contains(s, F.lit("E")), _without_exponent(s))
-        .otherwise(plain)
+        .otherwise(s)
     )
 
 
@@ -80,12 +91,60 @@ def split(c: Column, sep: str, ends: bool = True) -> Column:
     return F.concat(F.array(F.lit("")), chars, F.array(F.lit(""))) if ends else chars
 
 
+_NAMED = re.compile(r"\(\?P?<([A-Za-z_]\w*)>")
+_BACK = re.compile(r"\\k<(\w+)>|\(\?P=(\w+)\)")
+_OF_NAME = re.compile(r"\$\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)")
+
+
+def numbered_groups(pattern: str) -> tuple[str, list[str | None]]:
+    """A pattern with its named groups as numbered ones, and the name of each group.
+
+    Names may be written `(?<n>` or `(?P<n>`; Java takes the first only and no underscore, Python the second only.
+    References by name become references by number.
+    """
+    out, names, at, in_class = [], [], 0, False
+    while at < len(pattern):
+        c = pattern[at]
+        if m := not in_class and _BACK.match(pattern, at):
+            out.append(f"\\{names.index(m[1] or m[2]) + 1}(?:)")  # a digit after it is no part of the number
+            at = m.end()
+        elif c == "\\":
+            out.append(pattern[at : at + 2])
+            at += 2
+        elif in_class or c != "(":
+            in_class = (c != "]") if in_class else c == "["
+            if c == "[" and in_class and pattern[at + 1 : at + 2] in ("]", "^"):
+                more = 2 if pattern[at + 1] == "^" and pattern[at + 2 : at + 3] == "]" else 1
+                out.append(pattern[at : at + 1 + more])
+                at += 1 + more
+                continue
+            out.append(c)
+            at += 1
+        elif m := _NAMED.match(pattern, at):
+            names.append(m[1])
+            out.append("(")
+            at = m.end()
+        else:
+            if pattern[at + 1 : at + 2] != "?":
+                names.append(None)
+            out.append(c)
+            at += 1
+    return "".join(out), names
+
+
 def matches(c: Column, pattern: str) -> Column:
-    return F.rlike(as_text(c), F.lit(pattern))
+    return F.rlike(as_text(c), F.lit(numbered_groups(pattern)[0]))
 
 
 def replace_all(c: Column, pattern: str, replacement: str) -> Column:
-    return F.regexp_replace(as_text(c), pattern, replacement)
+    """Replace every match; `$1`, `$name` and `${name}` stand for groups, an unknown name for nothing."""
+    plain, names = numbered_groups(pattern)
+
+    def number(m: re.Match) -> str:
+        name = m[1] or m[2]
+        return f"${names.index(name) + 1}" if name in names else ""
+
+    return F.regexp_replace(as_text(c), plain, _OF_NAME.sub(number, replacement))
 
 
 def match(c: Column, pattern: str) -> Column:
@@ -96,7 +155,8 @@ def match(c: Column, pattern: str) -> Column:
     only if the group took part, and the character next to the match is caught as proof.
     """
     s = as_text(c)
-    groups = re.compile(pattern).groups
+    pattern, names = numbered_groups(pattern)
+    groups = len(names)
     skippable = re.search(r"\)[?*{]|\|", pattern) is not None
     on_empty = re.search(pattern, "")
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import as_text
+from gleaner.functions.text import any_text
 
 
 def at(arr: Column, n: int) -> Column:
@@ -34,7 +34,7 @@ def wildcard(arr: Column) -> Column:
 
 def template(*parts: str | Column) -> Column:
     """Text and values in turn; null prints as ''."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else as_text(p) for p in parts])
+    return F.concat(*[F.lit(p) if isinstance(p, str) else any_text(p) for p in parts])
 
 
 def joined(arr: Column) -> Column:

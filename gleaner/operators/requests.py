@@ -7,14 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import as_text, url_encode
+from gleaner.functions.text import any_text, url_encode
 
 
 def with_query(url: Column, params: Mapping[str, Column]) -> Column:
     """Append parameters as they are, after `?` or `&`."""
     if not params:
         return url
-    pairs = F.concat_ws("&", *[F.concat(F.lit(f"{k}="), as_text(v)) for k, v in params.items()])
+    pairs = F.concat_ws("&", *[F.concat(F.lit(f"{k}="), any_text(v)) for k, v in params.items()])
     return F.concat(url, F.when(F.contains(url, F.lit("?")), F.lit("&")).otherwise(F.lit("?")), pairs)
 
 
@@ -24,11 +24,11 @@ def headers(given: Mapping[str, Column], user_agent: str, content_type: str | No
     out.setdefault("User-Agent", F.lit(user_agent))
     if content_type:
         out.setdefault("Content-Type", F.lit(content_type))
-    return F.create_map(*[x for k, v in out.items() for x in (F.lit(k), as_text(v))])
+    return F.create_map(*[x for k, v in out.items() for x in (F.lit(k), any_text(v))])
 
 
 def form_body(fields: Mapping[str, Column]) -> Column:
-    return F.concat_ws("&", *[F.concat(url_encode(F.lit(k)), F.lit("="), url_encode(v)) for k, v in fields.items()])
+    return F.concat_ws("&", *[F.concat(url_encode(F.lit(k)), F.lit("="), url_encode(any_text(v))) for k, v in fields.items()])
 
 
 def json_body(fields: Mapping[str, Column]) -> Column:

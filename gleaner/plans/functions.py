@@ -13,9 +13,8 @@ SIZE = r"([0-9.]+) ?(g|oz)?"
 
 @query("toString", "SELECT l_orderkey, l_linenumber, CAST(l_quantity::BIGINT AS VARCHAR) AS q, regexp_replace(CAST(l_discount AS VARCHAR), '\\.0$', '') AS d FROM lineitem")
 def to_string(t):
-    return t.lineitem.select(
-        "l_orderkey", "l_linenumber", text.double_text(F.col("l_quantity")).alias("q"), text.double_text(F.col("l_discount")).alias("d")
-    )
+    printed = lambda c: registry.pipe(F.col(c), [("toString",)], on=t.lineitem)
+    return t.lineitem.select("l_orderkey", "l_linenumber", printed("l_quantity").alias("q"), printed("l_discount").alias("d"))
 
 
 @query("lower", "SELECT doc_id, lower(text) AS s FROM documents")
@@ -77,7 +76,7 @@ def split(t):
       nullif(regexp_extract(text, '([A-Z][a-z]+)(, [a-z]+)?', 2), '') AS second FROM documents""",
 )
 def match(t):
-    m = text.match(F.col("text"), r"([A-Z][a-z]+)(, [a-z]+)?")
+    m = registry.pipe(F.col("text"), [("match", r"(?P<first>[A-Z][a-z]+)(?<second_one>, [a-z]+)?")], on=t.documents)
     return t.documents.select("doc_id", m.alias("m")).select(
         "doc_id", "m.matched", value.at(F.col("m.captures"), 1).alias("first"), value.at(F.col("m.captures"), 2).alias("second")
     )
@@ -93,11 +92,13 @@ def replace_all(t):
     return t.documents.select("doc_id", text.replace_all(F.col("text"), "([a-z])([A-Z])", "$1_$2").alias("s"))
 
 
-@query("parseInt", r"SELECT doc_id, n_chars AS n, TRY_CAST(nullif(regexp_extract(text, '(\d{1,15})', 1), '') AS BIGINT) AS found FROM documents")
+@query("parseInt", r"SELECT doc_id, n_chars AS n, n_chars // 4 AS quarter, TRY_CAST(nullif(regexp_extract(text, '(\d+)', 1), '') AS BIGINT) AS found FROM documents")
 def parse_int(t):
     padded = F.concat(F.lit(" "), F.col("n_chars").cast("string"), F.lit("\n"))
-    found = F.regexp_extract("text", r"(\d{1,15})", 1)
-    return t.documents.select("doc_id", number.parse_int(padded).alias("n"), number.parse_int(found, strict=False).alias("found"))
+    quarter = registry.pipe(F.col("n_chars") / 4, [("parseInt",)], on=t.documents)
+    # Digits beyond a long are no number to the lenient form.
+    found = number.parse_int(F.regexp_extract("text", r"(\d+)", 1), strict=False)
+    return t.documents.select("doc_id", number.parse_int(padded).alias("n"), quarter.alias("quarter"), found.alias("found"))
 
 
 @query("parseFloat", "SELECT c_custkey, c_acctbal AS x, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS y FROM customer")
@@ -119,8 +120,8 @@ def parse_bool(t):
 def length(t):
     return t.documents.join(t.labels, "doc_id", "left").select(
         "doc_id",
-        value.length_of_text(F.col("text")).cast("long").alias("chars"),
-        value.length_of_array(F.split("text", " ", -1)).cast("long").alias("words"),
+        registry.pipe(F.col("text"), [("length",)], on=t.documents).cast("long").alias("chars"),
+        registry.pipe(F.col("text"), [("split", " "), ("length",)], on=t.documents).cast("long").alias("words"),
         value.length_of_text(F.col("quality").cast("string")).cast("long").alias("q"),
     )
 
@@ -139,7 +140,9 @@ def dedup(t):
 @query("first", "SELECT doc_id, text[1] AS c, string_split(text, ' ')[1] AS w FROM documents")
 def first(t):
     return t.documents.select(
-        "doc_id", value.first_of_text(F.col("text")).alias("c"), value.first_of_array(F.split("text", " ", -1)).alias("w")
+        "doc_id",
+        registry.pipe(F.col("text"), [("first",)], on=t.documents).alias("c"),
+        registry.pipe(F.col("text"), [("split", " "), ("first",)], on=t.documents).alias("w"),
     )
 
 

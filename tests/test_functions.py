@@ -141,3 +141,30 @@ def test_registry(one):
     assert ev(one, registry.pipe(s(" a "), [("trim",), ("upper",)])) == "A"
     with pytest.raises(KeyError):
         registry.pipe(s("a"), [("nope",)])
+
+
+def test_named_groups_in_either_syntax(spark):
+    df = spark.createDataFrame([("key: v1",), ("",)], "s string")
+    for p in (r"(?P<k_1>\w+): (?<v>\w+)", r"(\w+): (\w+)", r"(?:x)?(?P<k>\w+): (?P<v>v[(]?1)"):
+        got = df.select(text.match(F.col("s"), p).alias("m")).collect()
+        assert got[0]["m"]["captures"] == ["key: v1", "key", "v1"] and got[1]["m"]["matched"] is False
+    assert text.numbered_groups(r"[(](?P<a>x)[]()]\((?P=a)1") == ("[(](x)[]()]\\(\\1(?:)1", ["a"])
+    again = spark.createDataFrame([("abab1 cc",)], "s string")
+    assert again.select(text.replace_all(F.col("s"), r"(?P<x_y>ab)\k<x_y>", "<${x_y}>")).first()[0] == "<ab>1 cc"
+    assert again.select(text.matches(F.col("s"), r"(?P<x>c)(?P=x)")).first()[0]
+
+
+def test_functions_by_type(spark):
+    df = spark.createDataFrame([(1.0, -2.9, 2, [1, 2], {"a": 1}, "hello", True)], "w double, d double, i int, a array<int>, m map<string,int>, s string, b boolean")
+    got = lambda c, *calls: df.select(registry.pipe(F.col(c), calls, on=df).alias("v")).first()[0]
+    assert got("w", ("toString",)) == "1" and got("d", ("toString",)) == "-2.9" and got("i", ("toString",)) == "2"
+    assert got("d", ("parseInt",)) == -2 and got("i", ("parseInt",)) == 2 and got("i", ("parseFloat",)) == 2.0
+    assert got("i", ("parseBool",)) is True and got("b", ("parseBool",)) is True
+    assert got("a", ("length",)) == 2 and got("m", ("length",)) == 1 and got("s", ("length",)) == 5
+    assert got("s", ("first",)) == "h" and got("a", ("first",)) == 1
+    assert got("s", ("split", "l"), ("length",)) == 3
+    with pytest.raises(TypeError, match="upper"):
+        got("a", ("upper",))
+    assert df.select(value.template("n=", F.col("w"), "/", F.col("d"))).first()[0] == "n=1/-2.9"
+    wide = spark.createDataFrame([(1e21,), (2.5e-7,), (float("nan"),), (float("-inf"),), (None,)], "x double")
+    assert [r[0] for r in wide.select(text.any_text(F.col("x"))).collect()] == ["1000000000000000000000", "0.00000025", "NaN", "-inf", ""]
