@@ -35,7 +35,12 @@ CLOSES_P = frozenset(
 ITEMS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 SCOPE = frozenset("applet button caption html marquee object table td template th".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
-SPECIAL = CLOSES_P | frozenset("li dt dd button body html".split())
+CELLS = frozenset("td th caption".split())
+BODIES = frozenset("tbody thead tfoot".split())
+STRUCTURE = CELLS | BODIES | frozenset("tr colgroup col".split())
+TABLE_PARTS = BODIES | frozenset("table tr colgroup".split())
+OPTIONS = frozenset("option optgroup".split())
+SPECIAL = CLOSES_P | STRUCTURE | frozenset("li dt dd button body html".split())
 
 NODE = (
     "struct<pre: int, last: int, parent: int, depth: int, nth: int, nth_of_type: int, siblings: int, tag: string, "
@@ -52,56 +57,122 @@ class _Comment(str):
 class _Tree(HTMLParser):
     """Elements of a fragment as lists `[tag, attrs, children]`; children that are text are strings.
 
-    As in a fragment of a body, `head` and `body` tags are ignored. Unclosed paragraphs and
-    list items close where the standard says, and formatting elements left open are opened
-    again in the next block, at most three alike.
+    As in a fragment of a body, `head` and `body` tags are ignored, and so are parts of tables outside one. Elements
+    whose end may be left out close where the standard says: paragraphs, list items, options, and the parts of a
+    table, whose missing bodies and rows are put in. What does not belong into a table goes before it. Formatting
+    elements left open are opened again in the next block, at most three alike, and those that end across a block are
+    split.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = ["html", {}, []]
         self.open = [self.root]
-        self.formatting: list[list] = []
+        # Open formatting elements; None where a cell or caption begins, beyond which nothing is opened again.
+        self.formatting: list[list | None] = []
+        self.above: dict[int, list] = {}
+
+    def _cut(self, i: int) -> None:
+        """Close the open elements from place i on."""
+        for node in self.open[i:]:
+            if node[0] in CELLS and None in self.formatting:
+                last = len(self.formatting) - 1 - self.formatting[::-1].index(None)
+                del self.formatting[last:]
+        del self.open[i:]
 
     def _close(self, tags, barrier) -> bool:
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i][0]
             if tag in tags:
-                del self.open[i:]
+                self._cut(i)
                 return True
             if tag in barrier:
                 return False
         return False
 
-    def _push(self, tag, attrs):
+    def _put(self, node, foster: bool = False) -> None:
+        """Append to the current element, or put what a table cannot hold before the table."""
+        here = self.open[-1]
+        if foster and here[0] in TABLE_PARTS:
+            at = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == "table" or i == 0)
+            table, here = self.open[at], self.open[max(at - 1, 0)]
+            place = next((i for i, k in enumerate(here[2]) if k is table), len(here[2]))
+            here[2].insert(place, node)
+        else:
+            here[2].append(node)
+        if type(node) is list:
+            self.above[id(node)] = here
+
+    def _push(self, tag, attrs, foster: bool = False):
         node = [tag, attrs, []]
-        self.open[-1][2].append(node)
+        self._put(node, foster)
         if tag not in VOID:
             self.open.append(node)
         return node
 
     def _reopen(self):
-        for i, node in enumerate(self.formatting):
-            if not any(o is node for o in self.open):
-                self.formatting[i] = self._push(node[0], node[1])
+        if self.open[-1][0] in TABLE_PARTS:
+            return
+        first = len(self.formatting)
+        while first and self.formatting[first - 1] is not None and not any(o is self.formatting[first - 1] for o in self.open):
+            first -= 1
+        for i in range(first, len(self.formatting)):
+            node = self.formatting[i]
+            self.formatting[i] = self._push(node[0], dict(node[1]))
+
+    def _in_table(self) -> bool:
+        return any(n[0] == "table" for n in self.open)
+
+    def _table_part(self, tag) -> bool:
+        """Close and put in what must be around a part of a table; false if there is no table."""
+        if not self._in_table():
+            return False
+        to = {"td": {"tr"}, "th": {"tr"}, "tr": BODIES, "col": {"colgroup"}}.get(tag, set()) | {"table"}
+        while self.open[-1][0] not in to:
+            self._cut(len(self.open) - 1)
+        if self.open[-1][0] == "table":
+            if tag in ("td", "th", "tr"):
+                self._push("tbody", {})
+            elif tag == "col":
+                self._push("colgroup", {})
+        if tag in ("td", "th") and self.open[-1][0] in BODIES:
+            self._push("tr", {})
+        return True
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "head", "body"):
             return
-        if tag in ITEMS:
-            self._close(ITEMS[tag], SPECIAL - ITEMS[tag] - {"p", "div", "address"})
-        if tag in CLOSES_P or tag in ITEMS:
-            self._close({"p"}, SCOPE)
-        elif tag not in HEAD_LIKE:
-            if tag == "a":
-                self._end_formatting("a")
-            self._reopen()
+        foster = False
+        if tag in STRUCTURE:
+            # A row inside a cell ends the cell; a cell of a table within a cell stays there.
+            if tag in ("td", "th") and self.open[-1][0] in BODIES:
+                self._push("tr", {})
+            elif not self._table_part(tag):
+                return
+        else:
+            if tag == "table" and self.open[-1][0] in TABLE_PARTS:
+                self._close({"table"}, ())
+            if tag in ITEMS:
+                self._close(ITEMS[tag], SPECIAL - ITEMS[tag] - {"p", "div", "address"})
+            if tag in OPTIONS and self.open[-1][0] == "option":
+                self._cut(len(self.open) - 1)
+            if tag == "optgroup" and self.open[-1][0] == "optgroup":
+                self._cut(len(self.open) - 1)
+            if tag in CLOSES_P or tag in ITEMS:
+                self._close({"p"}, SCOPE)
+            elif tag not in HEAD_LIKE:
+                if tag == "a":
+                    self._end_formatting("a")
+                self._reopen()
+            foster = tag not in ("script", "style", "template")
         values: dict[str, str] = {}
         for k, v in attrs:
             values.setdefault(k, v or "")
-        node = self._push(tag, values)
+        node = self._push(tag, values, foster)
+        if tag in CELLS:
+            self.formatting.append(None)
         if tag in FORMATTING:
-            alike = [f for f in self.formatting if f[:2] == node[:2]]
+            alike = [f for f in self.formatting if f is not None and f[:2] == node[:2]]
             if len(alike) == 3:
                 self.formatting = [f for f in self.formatting if f is not alike[0]]
             self.formatting.append(node)
@@ -109,15 +180,58 @@ class _Tree(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
+    def _move(self, node, to) -> None:
+        """Take an element out of where it is and append it to another."""
+        kids = self.above[id(node)][2]
+        del kids[next(i for i, k in enumerate(kids) if k is node)]
+        to[2].append(node)
+        self.above[id(node)] = to
+
     def _end_formatting(self, tag):
-        for i in range(len(self.formatting) - 1, -1, -1):
-            if self.formatting[i][0] == tag:
-                node = self.formatting.pop(i)
-                at = next((k for k, o in enumerate(self.open) if o is node), None)
-                if at is not None:
-                    # Blocks inside the element stay open without it.
-                    self.open[at:] = [o for o in self.open[at + 1 :] if o[0] in SPECIAL]
+        """End a formatting element. If a block is open inside it, the block moves out of it and its content into a
+        copy of it; eight such blocks at most, as the standard has it."""
+        where = lambda rows, node: next((i for i, o in enumerate(rows) if o is node), None)
+        for _ in range(8):
+            rest = self.formatting[::-1]
+            rest = rest[: rest.index(None)] if None in rest else rest
+            node = next((f for f in rest if f[0] == tag), None)
+            if node is None:
+                self._close({tag}, SPECIAL)
+                return
+            at, listed = where(self.open, node), where(self.formatting, node)
+            if at is None:
+                del self.formatting[listed]
+                return
+            if any(o[0] in SCOPE for o in self.open[at + 1 :]):
                 return
+            far = next((k for k in range(at + 1, len(self.open)) if self.open[k][0] in SPECIAL), None)
+            if far is None:
+                del self.formatting[listed]
+                self._cut(at)
+                return
+            around, block = self.open[at - 1], self.open[far]
+            moved, kept = block, []
+            for inner in self.open[at + 1 : far][::-1]:
+                i = where(self.formatting, inner)
+                if i is None:
+                    continue  # closed with what it held so far
+                copy = [inner[0], dict(inner[1]), []]
+                self.formatting[i] = copy
+                self.above[id(copy)] = self.above[id(inner)]
+                self.above[id(inner)][2].append(copy)
+                self._move(moved, copy)
+                moved = copy
+                kept.insert(0, copy)
+            self._move(moved, around)
+            copy = [node[0], dict(node[1]), block[2][:]]
+            for k in copy[2]:
+                if type(k) is list:
+                    self.above[id(k)] = copy
+            block[2][:] = [copy]
+            self.above[id(copy)] = block
+            del self.formatting[where(self.formatting, node)]
+            self.formatting.append(copy)
+            self.open[at : far + 1] = [*kept, block, copy]
 
     def handle_endtag(self, tag):
         if tag in ("html", "head", "body") or tag in VOID:
@@ -128,6 +242,8 @@ class _Tree(HTMLParser):
             if not self._close({"p"}, SCOPE):
                 self._push("p", {})
                 self.open.pop()
+        elif tag in STRUCTURE or tag == "table":
+            self._close({tag}, {"table"} - {tag})
         else:
             self._close({tag}, SCOPE if tag in SPECIAL else SPECIAL)
 
@@ -137,11 +253,7 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         if self.open[-1][0] not in RAW_TEXT | {"title", "textarea"}:
             self._reopen()
-        kids = self.open[-1][2]
-        if kids and isinstance(kids[-1], str) and not isinstance(kids[-1], _Comment):
-            kids[-1] += data
-        else:
-            kids.append(data)
+        self._put(data, foster=bool(data.strip()))
 
 
 def _escaped(s: str) -> str:

@@ -98,3 +98,46 @@ def test_deep_page():
 def test_bad_selector(bad):
     with pytest.raises(ValueError):
         select(F.col("nodes"), bad)
+
+
+def tree(page):
+    from gleaner.operators.html import _parse
+
+    return _parse(page)[0].decode()
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "<table><tbody><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></tbody></table>"),
+        (
+            "<table><caption>t<thead><tr><th>h<tbody><tr><td>1<tfoot><td>f</table>x",
+            "<table><caption>t</caption><thead><tr><th>h</th></tr></thead><tbody><tr><td>1</td></tr></tbody><tfoot><tr><td>f</td></tr></tfoot></table>x",
+        ),
+        ("<table><col><td>a<table><td>b</table>c</table>", "<table><colgroup><col></colgroup><tbody><tr><td>a<table><tbody><tr><td>b</td></tr></tbody></table>c</td></tr></tbody></table>"),
+        ("<table>x<tr><p>y<td>z</table>", "x<p>y</p><table><tbody><tr><td>z</td></tr></tbody></table>"),
+        ("<tr><td>a<td>b", "ab"),
+        ("<select><option>1<option>2<optgroup><option>3</select>", "<select><option>1</option><option>2</option><optgroup><option>3</option></optgroup></select>"),
+        ("<b><p>x</b>y</p>", "<b></b><p><b>x</b>y</p>"),
+        ("<p>1<b>2<i>3</b>4</i>5</p>", "<p>1<b>2<i>3</i></b><i>4</i>5</p>"),
+        ("<a>1<div>2<div>3</a>4</div>5</div>", "<a>1</a><div><a>2</a><div><a>3</a>4</div>5</div>"),
+        ("<table><td><b>x<td>y</table>z", "<table><tbody><tr><td><b>x</b></td><td>y</td></tr></tbody></table>z"),
+    ],
+)
+def test_tree_construction(page, want):
+    assert tree(page) == f"<html>{want}</html>"
+
+
+def test_rows_of_a_table_page(spark):
+    page = '<table id="t"><tr><th>Date<th>Name<tr><td>1/2<td><a href="/x">A &amp; B</a><tr><td>3/4<td>C</table>'
+    d = html.parse_pages(spark.createDataFrame([(1, page)], "id long, page string"), "id", "page")
+    assert texts(d, "table#t tbody tr td") == ["1/2", "A & B", "3/4", "C"]
+    assert texts(d, "table > tbody > tr > td:nth-child(2) a") == ["A & B"]
+
+
+def test_long_text_and_nesting_stay_quick():
+    import time
+
+    began = time.process_time()
+    assert tree("x&amp;" * 50_000).count("&amp;") == 50_000
+    assert time.process_time() - began < 10
