@@ -27,7 +27,9 @@ from gleaner.llm.tokens import batched, once, texts_of
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW = 16  # words
 LEVEL = 12
-ORDINARY_BYTES, TOXIC_BYTES = 32768, 1024
+ORDINARY_BYTES, TOXIC_BYTES = 32768, 2048
+SEGMENT = 32  # bytes that training takes at once: some words
+TABLES = 512  # a trained dictionary begins with tables that are of no use as content
 HIGH = 3  # bytes of gain
 
 
@@ -109,7 +111,7 @@ def residue(toxic: Sequence[str], known: set[str]) -> list[bytes]:
             if w not in known:
                 after[w].add(last)
             last = w
-    least = max(2, math.ceil(0.0025 * len(toxic)))
+    least = max(4, math.ceil(0.0025 * len(toxic)))
     kept = {w for w, before in after.items() if len(before) >= least}
     out = [" ".join(dict.fromkeys(w for w in words(t) if w in kept)) for t in toxic]
     return [f" {s} ".encode() for s in out if s]
@@ -118,7 +120,7 @@ def residue(toxic: Sequence[str], known: set[str]) -> list[bytes]:
 def _trained(size: int, samples: list[bytes], **how) -> bytes:
     """A dictionary's bytes; of samples too few to train on, their own last bytes."""
     try:
-        got = zstd.train_dictionary(size, samples, **how).as_bytes()
+        got = zstd.train_dictionary(size + TABLES, samples, **how).as_bytes()
     except zstd.ZstdError:
         got = b"".join(samples)
     return got[-size:]
@@ -134,7 +136,7 @@ def train(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
     plain = [t[i : i + 256] for t in joined for i in range(0, len(t), 256)]
     np.random.default_rng(1).shuffle(plain)
     base = _trained(ORDINARY_BYTES + TOXIC_BYTES, plain[:30_000])
-    own = _trained(TOXIC_BYTES, new, k=16, d=6, f=20, accel=1, steps=1)
+    own = _trained(TOXIC_BYTES, new, k=SEGMENT, d=6, f=20, accel=1, steps=1)
     # The stretch that is exchanged is the farthest and least useful one.
     return Model(base, own + base[len(own) :])
 
