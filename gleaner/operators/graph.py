@@ -40,6 +40,23 @@ def _compose(jump: DataFrame) -> DataFrame:
     return jump.join(onward, "next").select("node", F.col("onward").alias("next"))
 
 
+def ends(edges: DataFrame) -> DataFrame:
+    """Where the walk from each node with a successor ends: `(node, end)`; one successor per node.
+
+    Only the end is kept while distances double, so a round holds one row for each node. A walk that runs into a
+    cycle has no end.
+    """
+    jump, n = stored_counted(edges.filter(F.col("next").isNotNull()).select("node", "next"), "jump")
+    going, reach = n, 1
+    while going and reach < 2 * n:
+        onward = jump.select(F.col("node").alias("next"), F.col("next").alias("onward"))
+        further = jump.join(onward, "next", "left").select("node", F.coalesce("onward", "next").alias("next"), F.col("onward").isNotNull().alias("going"))
+        moved = stored(further, "jump")
+        going, jump, reach = moved.filter("going").count(), moved.select("node", "next"), reach * 2
+    inner = edges.filter(F.col("next").isNotNull()).select(F.col("node").alias("next"))
+    return jump.join(inner, "next", "left_anti").select("node", F.col("next").alias("end"))
+
+
 def on_cycle(edges: DataFrame) -> DataFrame:
     """Nodes of `edges(node, next)` that reach themselves; one successor per node.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.operators.graph import ancestors, closure_from, follow, on_cycle
+from gleaner.operators.graph import ancestors, closure_from, ends, on_cycle
 from gleaner.operators.iterate import for_each
 from gleaner.session import stored, stored_counted
 
@@ -109,9 +109,10 @@ def terminal_stages(last_stage: DataFrame, jobs: DataFrame) -> DataFrame:
 
     `last_stage` is `(node, next)`. A chain that runs into itself has no terminal.
     """
-    met = follow(last_stage, jobs.select(F.col("job").alias("start"), F.col("job").alias("node")))
-    ends = met.join(last_stage.select("node"), "node", "left_anti")
-    return ends.select(F.col("start").alias("job"), F.col("node").alias("terminal"))
+    at = ends(last_stage)
+    onward = last_stage.filter(F.col("next").isNotNull()).select(F.col("node").alias("job"))
+    alone = jobs.select("job").join(onward, "job", "left_anti").select("job", F.col("job").alias("terminal"))
+    return jobs.select("job").join(at, F.col("job") == F.col("node")).select("job", F.col("end").alias("terminal")).unionByName(alone)
 
 
 def stage_closure(stages: DataFrame, roots: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from gleaner.operators import graph, typegraph
 
 
@@ -95,3 +97,16 @@ def test_extension_problems(spark):
         ("n", "C", "String"),
         ("extra", "B", "Double"),
     ]
+
+
+def test_ends_keep_one_row_for_each_node(spark, monkeypatch):
+    from gleaner.operators import graph
+
+    n, most = 100_000, []
+    real = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda d, name="": most.append(real(d, name)) or most[-1])
+    chain = spark.range(1, n + 1).select(F.col("id").alias("node"), (F.col("id") - 1).alias("next"))
+    loop = spark.createDataFrame([(-1, -2), (-2, -3), (-3, -1), (-4, -1)], "node long, next long")
+    got = graph.ends(chain.unionByName(loop)).groupBy("end").count().collect()
+    assert [tuple(r) for r in got] == [(0, n)]
+    assert len(most) <= 18 and all(d.count() <= n + 4 for d in most[::5])
