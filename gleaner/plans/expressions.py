@@ -9,7 +9,7 @@ from gleaner.operators import matching, quality, requests
 from gleaner.operators.discovery import filter_packages, filter_signatures
 from gleaner.operators.iterate import emit, prior_rows
 from gleaner.plans import query
-from gleaner.plans.sources import STATUS, URL, bodies, order_records
+from gleaner.plans.sources import CAPTURES_SQL, STATUS, URL, bodies, order_records
 
 
 @query(
@@ -37,12 +37,12 @@ def path_field(t):
 
 @query(
     "path_opt",
-    """SELECT o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS total FROM orders""",
+    f"""{CAPTURES_SQL} SELECT o_orderkey AS seq, page, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS total FROM captures""",
 )
 def path_opt(t):
     # The body of an open order is absent, so `?.total` is null.
     body = F.when(F.col("doc.status") == "F", F.col("doc"))
-    return bodies(t).filter(F.col("page") == 0).select("seq", body["total"].alias("total"))
+    return bodies(t).select("seq", F.col("page").cast("long").alias("page"), body["total"].alias("total"))
 
 
 @query(
@@ -238,13 +238,13 @@ def regex_extract_bind(t):
 
 @query(
     "status_gate",
-    f"""SELECT o_orderkey AS seq, {STATUS} AS status, {STATUS} < 400 AS accepted FROM orders""",
+    f"""{CAPTURES_SQL} SELECT o_orderkey AS seq, page, {STATUS} AS status, {STATUS} < 400 AS accepted FROM captures""",
 )
 def status_gate(t):
-    c = t.captures.filter(F.col("page") == 0)
+    c = t.captures.withColumn("page", F.col("page").cast("long"))
     ok = c.filter(matching.accepted(F.col("status"))).withColumn("accepted", F.lit(True))
     rejected = c.filter(~matching.accepted(F.col("status"))).withColumn("accepted", F.lit(False))
-    return ok.unionByName(rejected).select("seq", "status", "accepted")
+    return ok.unionByName(rejected).select("seq", "page", "status", "accepted")
 
 
 @query("storage_filter", "SELECT p_partkey AS slug, p_name AS description FROM part WHERE p_type = 'PROMO' AND contains(lower(p_brand || '/' || p_partkey || ' ' || p_name), '1/')")

@@ -46,10 +46,10 @@ def for_each_nested(t):
 @query(
     "sample_top_level",
     """WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i,
-      l_partkey FROM lineitem) SELECT l_orderkey AS seq, l_partkey AS part FROM l WHERE i <= 2""",
+      l_partkey FROM lineitem) SELECT l_orderkey AS seq, l_partkey AS part FROM l WHERE (i - 1) % 50 < 2""",
 )
 def sample_top_level(t):
-    rows = for_each(bodies(t).filter(F.col("page") == 0).select("seq", "doc"), F.col("doc.items"), "item", sample=2)
+    rows = for_each(bodies(t).select("seq", "doc"), F.col("doc.items"), "item", sample=2)
     return rows.select("seq", "item.part")
 
 

@@ -46,6 +46,11 @@ URL = (
 STATUS = "CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 404 ELSE 200 END"
 
 
+# Orders once for each of their captures: fifty lines to a page, one page at least.
+CAPTURES_SQL = """WITH captures AS (SELECT o.*, unnest(range(greatest(1, ceil(coalesce(n, 0) / 50.0)::BIGINT))) AS page
+      FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+
+
 def bodies(t: Tables) -> DataFrame:
     """Order captures with their body read by its declared schema."""
     return t.captures.withColumn("doc", F.from_json("body", ORDER_BODY))

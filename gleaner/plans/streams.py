@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.value import epoch_micros
 from gleaner.operators.iterate import emit
-from gleaner.operators.matching import match_rules
+from gleaner.operators.matching import match_rules, url_key
 from gleaner.plans import query
 from gleaner.plans.history import EXPECTED
 from gleaner.plans.paging import PAGES_SQL, customer_pages
@@ -79,10 +79,12 @@ def stream_settle(t):
     return settled.select("source", F.unix_micros("from").alias("from_us"), F.unix_micros("until").alias("until_us"), "n")
 
 
-@query("stream_dedup", "SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")
+@query("stream_dedup", "SELECT event_type AS type, count(DISTINCT (user_id, props)) AS n FROM events GROUP BY 1")
 def stream_dedup(t):
-    once = S.dedup(_stream(t), ["seq"], "at")
-    return S.drain(once.select("seq", "type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    """The same request with the same answer counts once, however much later it comes."""
+    keyed = _stream(t).withColumns({"key": url_key(F.col("url")), "hash": F.sha2("body", 256)})
+    once = S.dedup(keyed.select("method", "key", "hash", "type", "at"), ["method", "key", "hash"], "at", late="36500 days")
+    return S.drain(once.select("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
