@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,17 +28,25 @@ def _hits(url: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 
 def match_rules(captures: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row per capture and matching rule; sort by (rule_no, seq) for the emission order."""
-    return for_each(captures, _hits(F.col("url"), rules), "__hit").select(*captures.columns, "__hit.rule_no", "__hit.rule")
+    """One row per match capture and matching rule; sort by (rule_no, seq) for the emission order.
+
+    Captures that say what they are (`subkind`) count only if they are matched responses; documents have a rule of
+    their own, `document_rule`.
+    """
+    return for_each(_matched(captures), _hits(F.col("url"), rules), "__hit").select(*captures.columns, "__hit.rule_no", "__hit.rule")
 
 
 def unmatched_captures(captures: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    return captures.filter(F.size(_hits(F.col("url"), rules)) == 0)
+    return _matched(captures).filter(F.size(_hits(F.col("url"), rules)) == 0)
+
+
+def _matched(captures: DataFrame) -> DataFrame:
+    return captures.filter(F.col("subkind") == "match") if "subkind" in captures.columns else captures
 
 
 def unfired_rules(captures: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """Rules no capture matched: one pass that keeps one flag per rule."""
-    fired = captures.agg(
+    fired = _matched(captures).agg(
         F.array(
             *[
                 F.struct(
@@ -60,6 +68,13 @@ def first_document(captures: DataFrame, run: Sequence[str] = (), order: str = "s
     return docs.orderBy(order).limit(1)
 
 
+def document_rule(
+    captures: DataFrame, body: Callable[[DataFrame], DataFrame], run: Sequence[str] = (), order: str = "seq"
+) -> DataFrame:
+    """What the rule's body makes of the first document capture of each run; other documents are not evaluated."""
+    return body(first_document(captures, run, order))
+
+
 def url_key(url: Column) -> Column:
     """Path and sorted query: what two URLs must share, whatever their origin."""
     asked = F.contains(url, F.lit("?"))
@@ -74,13 +89,14 @@ def url_key(url: Column) -> Column:
 
 def _recorded(captures: DataFrame, order: Sequence[str]) -> DataFrame:
     keyed = captures.withColumns({"__method": F.upper("method"), "__url": url_key(F.col("url"))})
+    kept = [c for c in ("url", "status", "response_headers", "body") if c in captures.columns]
     return first_rows(keyed, ["__method", "__url"], order).select(
-        "__method", "__url", *[F.col(c).alias(f"hit_{c}") for c in ("url", "status", "body")]
+        "__method", "__url", *[F.col(c).alias(f"hit_{c}") for c in kept]
     )
 
 
 def replay(requests: DataFrame, captures: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
-    """Each request with the first recorded exchange of its method and URL key; misses have nulls.
+    """Each request with the first recorded exchange of its method and URL key, headers too; misses have nulls.
 
     Exchanges are cut to one per key first, so a key recorded or asked for very often never
     multiplies rows; the split of a hot request key is left to AQE.

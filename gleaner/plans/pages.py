@@ -24,12 +24,9 @@ def parsed(t: Tables) -> DataFrame:
 
 @query("match_rules", f"SELECT page_id, rule_no, rule FROM pages JOIN {RULE_SQL} ON regexp_matches(url, p)")
 def match_rules(t):
-    return matching.match_rules(t.pages, RULES).select("page_id", "rule_no", "rule")
-
-
-@query("document_rule", "SELECT page_id, url FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)")
-def document_rule(t):
-    return matching.first_document(t.web_captures).select(F.col("seq").alias("page_id"), "url")
+    # The same pages as documents, which the rules leave alone.
+    kinds = F.explode(F.array(F.lit("match"), F.lit("document"))).alias("subkind")
+    return matching.match_rules(t.pages.select("page_id", "url", kinds), RULES).select("page_id", "rule_no", "rule")
 
 
 @query(
@@ -77,11 +74,14 @@ def _requests(t: Tables) -> DataFrame:
 @query(
     "replay_join",
     f"""SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'P' THEN {URL} END AS hit_url,
-      CASE WHEN o_orderstatus <> 'P' THEN 200 END AS hit_status, o_orderstatus = 'P' AS missed FROM orders""",
+      CASE WHEN o_orderstatus <> 'P' THEN 200 END AS hit_status, o_orderstatus = 'P' AS missed,
+      CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS total, CASE WHEN o_orderstatus <> 'P' THEN 'application/json' END AS mime FROM orders""",
 )
 def replay_join(t):
     hits = matching.replay(_requests(t), t.captures, ["seq", "page"])
-    return hits.select("id", "hit_url", "hit_status", F.col("hit_url").isNull().alias("missed"))
+    mime = C.content_type(F.col("hit_response_headers"))
+    total = F.when(mime == "application/json", F.from_json("hit_body", "total double")["total"])
+    return hits.select("id", "hit_url", "hit_status", F.col("hit_url").isNull().alias("missed"), total.alias("total"), mime.alias("mime"))
 
 
 @query("replay_misses", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'")
@@ -136,6 +136,16 @@ LINKS = UNESCAPE.format(
 )
 
 
+@query("document_rule", f"SELECT page_id, url, {H1} AS h1 FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)")
+def document_rule(t):
+    def body(doc):
+        dom = html.parse_pages(doc, "seq", "html").withColumnRenamed("seq", "page_id")
+        title = html.node_text(F.col("page_text"), html.first(select(F.col("nodes"), "h1"))).alias("h1")
+        return doc.select(F.col("seq").alias("page_id"), "url").join(dom.select("page_id", title), "page_id")
+
+    return matching.document_rule(t.web_captures, body)
+
+
 @query("html_text", f"SELECT page_id, {H1} AS h1, {LINKS} AS links FROM pages")
 def html_text(t):
     p = parsed(t)
