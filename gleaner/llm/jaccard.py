@@ -23,12 +23,14 @@ from pyspark.sql import types as T
 
 from gleaner.llm.shingles import shingled
 from gleaner.llm.tokens import batched
-from gleaner.session import stored, stored_counted
+from gleaner.session import stored
 
 THRESHOLD = 75  # per cent
 # Counts of shingles: 2 ** BITS of them, whatever the input; they travel in chunks.
 BITS, CHUNK = 20, 4096
 SEEN = 500_000  # classes a task remembers, so as not to send copies again
+# Bytes of text whose words are hashed at once: some twenty arrays of eight times that are alive then.
+STRETCH = 1 << 19
 
 
 def needed(n, percent: int):
@@ -49,15 +51,25 @@ SURVEY = "id long, class long, n_shingles long, chunk int, counts binary"
 
 def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text; at the end of the task its counts of shingles, in chunks."""
-    counts = np.zeros(1 << BITS, np.int64)
+    counts, held, size = np.zeros(1 << BITS, np.int64), [], 0
     names = ["id", "class", "n_shingles", "chunk", "counts"]
-    for b in batched(batches):
+
+    def count():
+        if held:
+            np.add(counts, np.bincount(bucket(np.concatenate(held)), minlength=1 << BITS), out=counts)
+            held.clear()
+
+    for b in batched(batches, STRETCH):
         s = shingled(b.column(1))
-        if hs := [x for x in s.sets if len(x)]:
-            counts += np.bincount(bucket(np.concatenate(hs)), minlength=1 << BITS)
+        held.extend(s.sets)
+        size += sum(map(len, s.sets))
+        if size > 1 << BITS:
+            count()
+            size = 0
         n = b.num_rows
         sizes = pa.array([len(x) for x in s.sets], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed(s.keys)), sizes, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+    count()
     parts = counts.reshape(-1, CHUNK)
     some = np.nonzero(parts.any(axis=1))[0]
     if len(some):
@@ -80,7 +92,7 @@ def survey(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]
     both = stored(docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(_survey, SURVEY), "survey")
     parts = both.where(F.col("chunk").isNotNull()).select("chunk", "counts").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary")
     counts = np.zeros(1 << BITS, np.int64)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():
         counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
     return both.where(F.col("chunk").isNull()).select("id", "class", "n_shingles"), counts
 
@@ -97,7 +109,7 @@ def prefixes(docs: DataFrame, text: str, counts: np.ndarray, percent: int = THRE
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = table.value, set()
-        for b in batched(batches):
+        for b in batched(batches, STRETCH):
             s = shingled(b.column(0))
             out = []
             for key, h in zip(s.keys.tolist(), s.sets):
@@ -215,21 +227,25 @@ def components(edges: DataFrame) -> DataFrame:
     """Nodes of edges (low, high) with the least node of their component: node, home.
 
     Rounds of large star and small star: each node's greater neighbours are moved to its least one, then its lesser
-    neighbours are, until nothing changes. Rounds grow with the logarithm of a component's size; each is written.
+    neighbours are, until every component is a star. Rounds grow with the logarithm of a component's size; each is
+    written.
     """
-    edges, last = stored(edges.where("low < high").distinct(), "edges"), None
-    while True:
+    edges = stored(edges.where("low < high").distinct(), "edges")
+    while not _stars(edges):
         both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).unionAll(edges.select(F.col("high").alias("u"), F.col("low").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lesser = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lesser, "u")
         small = moved.where("v <> m").select(F.col("m").alias("low"), F.col("v").alias("high")).unionAll(lesser.select(F.col("m").alias("low"), F.col("u").alias("high")))
-        edges, n = stored_counted(small.distinct(), "edges")
-        now = (n, edges.agg(F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()[0])
-        if now == last:
-            return edges.select(F.col("high").alias("node"), F.col("low").alias("home"))
-        last = now
+        edges = stored(small.distinct(), "edges")
+    return edges.select(F.col("high").alias("node"), F.col("low").alias("home"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node has an edge both ways, or two to lesser ones."""
+    ends = edges.select(F.col("low").alias("node"), F.lit(1).alias("l"), F.lit(0).alias("h")).unionAll(edges.select("high", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.max("l").alias("l"), F.sum("h").alias("h")).where("h > 1 OR (h > 0 AND l > 0)").isEmpty()
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
@@ -268,7 +284,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     with_a = with_b.join(again, with_b["a_rep"] == again["_id2"]).select("a", "a_rep", "b", "b_rep", "a_text", "b_text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batched(batches):
+        for b in batched(batches, STRETCH):
             sides = []
             for c, t in ((0, 4), (2, 5)):
                 coded = b.column(t).dictionary_encode()
