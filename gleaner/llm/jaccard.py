@@ -5,8 +5,8 @@
    one gives few candidates.
 2. A second pass gives for each class the shingles of its prefix: two sets can only reach the threshold if their
    prefixes share one. Rows meet by shingle, sorted by size; length and positional filters are applied there.
-3. A shingle of many texts makes no pairs of all with all. Each member is first paired with the leader of its stretch
-   and with the member before it. Pairs are verified once against the texts, after a suffix filter, and components
+3. A shingle of many texts makes no pairs of all with all. Each member is first paired with a leader, one of those
+   that have the least to themselves. Pairs are verified once against the texts, after a suffix filter, and components
    are formed; then only pairs that still lie in different components are made and verified. So a group of n near
    copies costs about n verifications, and no link that would join two components is missed.
 """
@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,66 +129,103 @@ def prefixes(docs: DataFrame, text: str, counts: np.ndarray, percent: int = THRE
     return docs.select(text).mapInArrow(run, PREFIXES)
 
 
-def may_link(size_a, place_a, size_b, place_b, percent: int, least):
+def may_link(size_a, place_a, rank_a, size_b, place_b, rank_b, percent: int, least):
     """Length and positional filter for two members of a shingle, of columns or arrays; `least` is their minimum.
 
-    What comes before the shingle in both can share the lesser place, what comes after the lesser rest at most.
+    What comes after the shingle in both can share the lesser rest at most. What comes before it in both lies in both
+    prefixes, so only shingles that some other class has in its prefix too can be shared: `rank` counts those.
     """
     small = least(size_a, size_b)
-    most = least(place_a, place_b) + 1 + least(size_a - place_a - 1, size_b - place_b - 1)
+    most = least(rank_a, rank_b) + 1 + least(size_a - place_a - 1, size_b - place_b - 1)
     both = size_a + size_b
     return (100 * small >= percent * (both - small)) & ((100 + percent) * most >= percent * both)
 
 
-MEETINGS = (
-    "shingle long, class long, size int, place int, before long, before_size int, before_place int, second boolean, "
-    "try_before boolean, leader long, leader_size int, try_leader boolean"
-)
+MEMBERS = "shingle long, class long, size int, place int"
 
 
-def _meet(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shingle, size and class: each that has another class of its shingle before it, with that
-    one and the leader of its stretch. A leader leads as long as the length filter lets it reach the sizes that come.
-    Two rows are what is kept from one batch to the next."""
-    names = [f.split()[0] for f in MEETINGS.split(", ")]
-    tail = None  # the last row and its leader, and whether it is the first of its shingle
+def _several(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle, size and class: those of shingles with two classes or more, once each. One row is
+    what is kept from one batch to the next."""
+    names, tail, told = [f.split()[0] for f in MEMBERS.split(", ")], None, False
     for b in batches:
         cols = [b.column(i).to_numpy() for i in range(4)]
-        known = 0
         if tail is not None:
-            cols = [np.concatenate([np.array(t, c.dtype), c]) for t, c in zip(tail[0], cols)]
-            known = 2
-        shingle, cls, size, place = cols
-        keep = np.append(True, (shingle[1:] != shingle[:-1]) | (cls[1:] != cls[:-1]))  # copies that several tasks sent
-        keep[:known] = True
-        shingle, cls, size, place = (c[keep] for c in cols)
-        n = len(shingle)
-        new = np.append(True, shingle[1:] != shingle[:-1])
-        lead = np.arange(n)
-        if known:
-            new[1], lead[1] = tail[1], 0
-        later = np.nonzero(~new)[0]
-        later = later[later >= max(known, 1)]
-        sizes, leads = size.tolist(), lead.tolist()
-        for i in later.tolist():
-            k = leads[i - 1]
-            if 100 * sizes[k] >= percent * sizes[i]:
-                leads[i] = k
-        if len(later):
-            i, p, k = later, later - 1, np.array(leads)[later]
-            wide = lambda x: x.astype(np.int64)
-            ok = lambda j: may_link(wide(size[j]), wide(place[j]), wide(size[i]), wide(place[i]), percent, np.minimum)
-            out = [shingle[i], cls[i], size[i], place[i], cls[p], size[p], place[p], new[p], ok(p), cls[k], size[k], ok(k) & (cls[k] != cls[i]) & (cls[k] != cls[p])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
-        if n:
-            k = leads[-1]
-            tail = [[c[k], c[-1]] for c in (shingle, cls, size, place)], bool(new[-1])
-
-
-def meetings(rows: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """Every prefix shingle's members after its first, with the members to try them with first."""
+            cols = [np.concatenate([np.array([t], c.dtype), c]) for t, c in zip(tail, cols)]
+        shingle, cls, size = cols[:3]
+        # Copies that several tasks have sent are neighbours.
+        keep = np.append(True, (shingle[1:] != shingle[:-1]) | (cls[1:] != cls[:-1]) | (size[1:] != size[:-1]))
+        cols = [c[keep] for c in cols]
+        shingle = cols[0]
+        if not len(shingle):
+            continue
+        like = shingle[1:] == shingle[:-1]
+        some = np.append(False, like) | np.append(like, False)
+        if tail is not None and told:
+            out = some.copy()
+            out[0] = False
+        else:
+            out = some
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in cols], names)
+        told = bool(some[-1]) or (len(shingle) == 1 and tail is not None and told)
+        tail = [c[-1] for c in cols]
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """Prefix rows of the shingles that two classes share or more."""
     dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "size", "class")
-    return dealt.mapInArrow(lambda it: _meet(it, percent), MEETINGS)
+    return dealt.mapInArrow(_several, MEMBERS)
+
+
+def ranked(shared: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """Add `rank`, how many of the class's shared shingles come before this one, and `lonely`, the share of its
+    prefix that it has alone. A class has no more rows than its prefix."""
+    own = Window.partitionBy("class", "size")
+    prefix = F.col("size") - F.floor((percent * F.col("size") + 99) / 100) + 1
+    return shared.withColumn("rank", (F.row_number().over(own.orderBy("place")) - 1).cast("int")).withColumn(
+        "lonely", ((prefix - F.count(F.lit(1)).over(own)) / F.col("size")).cast("float")
+    )
+
+
+#: Leaders that a shingle has at once; members that none may link with are left to `open_pairs`.
+LEADERS = 4
+PAIRS = "a long, a_size int, b long, b_size int"
+
+
+def _lead(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle and loneliness: each member with the first leader that it may link with, and with
+    the member before it. The least lonely lead: what a family has in common they have most of. A member without a
+    leader becomes one. Pairs that a batch repeats are sent once."""
+    shingle, leaders, last = None, [], None
+    for b in batches:
+        found = set()
+        for row in zip(*(b.column(i).to_pylist() for i in range(5))):
+            if row[0] != shingle:
+                shingle, leaders, last = row[0], [row[1:]], row[1:]
+                continue
+            own = cls, size, place, rank = row[1:]
+            for lead in leaders:
+                if may_link(lead[1], lead[2], lead[3], size, place, rank, percent, min):
+                    found.add((lead[:2], own[:2]) if lead[:2] < own[:2] else (own[:2], lead[:2]))
+                    break
+            else:
+                if len(leaders) < LEADERS:
+                    leaders.append(own)
+                if last is not None and last is not leaders[-1] and may_link(*last[1:], size, place, rank, percent, min):
+                    found.add((last[:2], own[:2]) if last[:2] < own[:2] else (own[:2], last[:2]))
+            last = own
+        if found:
+            cols = zip(*((x[0], x[1], y[0], y[1]) for x, y in found if x != y))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["a", "a_size", "b", "b_size"])
+
+
+def first_pairs(met: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """Distinct pairs of classes (a, a_size, b, b_size) to verify first."""
+    dealt = met.select("shingle", "class", "size", "place", "rank", "lonely").repartition("shingle")
+    dealt = dealt.sortWithinPartitions("shingle", "lonely", "size", "class")
+    return dealt.mapInArrow(lambda it: _lead(it, percent), PAIRS).distinct()
 
 
 def _pairs(rows: DataFrame, one: tuple[str, str], two: tuple[str, str]) -> DataFrame:
@@ -198,28 +235,20 @@ def _pairs(rows: DataFrame, one: tuple[str, str], two: tuple[str, str]) -> DataF
     return both.select(F.col("x.c").alias("a"), F.col("x.s").alias("a_size"), F.col("y.c").alias("b"), F.col("y.s").alias("b_size"))
 
 
-def first_pairs(met: DataFrame) -> DataFrame:
-    """Distinct pairs to verify first: with the leader, and with the member before."""
-    own = ("class", "size")
-    with_leader = _pairs(met.where("try_leader"), own, ("leader", "leader_size"))
-    return with_leader.unionAll(_pairs(met.where("try_before"), own, ("before", "before_size"))).distinct()
-
-
 def open_pairs(met: DataFrame, homes: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """All pairs that share a prefix shingle, pass the filters and lie in different components.
 
     `homes`: class, size and component. Of each shingle only members outside its most frequent component are
     joined with the others, so what is left of a large group makes no pairs of all with all.
     """
-    first = met.where("second").select("shingle", F.col("before").alias("class"), F.col("before_size").alias("size"), F.col("before_place").alias("place"))
-    members = met.select("shingle", "class", "size", "place").unionAll(first).join(homes, ["class", "size"])
-    main = members.groupBy("shingle", "home").count().groupBy("shingle").agg(F.max_by("home", F.struct("count", "home")).alias("main"), F.count(F.lit(1)).alias("homes"))
-    split = members.join(main.where("homes > 1").drop("homes"), "shingle")
-    x = split.where("home <> main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("class", "size", "place", "home")])
-    y = split.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("class", "size", "place", "home")])
-    size = {c: F.col(c).cast("long") for c in ("x_size", "x_place", "y_size", "y_place")}
-    fits = may_link(size["x_size"], size["x_place"], size["y_size"], size["y_place"], percent, F.least)
-    met_again = x.join(y, "shingle").where((F.col("x_home") != F.col("y_home")) & fits)
+    placed = met.join(homes, ["class", "size"])
+    main = placed.groupBy("shingle", "home").count().groupBy("shingle").agg(F.max_by("home", F.struct("count", "home")).alias("main"), F.count(F.lit(1)).alias("homes"))
+    split = placed.join(main.where("homes > 1").drop("homes"), "shingle")
+    part = ("class", "size", "place", "rank", "home")
+    x = split.where("home <> main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in part])
+    y = split.select("shingle", *[F.col(c).alias(f"y_{c}") for c in part])
+    long = [F.col(f"{s}_{c}").cast("long") for s in "xy" for c in ("size", "place", "rank")]
+    met_again = x.join(y, "shingle").where((F.col("x_home") != F.col("y_home")) & may_link(*long, percent, F.least))
     return _pairs(met_again, ("x_class", "x_size"), ("y_class", "y_size")).distinct()
 
 
@@ -310,8 +339,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """
     rows, counts = survey(docs, key, text)
     classes = stored(rows.where("n_shingles > 0").groupBy("class", "n_shingles").agg(F.min("id").alias("rep")), "classes")
-    met = stored(meetings(prefixes(docs, text, counts, percent), percent), "meetings")
-    tried = stored(first_pairs(met), "pairs")
+    met = stored(ranked(members(prefixes(docs, text, counts, percent)), percent), "meetings")
+    tried = stored(first_pairs(met, percent), "pairs")
     links = stored(verified(tried, classes, docs, key, text, percent), "links")
     homes = components(links)
     of = classes.join(homes, classes["rep"] == homes["node"], "left").select("class", F.col("n_shingles").cast("int").alias("size"), F.coalesce("home", "rep").alias("home"))

@@ -90,7 +90,7 @@ def test_pairs_stay_linear_in_a_large_family(spark):
         rows.append((i, " ".join(t)))
     d = docs(spark, rows).repartition(4)
     _, counts = jaccard.survey(d, "doc_id", "text")
-    met = jaccard.meetings(jaccard.prefixes(d, "text", counts))
+    met = jaccard.ranked(jaccard.members(jaccard.prefixes(d, "text", counts)))
     assert jaccard.first_pairs(met).count() < 6 * len(rows)
     assert {r["component_id"] for r in jaccard.near_duplicates(d).collect()} == {0}
 
