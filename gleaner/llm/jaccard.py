@@ -129,14 +129,14 @@ def prefixes(docs: DataFrame, text: str, counts: np.ndarray, percent: int = THRE
     return docs.select(text).mapInArrow(run, PREFIXES)
 
 
-def may_link(size_a, place_a, rank_a, size_b, place_b, rank_b, percent: int, least):
-    """Length and positional filter for two members of a shingle, of columns or arrays; `least` is their minimum.
+def may_link(size_a, place_a, size_b, place_b, percent: int, least):
+    """Length and positional filter for two members of a shingle, of columns or numbers; `least` is their minimum.
 
-    What comes after the shingle in both can share the lesser rest at most. What comes before it in both lies in both
-    prefixes, so only shingles that some other class has in its prefix too can be shared: `rank` counts those.
+    The shingle is taken for the first that the two share: then they share it and the lesser rest after it at most.
+    Sets that reach the threshold pass at the shingle that is their first, so each such pair is found there.
     """
     small = least(size_a, size_b)
-    most = least(rank_a, rank_b) + 1 + least(size_a - place_a - 1, size_b - place_b - 1)
+    most = 1 + least(size_a - place_a - 1, size_b - place_b - 1)
     both = size_a + size_b
     return (100 * small >= percent * (both - small)) & ((100 + percent) * most >= percent * both)
 
@@ -179,13 +179,10 @@ def members(rows: DataFrame) -> DataFrame:
 
 
 def ranked(shared: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """Add `rank`, how many of the class's shared shingles come before this one, and `lonely`, the share of its
-    prefix that it has alone. A class has no more rows than its prefix."""
+    """Add `lonely`, the share of its prefix that a class has alone. A class has no more rows than its prefix."""
     own = Window.partitionBy("class", "size")
     prefix = F.col("size") - F.floor((percent * F.col("size") + 99) / 100) + 1
-    return shared.withColumn("rank", (F.row_number().over(own.orderBy("place")) - 1).cast("int")).withColumn(
-        "lonely", ((prefix - F.count(F.lit(1)).over(own)) / F.col("size")).cast("float")
-    )
+    return shared.withColumn("lonely", ((prefix - F.count(F.lit(1)).over(own)) / F.col("size")).cast("float"))
 
 
 #: Leaders that a shingle has at once; members that none may link with are left to `open_pairs`.
@@ -200,19 +197,19 @@ def _lead(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     shingle, leaders, last = None, [], None
     for b in batches:
         found = set()
-        for row in zip(*(b.column(i).to_pylist() for i in range(5))):
+        for row in zip(*(b.column(i).to_pylist() for i in range(4))):
             if row[0] != shingle:
                 shingle, leaders, last = row[0], [row[1:]], row[1:]
                 continue
-            own = cls, size, place, rank = row[1:]
+            own = cls, size, place = row[1:]
             for lead in leaders:
-                if may_link(lead[1], lead[2], lead[3], size, place, rank, percent, min):
+                if may_link(lead[1], lead[2], size, place, percent, min):
                     found.add((lead[:2], own[:2]) if lead[:2] < own[:2] else (own[:2], lead[:2]))
                     break
             else:
                 if len(leaders) < LEADERS:
                     leaders.append(own)
-                if last is not None and last is not leaders[-1] and may_link(*last[1:], size, place, rank, percent, min):
+                if last is not None and last is not leaders[-1] and may_link(last[1], last[2], size, place, percent, min):
                     found.add((last[:2], own[:2]) if last[:2] < own[:2] else (own[:2], last[:2]))
             last = own
         if found:
@@ -223,7 +220,7 @@ def _lead(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Record
 
 def first_pairs(met: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """Distinct pairs of classes (a, a_size, b, b_size) to verify first."""
-    dealt = met.select("shingle", "class", "size", "place", "rank", "lonely").repartition("shingle")
+    dealt = met.select("shingle", "class", "size", "place", "lonely").repartition("shingle")
     dealt = dealt.sortWithinPartitions("shingle", "lonely", "size", "class")
     return dealt.mapInArrow(lambda it: _lead(it, percent), PAIRS).distinct()
 
@@ -244,10 +241,10 @@ def open_pairs(met: DataFrame, homes: DataFrame, percent: int = THRESHOLD) -> Da
     placed = met.join(homes, ["class", "size"])
     main = placed.groupBy("shingle", "home").count().groupBy("shingle").agg(F.max_by("home", F.struct("count", "home")).alias("main"), F.count(F.lit(1)).alias("homes"))
     split = placed.join(main.where("homes > 1").drop("homes"), "shingle")
-    part = ("class", "size", "place", "rank", "home")
+    part = ("class", "size", "place", "home")
     x = split.where("home <> main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in part])
     y = split.select("shingle", *[F.col(c).alias(f"y_{c}") for c in part])
-    long = [F.col(f"{s}_{c}").cast("long") for s in "xy" for c in ("size", "place", "rank")]
+    long = [F.col(f"{s}_{c}").cast("long") for s in "xy" for c in ("size", "place")]
     met_again = x.join(y, "shingle").where((F.col("x_home") != F.col("y_home")) & may_link(*long, percent, F.least))
     return _pairs(met_again, ("x_class", "x_size"), ("y_class", "y_size")).distinct()
 
