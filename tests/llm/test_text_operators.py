@@ -311,6 +311,15 @@ def test_shared_passages_are_found():
         assert set(a[0].tolist()) & set(b[0].tolist())
 
 
+def test_short_texts_meet_their_half_kept_edit():
+    random.seed(5)
+    rand = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    for n in [*range(30, 130), *range(130, 300, 10)]:
+        t = rand(n)
+        a, b = winnow.winnow([t, winnow.edited_text(t, rand(n))])
+        assert winnow.likeness(a[0], b[0]) > 0, n
+
+
 def test_next_text_across_blocks_nulls_and_ties(spark):
     rows = ROWS + [(i, f"document {i} " + "abc def " * (i % 30)) for i in range(20, 300)]
     got = defaultdict(list)
