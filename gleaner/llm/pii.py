@@ -15,6 +15,7 @@ import hmac
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,6 +78,8 @@ class Kind:
     name: str
     pattern: str
     replace: Callable[[str, bytes, bool], str | None]
+    #: Whether what follows may look like more of it: if the longest is not valid, each shorter one is tried.
+    shorter: bool = False
 
 
 def _card(found: str, key: bytes, back: bool) -> str | None:
@@ -163,20 +166,38 @@ def _address(found: str, key: bytes, back: bool) -> str | None:
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
 
-def _date(order: str) -> Callable[[str, bytes, bool], str | None]:
-    """A day of 1900 to 2099 becomes another one; `order` of y, m, d in the text. A day is one pseudonym in all orders."""
+def _day(parts: list[str], order: str) -> int | None:
+    try:
+        day = datetime.date(*(int(parts[order.index(c)]) for c in "ymd"))
+    except ValueError:
+        return None
+    at = (day - FIRST_DAY).days
+    return at if 0 <= at < DAYS else None
+
+
+def _date(*orders: str) -> Callable[[str, bytes, bool], str | None]:
+    """A day of 1900 to 2099 becomes another one; the first of `orders` of y, m, d that is a day is how it is read.
+
+    A day is one pseudonym in all forms, walked on where the text would not be read or look the same: one read in a
+    later order stays so, and beside a part of one digit each part stays under 10 or from 10 up.
+    """
+
+    def read(parts: list[str]) -> tuple[str | None, int | None]:
+        return next(((o, at) for o in orders if (at := _day(parts, o)) is not None), (None, None))
 
     def replace(found: str, key: bytes, back: bool) -> str | None:
         parts = re.findall(r"\d+", found)
-        try:
-            day = datetime.date(*(int(parts[order.index(c)]) for c in "ymd"))
-        except ValueError:
+        order, at = read(parts)
+        if at is None:
             return None
-        at = (day - FIRST_DAY).days
-        if not 0 <= at < DAYS:
-            return None
-        new = FIRST_DAY + datetime.timedelta(permute(at, DAYS, key, b"date", back))
-        return _filled(found, "".join({"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}[c] for c in order))
+        loose = any(len(p) == 1 for p in parts)
+        while True:
+            at = permute(at, DAYS, key, b"date", back)
+            day = FIRST_DAY + datetime.timedelta(at)
+            of = {"y": day.year, "m": day.month, "d": day.day}
+            new = [str(of[c]).zfill(len(p)) for c, p in zip(order, parts)]
+            if read(new)[0] == order and not (loose and any((int(x) < 10) != (int(p) < 10) for x, p in zip(new, parts))):
+                return _filled(found, "".join(new))
 
     return replace
 
@@ -207,14 +228,15 @@ def _mail(found: str, key: bytes, back: bool) -> str | None:
 #: In the order in which they are tried at a place. Every pattern holds a digit or an @.
 KINDS = (
     Kind("mail", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}", _mail),
-    Kind("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _account),
-    Kind("date", r"(?:19|20)\d\d-\d\d-\d\d(?!\d)", _date("ymd")),
-    Kind("date", r"(?:19|20)\d\d/\d\d/\d\d(?!\d)", _date("ymd")),
-    Kind("date", r"\d\d\.\d\d\.(?:19|20)\d\d(?!\d)", _date("dmy")),
-    Kind("date", r"\d\d/\d\d/(?:19|20)\d\d(?!\d)", _date("mdy")),
+    Kind("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _account, True),
+    Kind("date", r"(?:19|20)\d\d-\d\d?-\d\d?(?!\d)", _date("ymd")),
+    Kind("date", r"(?:19|20)\d\d/\d\d?/\d\d?(?!\d)", _date("ymd")),
+    Kind("date", r"\d\d?\.\d\d?\.(?:19|20)\d\d(?!\d)", _date("dmy")),
+    Kind("date", r"\d\d?/\d\d?/(?:19|20)\d\d(?!\d)", _date("mdy", "dmy")),
+    Kind("date", r"\d\d?-\d\d?-(?:19|20)\d\d(?!\d)", _date("dmy", "mdy")),
     Kind("address", r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _address),
     Kind("national", r"\d{3}-\d{2}-\d{4}(?![-\d])", _national),
-    Kind("card", r"\d(?:[ -]?\d){12,18}(?![ -]?\d)", _card),
+    Kind("card", r"\d(?:[ -]?\d){12,18}", _card, True),
     Kind("phone", r"\+1 ?\(\d{3}\) ?\d{3}[ -.]?\d{4}(?!\d)", _number("phone", 1)),
     Kind("phone", r"\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)", _number("phone", 1)),
     Kind("phone", r"\(\d{3}\) ?\d{3}[ -.]\d{4}(?!\d)", _number("phone", 0)),
@@ -225,31 +247,70 @@ _TRIED = re.compile(r"(?<![\w.+@-])(?:%s)(?!\w)" % "|".join(f"(?P<k{i}>{k.patter
 _HINT = re.compile(r"[\d@]")
 
 
-def replaced(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with pseudonyms, and for each its kind and stretch in code points; lengths do not change."""
-    if not _HINT.search(text):
-        return text, []
-    out, spans, last = [], [], 0
-    at = 0
+_ALONE = [re.compile(r"(?<![\w.+@-])(?:%s)(?!\w)" % k.pattern) for k in KINDS]
+_WORD = re.compile(r"\w")
+
+#: Index of a kind, start, end.
+Spot = tuple[int, int, int]
+
+
+def _at(i: int, text: str, start: int, key: bytes, back: bool) -> tuple[str, Spot] | None:
+    """The longest valid value of a kind that begins at a place."""
+    kind, m = KINDS[i], _ALONE[i].match(text, start)
+    while m:
+        if new := kind.replace(m[0], key, back):
+            return new, (i, start, m.end())
+        ends = range(m.end() - 1, start, -1) if kind.shorter else ()
+        m = next((x for e in ends if not _WORD.match(text, e) and (x := _ALONE[i].fullmatch(text, start, e))), None)
+    return None
+
+
+def _found(text: str, at: int, key: bytes, back: bool) -> Iterator[tuple[str, Spot]]:
+    """Pseudonyms and where they go, of all values from a place on."""
     while m := _TRIED.search(text, at):
-        kind = KINDS[int(m.lastgroup[1:])]
-        new = kind.replace(m[0], key, back)
-        if new is None:
-            # Another kind may begin here or within.
-            new, kind, m = next(((n, k, x) for k in KINDS if k is not kind and (x := _alone(k).match(text, m.start())) and (n := k.replace(x[0], key, back))), (None, kind, m))
-        if new is None:
+        first = int(m.lastgroup[1:])
+        # Another kind may begin here or within.
+        got = next((x for i in (first, *(i for i in range(len(KINDS)) if i != first)) if (x := _at(i, text, m.start(), key, back))), None)
+        if got is None:
             at = m.start() + 1
             while at < len(text) and (text[at].isalnum() or text[at] in "._%+-@"):
                 at += 1
             continue
-        out += [text[last : m.start()], new]
-        spans.append((kind.name, m.start(), m.end()))
-        last = at = m.end()
-    return "".join(out) + text[last:] if out else text, spans
+        yield got
+        at = got[1][2]
+
+
+# Code points before and after a value that can decide where it is found: more than two values but for host names.
+AROUND = 200
 
 
-def _alone(kind: Kind) -> re.Pattern:
-    return re.compile(r"(?<![\w.+@-])(?:%s)(?!\w)" % kind.pattern)
+def replaced(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with pseudonyms, and for each its kind and stretch in code points; lengths do not change.
+
+    A pseudonym and the digits beside it may look like a longer value by chance. It is then walked on, until values
+    are found where they were. From the last to the first, and back from the first to the last: so each is tried
+    beside the same text both ways, in which what it was is found too, and the way back ends there.
+    """
+    if not _HINT.search(text):
+        return text, []
+    spots = [spot for _, spot in _found(text, 0, key, back)]
+    now, n = list(text), len(spots)
+    for j in range(n) if back else range(n - 1, -1, -1):
+        i, a, b = spots[j]
+        first = j
+        while first and spots[first - 1][2] > a - AROUND:
+            first -= 1
+        # The search goes on from the value before, whose last character keeps its class.
+        begin = spots[first - 1][2] if first else 0
+        cut, want = max(0, begin - 1), spots[first : j + 1]
+        value = text[a:b]
+        while True:
+            value = KINDS[i].replace(value, key, back)
+            now[a:b] = value
+            near = _found("".join(now[cut : b + AROUND]), begin - cut, key, back)
+            if [(k, x + cut, y + cut) for _, (k, x, y) in islice(near, len(want))] == want:
+                break
+    return "".join(now), [(KINDS[i].name, a, b) for i, a, b in spots]
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

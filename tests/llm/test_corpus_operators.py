@@ -149,6 +149,29 @@ def test_pseudonyms_keep_format_and_turn_round():
     assert pii.replaced("2001-02-28", b"k")[0].split("-") == [pii.replaced("02/28/2001", b"k")[0].split("/")[i] for i in (2, 0, 1)]
 
 
+def test_values_beside_digits_and_dates_in_any_form():
+    values = [
+        ("card", "4111 1111 1111 1111"), ("card", "4111111111111111"), ("card", "4111-1111-1111-1111"), ("card", "378282246310005"),
+        ("iban", "ES91 2100 0418 4502 0005 1332"), ("address", "11.180.247.116"), ("national", "123-45-6789"), ("phone", "(446) 555-8962"),
+        ("date", "25/12/1990"), ("date", "12/25/1990"), ("date", "3/14/1985"), ("date", "14/3/1985"), ("date", "31-12-1999"), ("date", "1-2-1999"),
+        ("date", "7.3.2004"), ("date", "2001-2-8"), ("date", "31.12.1999"), ("date", "2001-02-28"),
+    ]
+    for kind, v in values:
+        for after in ("", " 12/27", " 123", " 4990108715159781", " 7/4/1990", " 415-555-0123"):
+            new, spans = pii.replaced(f"see {v}{after}", b"k")
+            assert spans[0][0] == kind and spans[0][1:] == (4, 4 + len(v)) and new[4 : 4 + len(v)] != v, (v, after)
+            assert len(new) == 4 + len(v + after) and pii.replaced(new, b"k", True) == (f"see {v}{after}", spans)
+
+
+def test_many_values_in_a_row_turn_round():
+    rng = random.Random(3)
+    cards = ["".join(d) + str(pii.luhn("".join(d))) for d in (rng.choices("0123456789", k=15) for _ in range(300))]
+    for gap in (" 123 ", " ", "\n", " 12/27 "):
+        text = gap.join(cards) + gap + "25/12/1990"
+        new, spans = pii.replaced(text, b"k")
+        assert len(spans) > 200 and pii.replaced(new, b"k", True) == (text, spans)
+
+
 def test_what_is_not_valid_stays():
     for t in ("4111111111111112", "300.1.2.3", "2001-02-29", "666-12-3456", "Version 2.0.", "1.2.3.4.5", "GB82 WEST 1234 5698 7654 33", "", "no digits @ all", "x12345678901234567890123y"):
         assert pii.replaced(t, b"k") == (t, [])
