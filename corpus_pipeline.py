@@ -30,11 +30,22 @@ def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of near copies. Rows without an id stay, as do all rows of an id
-    that stays."""
-    found = stored(jaccard.near_duplicates(docs), "components")
-    gone = found.where(F.col("id") != F.col("component_id")).select("id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    """One row of each component of near copies: of its least id, and the least of rows that share the id.
+
+    A row without an id has one made of its text for this, above those of rows that have one (unless theirs are over
+    2^62), so rows without an id are copies like others, and those of equal text are one document.
+    """
+    own = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), own))
+    found = stored(jaccard.near_duplicates(keyed, "_key"), "components")
+    ids = found.groupBy("id").agg(F.max(F.col("id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n"))
+    odd = stored(ids.where("gone OR n > 1").select("id", "gone"), "odd")
+    once = keyed.join(odd, keyed["_key"] == odd["id"], "left_anti").drop("_key")
+    again = odd.where("NOT gone")
+    if again.isEmpty():
+        return once
+    rows = keyed.join(again, keyed["_key"] == again["id"], "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(rows.select("row.*"))
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

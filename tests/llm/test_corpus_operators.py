@@ -259,6 +259,23 @@ def test_pipeline_against_brute_force(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(rows)
 
 
+def test_one_row_of_each_component_stays(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    near = words.replace("w30 ", "other ")
+    lone = " ".join(f"v{i}" for i in range(60))
+    none = " ".join(f"u{i}" for i in range(60))
+    texts = [(1, words)] * 40 + [(2, near), (None, words), (None, near + " more"), (3, lone), (3, lone), (3, lone + " other")]
+    texts += [(None, none), (None, none), (None, none + " more"), (4, "alone in the table"), (5, None), (6, "")]
+    full = spark.createDataFrame([(k, t, "en", f"s{i}", 1) for i, (k, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_copies(spark, full.repartition(7), SF)
+    assert got.columns == full.columns
+    rows = got.collect()
+    assert sorted((r["doc_id"] for r in rows if r["doc_id"] is not None)) == [1, 3, 4, 5, 6]
+    assert [r["text"] in (none, none + " more") for r in rows if r["doc_id"] is None] == [True]
+    again = corpus_pipeline.drop_copies(spark, full.repartition(2), SF).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
 def test_stages_take_nulls_and_empty_tables(spark):
     full = docs(spark, ROWS + [(4, VALID + " and some more words so that it is kept"), (4, VALID)]).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
