@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import binary, bpe, chat, jaccard, packing, pii, quality, sharding, toxicity, winnow
+from gleaner.llm import binary, bpe, chat, jaccard, packing, pii, quality, repair, sharding, toxicity, winnow
 from gleaner.session import new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,12 +104,15 @@ def quality_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 # crc32 by the byte, over a table that its rule gives.
-SHARD_SQL = """
+CRC_SQL = """
 WITH RECURSIVE steps(k, v, i) AS (
   SELECT k, k::BIGINT, 0 FROM range(256) r(k)
   UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i + 1 FROM steps WHERE i < 8),
 crc AS (SELECT list(v ORDER BY k) AS t FROM steps WHERE i = 8),
-d AS (
+"""
+SHARD_SQL = (
+    CRC_SQL
+    + """d AS (
   SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
     [4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
   FROM documents),
@@ -127,6 +130,7 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INTEGER AS
   grown::INTEGER AS grown_shard
 FROM f
 """
+)
 
 
 @query("op5_sharding", SHARD_SQL)
@@ -249,3 +253,118 @@ def private_data(spark: SparkSession, path: str) -> DataFrame:
     """Every document with pseudonyms for its personal numbers, dates and mail names, and where they are."""
     out = pii.pseudonymised(documents(spark, path).select("doc_id", "text"), "text", PII_KEY)
     return out.withColumn("n_replaced", F.coalesce(F.size("spans"), F.lit(0)).cast("long"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations as a bad export would leave them: what happens to a row hangs on the checksum of its place."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(F.col("_kind") == 1, "").when(F.col("_kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return (
+        turns.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), kind.alias("_kind"))
+        .where(F.col("_kind") != 0)
+        .withColumns({"text": text, "role": F.when(F.col("_kind") == 4, "user").otherwise(F.col("role"))})
+        .withColumn("_copy", F.explode(F.when(F.col("_kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        .select("conv_id", "turn", "role", "text")
+    )
+
+
+def _repair_sql() -> str:
+    """The same decision from the first row to the last: for each state a string of eight digits of cost and the letters."""
+
+    def then(path: str, cost: str, letter: str) -> str:
+        return f"(lpad((substr({path}, 1, 8)::BIGINT + {cost})::VARCHAR, 8, '0') || substr({path}, 9) || '{letter}')"
+
+    def new_rows(s: list[str]) -> list[str]:
+        i = [then(x, "5", "I") for x in s]
+        return [s[0], s[1], f"least({s[2]}, {i[0]}, {i[1]}, {i[3]})", f"least({s[3]}, {i[2]})"]
+
+    a, b, v = ([f"{x}{k}" for k in range(4)] for x in "abv")
+    late, some = "(code = upper(code) AND code <> '-')::INT * 5", "code <> '-'"
+    keep = lambda s, r: f"CASE WHEN lower(code) = '{r}' THEN {then(s, late, 'K')} END"
+    role = lambda s, r: f"CASE WHEN {some} AND lower(code) <> '{r}' THEN {then(s, late + ' + 1', 'R')} END"
+    go = lambda s: then(s, "2", "D")
+    to_user = [f(s, "u") for s in (v[0], v[1], v[3]) for f in (keep, role)]
+    after = [go(v[0]), f"least({go(v[1])}, {keep(v[0], 's')})", f"least({go(v[2])}, {', '.join(to_user)})", f"least({go(v[3])}, {keep(v[2], 'a')}, {role(v[2], 'a')})"]
+    listed = lambda xs, names: ", ".join(f"{x} AS {n}" for x, n in zip(xs, names))
+    return (
+        CRC_SQL
+        + f"""raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    [4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'),
+      lambda x: ('0x' || x)::BIGINT) AS bytes
+  FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM raw, crc),
+left_over AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, range(2) c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+ordered AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 32), sha256(text)) AS n FROM left_over),
+faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair, n > 1 AS has_pair
+  FROM ordered),
+coded AS (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN '-' WHEN fault = 'truncated' THEN upper(c) ELSE c END AS code
+  FROM (SELECT *, CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'x' END AS c FROM faults)),
+told AS (
+  SELECT conv_id, string_agg(code, '' ORDER BY n) AS codes, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (has_pair AND coalesce(pair, '') NOT IN ('su', 'ua', 'au')) AS illegal,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+  FROM coded GROUP BY conv_id),
+walk(conv_id, codes, i, a0, a1, a2, a3) AS (
+  SELECT conv_id, codes, 0, '00000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM told
+  UNION ALL
+  SELECT conv_id, codes, i + 1, {', '.join(after)}
+  FROM (
+    SELECT *, substr(codes, (i + 1)::BIGINT, 1) AS code, {listed(new_rows(b), v)}
+    FROM (SELECT *, {listed(new_rows(a), b)} FROM walk WHERE i < length(codes)))),
+ended AS (
+  SELECT conv_id, least(v0, v3) AS best
+  FROM (SELECT *, {listed(new_rows(b), v)} FROM (SELECT *, {listed(new_rows(a), b)} FROM walk WHERE i = length(codes)))),
+audits AS (SELECT conv_id, substr(best, 1, 8)::BIGINT AS cost, substr(best, 9) AS audit FROM ended),
+letters AS (
+  SELECT conv_id, j, audit[j] AS x, sum((audit[j] <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY j) AS row
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM audits)),
+stay AS (
+  SELECT l.conv_id, x, c.role, CASE WHEN x = 'I' THEN '' ELSE c.text END AS text, row_number() OVER (PARTITION BY l.conv_id ORDER BY j) AS k,
+    first_value(x = 'K' AND c.initial = 's') OVER (PARTITION BY l.conv_id ORDER BY j) AS led
+  FROM letters l LEFT JOIN coded c ON l.conv_id IS NOT DISTINCT FROM c.conv_id AND l.row = c.n AND x <> 'I' WHERE x <> 'D'),
+pieces AS (
+  SELECT conv_id, k, CASE WHEN x = 'K' THEN role WHEN (k - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text AS piece FROM stay),
+whole AS (SELECT conv_id, string_agg(piece, chr(10) ORDER BY k) AS text FROM pieces GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(w.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN told t ON o.conv_id IS NOT DISTINCT FROM t.conv_id
+LEFT JOIN audits a ON o.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN whole w ON o.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+    )
+
+
+@query("op11_conversation_repair", _repair_sql())
+def conversation_repair(spark: SparkSession, path: str) -> DataFrame:
+    """Every conversation after damage: what is wrong with it, the cheapest edits, and a digest of the repaired text."""
+    turns = spark.read.parquet(f"{path}/conversations.parquet")
+    return repair_report(turns)
+
+
+def repair_report(turns: DataFrame) -> DataFrame:
+    done = repair.repaired(damaged(turns))
+    pieces = done.turns.select("conv_id", "seq", F.concat("role", F.lit(":"), "text").alias("piece"))
+    texts = repair.digests(pieces, "conv_id", "seq", "piece").withColumnRenamed("conv_id", "_of")
+    found = done.conversations.withColumnRenamed("conv_id", "_conv")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return (
+        turns.select("conv_id").distinct()
+        .join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+        .join(texts, F.col("conv_id").eqNullSafe(F.col("_of")), "left")
+        .select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+    )
