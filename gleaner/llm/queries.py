@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import binary, bpe, chat, jaccard, packing, pii, quality, repair, sharding, toxicity, winnow
+from gleaner.llm import binary, bpe, chat, jaccard, packing, pii, quality, repair, sharding, toxicity, urls, whiten, winnow
 from gleaner.session import new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,9 +304,9 @@ left_over AS (
 ordered AS (
   SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 32), sha256(text)) AS n FROM left_over),
 faults AS (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
       WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
-      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault,
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault,
     lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair, n > 1 AS has_pair
   FROM ordered),
 coded AS (
@@ -368,3 +368,83 @@ def repair_report(turns: DataFrame) -> DataFrame:
         .join(texts, F.col("conv_id").eqNullSafe(F.col("_of")), "left")
         .select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
     )
+
+
+# Rules as they are written: action, then host and path.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+DESCENT = {"steps": 400, "rate": 8.0, "ridge": 1e-5}
+
+
+def _url_sql() -> str:
+    """The regression in its dual form by a recursion over steps; rules as a table."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    rules = ", ".join(f"({text(a)}, {text(w)})" for a, w in URL_RULES)
+    table = ", ".join(f"({text(u)}, {k})" for u, k in urls.LABELLED)
+    part = lambda s, mark: "list_concat(" + "), list_concat(".join(
+        f"list_transform(range(1, greatest(length({s}) - {n - 2}, 1)), lambda i: '{mark}' || substr({s}, i, {n}))" for n in urls.SIZES
+    ).replace("), list_concat(", ", list_concat(", 1) + "))"
+    steps, rate, ridge = DESCENT["steps"], DESCENT["rate"], DESCENT["ridge"]
+    return f"""
+WITH RECURSIVE split AS (
+  SELECT page_id, url, -1.0 AS label FROM pages UNION ALL SELECT NULL, url, label FROM (VALUES {table}) t(url, label)),
+named AS (
+  SELECT *, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM split),
+grams AS (
+  SELECT *, {part("('^' || host || '$')", "h")} AS hg, {part("path", "p")} AS pg FROM named),
+buckets AS (
+  SELECT page_id, label, host, path, list_distinct(list_transform(list_concat(hg, pg), lambda g: ('0x' || substr(md5(g), 1, 4))::INTEGER)) AS f
+  FROM grams),
+facts AS MATERIALIZED (SELECT *, sqrt(greatest(len(f), 1)::DOUBLE) AS n FROM buckets),
+learn AS MATERIALIZED (SELECT row_number() OVER (ORDER BY label, n, f) AS i, label::DOUBLE AS y, n, list_sort(f) AS f FROM facts WHERE label >= 0),
+kernel AS (
+  SELECT a.i, list(1 + len(list_intersect(a.f, b.f)) / (a.n * b.n) ORDER BY b.i) AS row FROM learn a, learn b GROUP BY a.i),
+known AS MATERIALIZED (SELECT list(row ORDER BY i) AS k, (SELECT list(y ORDER BY i) FROM learn) AS y, count(*) AS m FROM kernel),
+descent(step, a) AS (
+  SELECT 0, (SELECT list(0.0::DOUBLE) FROM learn)
+  UNION ALL
+  SELECT step + 1, list_transform(list_zip(k, a, y), lambda x: x[2] * (1 - {rate} * {ridge})::DOUBLE
+    + ({rate}::DOUBLE / m) * (x[3] - 1 / (1 + exp(-list_dot_product(x[1], a)))))
+  FROM descent, known WHERE step < {steps}),
+dual AS MATERIALIZED (SELECT i, f, n, a[i] AS a FROM learn, (SELECT a FROM descent WHERE step = {steps})),
+weights AS (SELECT b, sum(a / n) AS w FROM (SELECT unnest(f) AS b, a, n FROM dual) GROUP BY b),
+asked AS (SELECT row_number() OVER () AS q, * FROM facts WHERE label < 0),
+margins AS (
+  SELECT q, sum(w) AS total FROM (SELECT q, unnest(f) AS b FROM asked) JOIN weights USING (b) GROUP BY q),
+fitting AS (
+  SELECT q, arg_min(where_, place) AS rule, arg_min(action, place) AS action
+  FROM asked, (SELECT action, where_, split_part(where_, '/', 1) AS name, substr(where_, position('/' IN where_)) AS rest,
+      row_number() OVER (ORDER BY length(where_) DESC, length(split_part(where_, '/', 1)) DESC, action DESC) AS place
+    FROM (VALUES {rules}) r(action, where_))
+  WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, rest) GROUP BY q)
+SELECT page_id, host, path, rule, coalesce(action,
+  CASE WHEN (SELECT sum(a) FROM dual) + coalesce(total, 0) / n > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM asked LEFT JOIN margins USING (q) LEFT JOIN fitting USING (q)
+"""
+
+
+@query("op12_url_filters", _url_sql())
+def url_filters(spark: SparkSession, path: str) -> DataFrame:
+    """Every page's host and path, the longest rule that fits, and what it or the regression says."""
+    model = urls.fit(urls.labelled_table(spark), **DESCENT)
+    pages = spark.read.parquet(f"{path}/pages.parquet").select("page_id", "url")
+    out = urls.judged(pages, "url", [urls.Rule(a, w) for a, w in URL_RULES], model)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op13_embedding_whitening")
+def embedding_whitening(spark: SparkSession, path: str) -> DataFrame:
+    """Every kept vector by component, whitened; identity error and shares of variance beside it."""
+    rows, model, error = whiten.whitened(spark.read.parquet(f"{path}/embeddings.parquet"), "vec_id", "embedding")
+    share = F.lit(model.explained).cast("array<double>")
+    return rows.select("key", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        F.col("key").alias("vec_id"),
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        # Null where the sum of squares is beyond 64 bits; the operator has it as a decimal.
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened",
+        F.get(share, F.col("at")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
