@@ -9,25 +9,30 @@ from gleaner.functions.value import epoch_micros
 from gleaner.operators.iterate import emit
 from gleaner.operators.matching import match_rules, url_key
 from gleaner.plans import query
-from gleaner.plans.history import EXPECTED
 from gleaner.plans.paging import PAGES_SQL, customer_pages
 from gleaner.plans.tables import Tables
 from gleaner.session import new_path
 from gleaner.sources import captures as C
 from gleaner.sources import store
 from gleaner.streaming import captures as S
+from gleaner.streaming import keyed
 
 KINDS = [("shop", "/(click|view)"), ("account", "/(signup|purchase)")]
 LIVE = C.CAPTURE + ", at_us long"  # JSON timestamps would lose their microseconds
 
 
+def _live(t: Tables) -> DataFrame:
+    """Event captures with the time they were taken."""
+    at = t.events.select(F.col("event_id").alias("seq"), epoch_micros(F.col("ts")).alias("at_us"))
+    return C.matches(t.web_captures).join(at, "seq")
+
+
 def _folder(t: Tables) -> str:
-    """Event captures as JSON lines in several files, with the time they were taken."""
+    """Event captures as JSON lines in several files, in the order of `seq`."""
     key = (t.spark.sparkContext.applicationId, t.path)
     if key not in _folders:
         path = new_path(t.spark, "live")
-        at = t.events.select(F.col("event_id").alias("seq"), epoch_micros(F.col("ts")).alias("at_us"))
-        C.write_captures(C.matches(t.web_captures).join(at, "seq").repartitionByRange(4, "seq"), path)
+        C.write_captures(_live(t).repartitionByRange("seq"), path)
         _folders[key] = path
     return _folders[key]
 
@@ -35,16 +40,27 @@ def _folder(t: Tables) -> str:
 _folders: dict[tuple, str] = {}
 
 
+def _typed(stream: DataFrame) -> DataFrame:
+    return stream.withColumns({"type": F.regexp_extract("url", r"app\.test/([a-z]+)", 1), "at": F.timestamp_micros("at_us")})
+
+
 def _stream(t: Tables) -> DataFrame:
     """Two files per batch, so that a drain takes several batches."""
-    return S.read_stream(t.spark, _folder(t), LIVE, per_batch=2).withColumns(
-        {"type": F.regexp_extract("url", r"app\.test/([a-z]+)", 1), "at": F.timestamp_micros("at_us")}
-    )
+    return _typed(S.read_stream(t.spark, _folder(t), LIVE, per_batch=2))
 
 
-@query("stream_captures", "SELECT event_id AS seq, event_type AS type, props AS body FROM events")
+@query("stream_captures", "SELECT event_id AS seq, event_type AS type, props AS body, row_number() OVER (ORDER BY event_id) AS arrival FROM events")
 def stream_captures(t):
-    return S.drain(_stream(t).select("seq", "type", "body"))
+    """Captures come a wave at a time, each wave in the order of `seq`; their numbers go on from wave to wave."""
+    live, folder = _live(t), new_path(t.spark, "arriving")
+    out, counts, state = (new_path(t.spark, n) for n in ("arrived", "arrival_counts", "arrival_state"))
+    ends = live.agg(F.percentile_approx("seq", [0.3, 0.6])).first()[0] or [0, 0]
+    for wave, part in enumerate((F.col("seq") <= ends[0], (F.col("seq") > ends[0]) & (F.col("seq") <= ends[1]), F.col("seq") > ends[1])):
+        # One file a wave: what it holds is in order, whatever the times of its neighbours.
+        C.write_captures(live.where(part).orderBy("seq").coalesce(1), f"{folder}/wave={wave}")
+        rows = _typed(S.placed(S.read_stream(t.spark, f"{folder}/wave=*", LIVE)))
+        S.drain(rows.select("seq", "type", "body", "__file_at", "__file", "__block"), each=S.number_arrivals(out, counts), state=state)
+    return t.spark.read.parquet(out).select("seq", "type", "body", "arrival")
 
 
 @query(
@@ -67,34 +83,61 @@ def stream_totals(t):
 
 GAP = 60
 SETTLE_SQL = f"""WITH e AS (SELECT user_id, epoch_us(ts) AS at_us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
-      s AS (SELECT *, sum(CASE WHEN prev IS NULL OR at_us - prev > {GAP * 60000000} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at_us) AS session FROM e),
-      w AS (SELECT user_id, min(at_us) AS from_us, max(at_us) + {GAP * 60000000} AS until_us, count(*) AS n FROM s GROUP BY user_id, session)
-    SELECT user_id::VARCHAR AS source, from_us, until_us, n FROM w WHERE until_us <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000"""
+      s AS (SELECT *, sum(CASE WHEN prev IS NULL OR at_us - prev > {GAP * 60000000} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at_us) AS session FROM e)
+    SELECT user_id::VARCHAR AS source, min(at_us) AS from_us, max(at_us) + {GAP * 60000000} AS until_us, count(*) AS n, false AS late FROM s GROUP BY user_id, session"""
 
 
 @query("stream_settle", SETTLE_SQL)
 def stream_settle(t):
-    stream = _stream(t).withColumn("source", F.regexp_extract("url", r"user=(\d+)", 1))
-    settled = S.drain(S.settle(stream, "source", "at", f"{GAP} minutes"))
-    return settled.select("source", F.unix_micros("from").alias("from_us"), F.unix_micros("until").alias("until_us"), "n")
+    """All stretches, those still open at the end too, and captures that came too late (none: waves are in order of time)."""
+    live, folder = _live(t), new_path(t.spark, "settling")
+    out, state = new_path(t.spark, "settled"), new_path(t.spark, "settle_state")
+    ends = live.agg(F.percentile_approx("at_us", [0.25, 0.5, 0.75])).first()[0] or [0, 0, 0]
+    wave = F.lit(0)
+    for e in ends:
+        wave = wave + (F.col("at_us") > e).cast("int")
+    for k in range(len(ends) + 1):
+        C.write_captures(live.where(wave == k), f"{folder}/wave={k}")
+        stream = _typed(S.read_stream(t.spark, f"{folder}/wave=*", LIVE)).withColumn("source", F.regexp_extract("url", r"user=(\d+)", 1))
+        S.drain(keyed.settle(stream, "source", "at", GAP * 60_000_000), out=out, state=state)
+    done = keyed.settled(t.spark, out, state)
+    both = done.stretches.select("source", "first", "last", "n", F.lit(False).alias("late")).unionByName(done.late.withColumn("late", F.lit(True)))
+    return both.select("source", F.col("first").alias("from_us"), (F.col("last") + GAP * 60_000_000).alias("until_us"), "n", "late")
 
 
 @query("stream_dedup", "SELECT event_type AS type, count(DISTINCT (user_id, props)) AS n FROM events GROUP BY 1")
 def stream_dedup(t):
     """The same request with the same answer counts once, however much later it comes."""
-    keyed = _stream(t).withColumns({"key": url_key(F.col("url")), "hash": F.sha2("body", 256)})
-    once = S.dedup(keyed.select("method", "key", "hash", "type", "at"), ["method", "key", "hash"], "at", late="36500 days")
-    return S.drain(once.select("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    rows = _stream(t).withColumns({"key": url_key(F.col("url")), "hash": F.sha2("body", 256)}).select("method", "key", "hash", "type", "at")
+    seen, out = new_path(t.spark, "seen"), new_path(t.spark, "once")
+    S.drain(rows, each=S.first_seen(["method", "key", "hash"], seen, out))
+    return t.spark.read.parquet(out).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+RUN_EXPECTED = [("click", ">=", 1000000000), ("refund", ">", 0), ("signup", "<=", 1), ("view", ">", 0)]
 
 
 @query(
     "stream_expect",
-    "WITH e(type, op, expected) AS (VALUES ('click', '>=', 1000000000), ('refund', '>', 0), ('signup', '<=', 1)) SELECT type, op, expected, (SELECT count(*) FROM events WHERE event_type = type) AS actual, false AS met FROM e",
+    """WITH e(type, op, expected) AS (VALUES ('click', '>=', 1000000000), ('refund', '>', 0), ('signup', '<=', 1), ('view', '>', 0)),
+      r AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run FROM events),
+      a AS (SELECT run, type, op, expected, (SELECT count(*) FROM r WHERE r.run = k.run AND event_type = type) AS actual
+        FROM e, (VALUES ('even'), ('odd')) k(run))
+    SELECT run, type, op, expected, actual, false AS met FROM a
+    WHERE NOT CASE op WHEN '>=' THEN actual >= expected WHEN '>' THEN actual > expected ELSE actual <= expected END""",
 )
 def stream_expect(t):
-    path = new_path(t.spark, "expect")
-    S.drain(_stream(t), each=S.expectations("type", EXPECTED, path))
-    return S.check_totals(t.spark, path, "type", EXPECTED).filter(~F.col("met"))
+    """Two runs, each over the captures of its users; the counts are seen as the batches pass."""
+    listener = S.Expectations(RUN_EXPECTED)
+    t.spark.streams.addListener(listener)
+    try:
+        user = F.regexp_extract("url", r"user=(\d+)", 1).cast("long")
+        for run, rest in (("even", 0), ("odd", 1)):
+            rows = listener.watched(_stream(t).where(user % 2 == rest), "type").select("seq", "type")
+            listener.run(rows, run, new_path(t.spark, "run_state"), new_path(t.spark, "run_out"))
+    finally:
+        t.spark.streams.removeListener(listener)
+    return listener.unmet(t.spark)
 
 
 @query("stream_store", "SELECT 'Hit-' || event_id AS _id, event_type AS type FROM events")
@@ -110,19 +153,12 @@ def stream_store(t):
 
 @query("stream_pages", f"{PAGES_SQL} SELECT o_custkey AS source, ceil(i / 3.0)::BIGINT AS page_no FROM n GROUP BY 1, 2")
 def stream_pages(t):
-    folder, state, out = (new_path(t.spark, n) for n in ("pages_in", "pages_state", "pages_out"))
+    """Pages come in any order, dealt over waves of files by a hash."""
+    folder, out, state = (new_path(t.spark, n) for n in ("pages_in", "pages_out", "pages_state"))
     doc = F.from_json("body", "list array<long>, total long")
     rows = customer_pages(t).select("source", "page_no", F.size(doc["list"]).alias("n_items"), doc["total"].alias("total"))
-    # Files in page order: each source's later pages come in later files.
-    for n, part in enumerate((F.col("page_no") <= 1, F.col("page_no").between(2, 3), F.col("page_no") > 3)):
-        rows.filter(part).coalesce(4).write.json(f"{folder}/part={n}")
-    schema = "source long, page_no long, n_items int, total long"
-    for n in range(3):
-        stream = S.read_stream(t.spark, f"{folder}/part={n}", schema)
-        _drain_into(stream, state, out, n)
-    return t.spark.read.parquet(out).select("source", "page_no")
-
-
-def _drain_into(stream: DataFrame, state: str, out: str, first: int) -> None:
-    write = S.keep_pages("source", "page_no", "n_items", "total", state, out)
-    S.drain(stream, each=lambda batch, batch_id: write(batch, first + batch_id))
+    for wave in range(3):
+        rows.where(F.pmod(F.xxhash64("source", "page_no"), F.lit(3)) == wave).write.json(f"{folder}/wave={wave}")
+        stream = S.read_stream(t.spark, f"{folder}/wave=*", "source long, page_no long, n_items int, total long")
+        S.drain(keyed.pages(stream, "source", "page_no", "n_items", "total"), out=out, state=state)
+    return t.spark.read.parquet(out).select("source", F.col("page").alias("page_no"))

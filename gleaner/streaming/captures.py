@@ -1,18 +1,21 @@
 """Structured Streaming over captures that arrive as files.
 
 The batch operators that need no state work on a stream as they are. What follows are the
-ones that keep something between batches: totals, quiet periods, the store and pagination.
+ones that keep something between batches: totals, arrival numbers, seen keys and the store. What keeps
+state for each source is in `keyed`.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from gleaner.operators.counts import judged
-from gleaner.operators.ordered import running
+from gleaner.operators.ordered import numbered
 from gleaner.session import new_path
 from gleaner.sources import store
 from gleaner.sources.captures import CAPTURE
@@ -25,10 +28,15 @@ def read_stream(spark: SparkSession, path: str, schema: str = CAPTURE, per_batch
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).json(path)
 
 
-def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Run a stream over what is there and stop; the rows it wrote, unless `each` takes the batches."""
+def drain(
+    stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, out: str | None = None, state: str | None = None
+) -> DataFrame | None:
+    """Run a stream over what is there and stop; the rows it wrote, unless `each` takes the batches.
+
+    `out` and `state` name the folders of an earlier drain to go on from.
+    """
     spark = stream.sparkSession
-    out, state = new_path(spark, "out"), new_path(spark, "state")
+    out, state = out or new_path(spark, "out"), state or new_path(spark, "state")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if each is None:
         writer = writer.format("parquet").option("path", out)
@@ -57,98 +65,122 @@ def latest_values(spark: SparkSession, path: str, keys: Sequence[str], value: st
     return spark.read.parquet(path).groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
 
 
-def settle(stream: DataFrame, source: str, at: str, quiet: str, late: str = "1 hour") -> DataFrame:
-    """Stretches of a source with no gap longer than `quiet`: `(source, from, until, n)`.
+def first_seen(keys: Sequence[str], seen: str, out: str) -> Callable[[DataFrame, int], None]:
+    """Batch writer that keeps a capture whose keys no earlier one had, over the whole life of the stream.
 
-    In append mode a stretch comes out once the watermark shows that it is over. The time must
-    be a TIMESTAMP: a watermark cannot be set on TIMESTAMP_NTZ. Stretches are merged in every
-    map task before the shuffle, so a busy source sends few rows.
+    The digests of the keys are a table with a folder for each batch; a batch is joined with those before it, so
+    nothing has to be let go and nothing is held in memory. A repeated batch reads what came before it and writes its
+    own folders again. Of captures with equal keys in one batch one is kept. Null keys are equal to one another.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    return (
-        stream.withWatermark(at, late)
-        .groupBy(source, F.session_window(at, quiet).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(source, F.col("w.start").alias("from"), F.col("w.end").alias("until"), "n")
-    )
-
-
-def dedup(stream: DataFrame, keys: Sequence[str], at: str, late: str = "1 hour") -> DataFrame:
-    """Drop a capture seen again within the watermark."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
-
-
-def expectations(type_col: str, expected: Sequence[tuple[str, str, int]], path: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer that counts each batch by type; `check_totals` judges the sum at the end."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        wanted = [t for t, _, _ in expected]
-        counts = batch.filter(F.col(type_col).isin(*wanted)).groupBy(type_col).agg(F.count(F.lit(1)).alias("n"))
-        rows = counts.withColumn("batch", F.lit(batch_id))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        spark = batch.sparkSession
+        # Columns are told apart by their place, nulls by their absence.
+        of = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{n}") for n, k in enumerate(keys)])), 256))
+        once = batch.withColumn("__key", of).dropDuplicates(["__key"])
+        if batch_id > 0:
+            before = spark.read.schema("__seen binary, batch long").parquet(seen).where(F.col("batch") < batch_id).drop("batch")
+            once = once.join(before, F.col("__key") == F.col("__seen"), "left_anti")
+        once.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        new = spark.read.parquet(f"{out}/batch={batch_id}")
+        new.select(F.col("__key").alias("__seen")).write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
 
     return write
 
 
-def check_totals(spark: SparkSession, path: str, type_col: str, expected: Sequence[tuple[str, str, int]]) -> DataFrame:
-    counted = spark.read.parquet(path).groupBy(type_col).agg(F.sum("n").alias("n"))
-    checks = [
-        F.struct(
-            F.lit(t).alias("type"),
-            F.lit(op).alias("op"),
-            F.lit(n).alias("expected"),
-            F.coalesce(F.sum(F.when(F.col(type_col) == t, F.col("n"))), F.lit(0)).alias("actual"),
-        )
-        for t, op, n in expected
-    ]
-    rows = counted.agg(F.array(*checks).alias("c")).select(F.inline("c"))
-    return judged(rows)
+def placed(stream: DataFrame) -> DataFrame:
+    """Add where a row of a file stream comes from: `__file_at`, `__file`, `__block`. Call it on what `read_stream` gives."""
+    return stream.select(
+        "*",
+        F.col("_metadata.file_modification_time").alias("__file_at"),
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+    )
 
 
-def store_batches(frames: Callable[[DataFrame], dict[str, DataFrame]], base: str, emitted_at: Column | int) -> Callable[[DataFrame, int], None]:
-    """Batch writer into the record store, one run per batch; a repeated batch replaces itself."""
+def number_arrivals(out: str, counts: str, name: str = "arrival") -> Callable[[DataFrame, int], None]:
+    """Batch writer that numbers the captures of a `placed` stream 1, 2, 3, ... in the order of their arrival.
+
+    Order is batch, file (by the time it was written, then by name), place in the file. A batch's number of rows is
+    kept, and the next begins where all before it end; a repeated batch has the same files and writes the same
+    numbers again. Rows are numbered by a range partition, so neither a large file nor a large batch is one task's work.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.write_records(frames(batch), base, f"batch-{batch_id}", emitted_at)
+        spark = batch.sparkSession
+        before = 0
+        if batch_id > 0:
+            earlier = spark.read.schema("n long, batch long").parquet(counts).where(F.col("batch") < batch_id)
+            before = earlier.agg(F.sum("n")).first()[0]
+        # The rows of a block are read in order by one task, so their ids rise with their places.
+        order = ["__file_at", "__file", "__block", "__row"]
+        rows = numbered(batch.withColumn("__row", F.monotonically_increasing_id()), [], order, name)
+        seen = Observation()
+        rows = rows.withColumn(name, F.col(name) + F.lit(before)).drop(*order).observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark.range(1).select(F.lit(seen.get["n"]).cast("long").alias("n")).write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
 
     return write
 
 
-def keep_pages(source: str, page: str, n_items: str, total: str, state: str, out: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer that stops keeping pages of a source once it has its total, or an empty page.
+class Expectations(StreamingQueryListener):
+    """Counts by type of whole runs, from metrics that Spark observes as batches pass: no query of their own.
 
-    The state of a source - items so far, and whether it stopped - is a table with one version
-    per batch; a repeated batch reads the version before it and writes its own again. Within a
-    batch the items of a source are summed by an ordered scan, so no source is bound to one task.
+    `watched` puts the metrics on a stream; each started stream is a run under the name of its query, and the counts
+    of a batch replace those of an earlier try of it. `unmet` judges the runs that have ended.
     """
 
+    METRIC = "gleaner_expectations"
+
+    def __init__(self, expected: Sequence[tuple[str, str, int]]):
+        self.expected = list(expected)
+        self._names: dict[str, str] = {}
+        self._counts: dict[tuple[str, int], list[int]] = {}
+        self._ended: dict[str, threading.Event] = {}
+
+    def watched(self, stream: DataFrame, type_col: str) -> DataFrame:
+        wanted = [F.count(F.when(F.col(type_col) == t, 1)).alias(f"n{k}") for k, (t, _, _) in enumerate(self.expected)]
+        return stream.observe(self.METRIC, *wanted)
+
+    def onQueryStarted(self, event) -> None:
+        self._names[str(event.runId)] = event.name
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.METRIC)
+        if row is not None:
+            self._counts[event.progress.name, event.progress.batchId] = [row[f"n{k}"] for k in range(len(self.expected))]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        name = self._names.get(str(event.runId))
+        self._ended.setdefault(name, threading.Event()).set()
+
+    def run(self, stream: DataFrame, name: str, state: str, out: str) -> None:
+        """Drain a watched stream as the run `name`, and wait until its last metrics are in."""
+        ended = self._ended.setdefault(name, threading.Event())
+        ended.clear()
+        writer = stream.writeStream.queryName(name).option("checkpointLocation", state).trigger(availableNow=True)
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        if not ended.wait(300):
+            raise TimeoutError(f"no end of {name}")
+
+    def unmet(self, spark: SparkSession) -> DataFrame:
+        """run, type, op, expected, actual of every expectation that a run does not meet."""
+        rows = []
+        for run in sorted(self._ended):
+            batches = [n for (name, _), n in self._counts.items() if name == run]
+            total = [sum(n) for n in zip(*batches)] if batches else [0] * len(self.expected)
+            rows += [(run, t, op, n, got) for (t, op, n), got in zip(self.expected, total)]
+        frame = spark.createDataFrame(rows, "run string, type string, op string, expected long, actual long")
+        return judged(frame).where(~F.col("met"))
+
+
+def store_batches(frames: Callable[[DataFrame], dict[str, DataFrame]], base: str, emitted_at: Column | int) -> Callable[[DataFrame, int], None]:
+    """Batch writer into the record store, one run per batch; a repeated batch replaces itself."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = (
-            spark.read.parquet(f"{state}/{batch_id - 1}")
-            if batch_id > 0
-            else spark.createDataFrame([], f"__src {batch.schema[source].dataType.simpleString()}, __had long, __over boolean")
-        )
-        held = batch.join(before, F.col(source).eqNullSafe(F.col("__src")), "left").drop("__src")
-        open_ = held.filter(~F.coalesce("__over", F.lit(False)))
-        seen = running(open_, [source], [page], sums={"__sum": F.col(n_items).cast("long")})
-        counted = seen.withColumn("__sum", F.col("__sum") + F.coalesce("__had", F.lit(0)))
-        stops = (F.col("__sum") >= F.col(total)) | (F.col(n_items) == 0)
-        ended = counted.filter(stops).groupBy(F.col(source).alias("__end")).agg(F.min(page).alias("__stop"))
-        kept = counted.join(ended, F.col(source).eqNullSafe(F.col("__end")), "left").filter(
-            F.col("__stop").isNull() | (F.col(page) <= F.col("__stop"))
-        )
-        kept.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        now = kept.groupBy(F.col(source).alias("__src")).agg(
-            F.max("__sum").alias("__had"), F.bool_or(F.col("__stop").isNotNull()).alias("__over")
-        )
-        both = before.join(now.select(F.col("__src").alias("__s"), F.col("__had").alias("__h"), F.col("__over").alias("__o")),
-                           F.col("__src").eqNullSafe(F.col("__s")), "full_outer")
-        both.select(
-            F.coalesce("__src", "__s").alias("__src"),
-            F.coalesce("__h", "__had").alias("__had"),
-            F.coalesce("__o", "__over").alias("__over"),
-        ).write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        store.write_records(frames(batch), base, f"batch-{batch_id}", emitted_at)
 
     return write
-
