@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.tokens import batched, file_encoder, texts_of
+from gleaner.llm.tokens import batched, file_encoder
 
 MAGIC = b"S8B1"
 HEADER = struct.Struct("<4sIQIII")  # magic, documents, ids, blocks, words, wide ids
@@ -157,9 +157,10 @@ def _framed(batches, vocabulary: str, end: Sequence[int], frame_ids: int, key: p
         return pa.RecordBatch.from_arrays(cols, ["keys", "part", "frame", "n_ids", "image"])
 
     for b in batched(batches):
-        for k, ids in zip(b.column(0).to_pylist(), encode(texts_of(b.column(1)))):
+        ids, at = encode(b.column(1))
+        for k, first, last in zip(b.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
             keys.append(k)
-            held.append(ids + tail)
+            held.append(ids[first:last].tobytes() + tail)
             size += len(held[-1]) // 4
             if size >= frame_ids:
                 yield out()

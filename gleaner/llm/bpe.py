@@ -11,15 +11,17 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gleaner.llm.tokens import Cache, batched, once, texts_of
+from gleaner.llm.tokens import Cache, batched, encoded, once
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 # White space in the pattern's sense, and the contractions, which are tokens of their own.
@@ -31,6 +33,7 @@ APOSTROPHE = ord("'")
 # a space. TWO, ONE: so many letters of a contraction are to come.
 FREE, JOINED, TWO, ONE = 0, 1, 2, 3
 LANES = 256
+SHORT_WORD = 48  # bytes
 
 
 def _function(free: int, joined: int, two: int, one: int) -> int:
@@ -143,6 +146,16 @@ def boundaries(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return out | begin
 
 
+def token_begins(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """`boundaries` over UTF-8 bytes: true at the first byte of each token. `firsts`: where texts begin, with the end of all."""
+    starts = np.nonzero((data & 0xC0) != 0x80)[0]  # of code points
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    out = np.zeros(len(data), bool)
+    texts = firsts[:-1][firsts[:-1] < firsts[1:]]
+    out[starts[boundaries(points, np.searchsorted(starts, texts))]] = True
+    return out
+
+
 class Ranks:
     """A vocabulary of byte strings with ranks, as in a .tiktoken file."""
 
@@ -155,7 +168,7 @@ class Ranks:
         self.flat = np.frombuffer(b"".join(parts), np.uint8)
         self.size = np.array([len(p) for p in parts], np.int64)
         self.begin = np.cumsum(self.size) - self.size
-        self.cache = Cache(lambda ws: [self.merged(w.encode()) for w in ws])
+        self.cache = Cache(lambda ws: zip(ws, map(self.merged, ws)))
 
     def merged(self, word: bytes) -> bytes:
         """Ids of one word: the pair of lowest rank is merged, the leftmost first, until none is in the vocabulary."""
@@ -163,6 +176,8 @@ class Ranks:
         if (r := rank.get(word)) is not None:
             return r.to_bytes(4, "little")
         n = len(word)
+        if n <= SHORT_WORD:
+            return self._merged_short(word)
         # Parts are linked by their places; a heap holds the pairs that may merge.
         end = list(range(1, n + 1))
         prev = list(range(-1, n - 1))
@@ -188,20 +203,31 @@ class Ranks:
         while i < n:
             out.append(rank[word[i : end[i]]])
             i = end[i]
-        return np.array(out, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = "".join(texts)
-        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(lengths)
-        firsts = (ends - lengths)[lengths > 0]
-        at = np.nonzero(boundaries(points, firsts))[0]
-        cuts = at.tolist() + [len(whole)]
-        words = [whole[a:b] for a, b in zip(cuts, cuts[1:])]
-        self.cache.learn([words])
-        split = np.searchsorted(at, ends).tolist()
-        return [self.cache.join(words[a:b]) for a, b in zip([0] + split, split)]
+        return array("I", out).tobytes()
+
+    def _merged_short(self, word: bytes) -> bytes:
+        """The same over plain lists, for words of few bytes."""
+        rank, none = self.rank, len(self.size)
+        of = rank.get
+        cuts = list(range(len(word) + 1))
+        pair = [of(word[i : i + 2], none) for i in range(len(word) - 1)]
+        while pair and (least := min(pair)) < none:
+            i = pair.index(least)
+            del cuts[i + 1], pair[i]
+            if i < len(pair):
+                pair[i] = of(word[cuts[i] : cuts[i + 2]], none)
+            if i:
+                pair[i - 1] = of(word[cuts[i - 1] : cuts[i + 1]], none)
+        return array("I", [rank[word[a:b]] for a, b in zip(cuts, cuts[1:])]).tobytes()
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column's texts, and where each text's begin, with the end of all."""
+        return encoded(column, token_begins, self.cache.ids)
+
+    def each(self, column: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
+        """The ids of each text, with its place in the column."""
+        ids, at = self.encode(column)
+        return ((ids[a:b], i) for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())))
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """The first byte of each token in the decoded text."""
@@ -243,10 +269,10 @@ def encode(docs: DataFrame, text: str, vocabulary: str, ids: str = "ids", offset
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ranks(vocabulary)
         for b in batched(batches):
-            got = r.encode(texts_of(b.column(at)))
-            cols = [pa.array(got, pa.binary())]
+            got = [g for g, _ in r.each(b.column(at))]
+            cols = [pa.array([g.tobytes() for g in got], pa.binary())]
             if offsets:
-                cols.append(pa.array([r.offsets(np.frombuffer(g, "<u4")).astype("<u4").tobytes() for g in got], pa.binary()))
+                cols.append(pa.array([r.offsets(g).astype("<u4").tobytes() for g in got], pa.binary()))
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *names])
 
     return docs.mapInArrow(run, _added(docs, [T.StructField(n, T.BinaryType()) for n in names]))
@@ -265,3 +291,26 @@ def decode(rows: DataFrame, ids: str, vocabulary: str, out: str = "decoded", off
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], [*b.schema.names, out])
 
     return rows.mapInArrow(run, _added(rows, [T.StructField(out, T.BinaryType())]))
+
+
+def transcoded(docs: DataFrame, text: str, vocabulary: str, columns: Mapping[str, tuple[T.DataType, Callable[[np.ndarray, bytes], object]]]) -> DataFrame:
+    """Encode each text, decode its ids again with their offsets, and add what `columns` make of ids and decoded bytes.
+
+    One Python worker a task does all three, and neither ids nor bytes leave it, so this is the way to check or
+    measure an encoding over a large table. As in `encode`, a null or empty text has no ids, rows are alone, columns
+    are kept and new names must be free.
+    """
+    at = docs.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = ranks(vocabulary)
+        kinds = [to_arrow_type(kind) for kind, _ in columns.values()]
+        for b in batched(batches):
+            rows = []
+            for ids, _ in r.each(b.column(at)):
+                back = r.decode(ids, r.offsets(ids))
+                rows.append([make(ids, back) for _, make in columns.values()])
+            made = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *columns])
+
+    return docs.mapInArrow(run, _added(docs, [T.StructField(n, kind) for n, (kind, _) in columns.items()]))

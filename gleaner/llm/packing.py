@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gleaner.llm.tokens import batched, file_encoder, texts_of
+from gleaner.llm.tokens import batched, file_encoder
 
 WIDTH = 4  # bytes of an id
 
@@ -224,8 +224,8 @@ def pack_texts(docs: DataFrame, key: str, text: str, vocabulary: str, end: Seque
     tail = np.array(end, "<u4").tobytes()
 
     def items(b: pa.RecordBatch) -> Iterator[Item]:
-        encode = file_encoder(vocabulary, bare)
-        for k, ids in zip(b.column(0).to_pylist(), encode(texts_of(b.column(1)))):
-            yield Item(k, ids + tail)
+        ids, at = file_encoder(vocabulary, bare)(b.column(1))
+        for k, first, last in zip(b.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+            yield Item(k, ids[first:last].tobytes() + tail)
 
     return docs.select(key, text).mapInArrow(lambda it: _packed(it, items, limits, cut), pieces_schema(docs.schema[key].dataType))

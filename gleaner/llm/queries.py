@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.llm import binary, bpe, chat, jaccard, packing, pii, quality, repair, sharding, toxicity, urls, whiten, winnow
 from gleaner.session import new_path, stored
@@ -179,11 +181,13 @@ def token_output(spark: SparkSession, path: str) -> DataFrame:
 @query("op4_byte_bpe")
 def byte_bpe(spark: SparkSession, path: str) -> DataFrame:
     """Ids of every text by the rank file, and the bytes they decode to, as digests."""
-    v = vocabulary("byte_bpe_50k.tiktoken")
-    out = bpe.encode(documents(spark, path).select("doc_id", "text"), "text", v).drop("text")
-    out = bpe.decode(out, "ids", v, offsets="offsets")
-    n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
-    return out.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    columns = {
+        "n_tokens": (T.LongType(), lambda ids, back: len(ids)),
+        "ids_sha256": (T.StringType(), lambda ids, back: hashlib.sha256(ids.tobytes()).hexdigest()),
+        "decoded_sha256": (T.StringType(), lambda ids, back: hashlib.sha256(back).hexdigest()),
+    }
+    rows = documents(spark, path).select("doc_id", "text")
+    return bpe.transcoded(rows, "text", vocabulary("byte_bpe_50k.tiktoken"), columns).drop("text")
 
 
 @query("op9_winnowing")

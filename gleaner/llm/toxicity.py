@@ -71,19 +71,21 @@ def windows(text: str) -> list[bytes]:
     return [f" {' '.join(w[i : i + WINDOW])} ".encode("utf-8", "surrogatepass") for i in range(0, len(w), WINDOW)]
 
 
-def _compressor(content: bytes) -> zstd.ZstdCompressor:
-    def make():
+def _compressors(model: Model) -> tuple[zstd.ZstdCompressor, zstd.ZstdCompressor]:
+    """Of ordinary and of toxic text."""
+
+    def make(content: bytes) -> zstd.ZstdCompressor:
         d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
         bare = zstd.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS)
         return zstd.ZstdCompressor(dict_data=d, compression_params=bare)
 
-    return once(("zstd", content), make)
+    return once(("zstd", model.ordinary, model.toxic), lambda: (make(model.ordinary), make(model.toxic)))
 
 
 def gains(model: Model, text: str) -> np.ndarray:
     """By how many bytes the toxic dictionary shortens each window beyond the ordinary one."""
-    plain, toxic = _compressor(model.ordinary).compress, _compressor(model.toxic).compress
+    plain, toxic = (c.compress for c in _compressors(model))
     return np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], float)
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -184,21 +185,45 @@ ODD = "'s 'll ''s 's's\n's  's 　's re've I'd x1's <|endoftext|>\x1c!\x85  . 
 
 
 def test_word_caches_equal_whole_texts():
-    from gleaner.llm.tokens import Cache, file_encoder, stretches
+    from gleaner.llm import tokens
 
     random.seed(2)
-    texts = [ODD, LONG, "", "ΣΑΣ Σ. İstanbul ﬁ Å K", *("".join(random.choice(ODD + "ABCDÉ ") for _ in range(60)) for _ in range(300))]
+    texts = [ODD, LONG, "", "ΣΑΣ Σ. aΣ.b a.Σ İstanbul ﬁ Å K", "é. ×. ÷, à\u00a0b \u2003c\u3000 d", *("".join(random.choice(ODD + "ABCDÉéΣ ") for _ in range(60)) for _ in range(300))]
+    column = pa.array([None, *texts, None, ""]).slice(1)
     for name, bare in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
         tok = Tokenizer.from_file(queries.vocabulary(name))
         tok.encode_special_tokens = True
-        got = file_encoder(queries.vocabulary(name), bare)(texts)
-        for t, g in zip(texts, got):
-            assert np.frombuffer(g, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
-    assert "".join(stretches(LONG, 100)) == LONG and len(list(stretches(LONG, 100))) > 500
-    small = Cache(lambda ws: [w.encode() for w in ws], limit=2)
-    for ws in (["a", "b", "c"], ["a", "d"], ["e"], ["a"]):
-        small.learn([ws])
-        assert small.join(ws) == "".join(ws).encode()
+        ids, at = tokens.file_encoder(queries.vocabulary(name), bare)(column)
+        for i, t in enumerate([*texts, "", ""]):
+            assert ids[at[i] : at[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+        assert at[-1] == len(ids)
+        none, at = tokens.file_encoder(queries.vocabulary(name), bare)(pa.array([None, ""], pa.string()))
+        assert len(none) == 0 and at.tolist() == [0, 0, 0]
+
+
+def test_pieces_end_between_words():
+    from gleaner.llm import tokens
+
+    data = np.frombuffer(LONG.encode(), np.uint8)
+    begins = tokens.word_begins(data)
+    begins[0] = True
+    some = list(tokens.pieces(data, begins, 100))
+    assert len(some) > 500 and b"".join(data[a : a + c[-1]].tobytes() for a, c in some) == LONG.encode()
+    assert all((np.diff(c) > 0).all() and begins[a] for a, c in some)
+
+
+def test_caches_are_bounded_by_bytes():
+    from gleaner.llm import tokens
+
+    cache = tokens.Cache(lambda ws: [(w, w * 2) for w in ws], limit=100_000)
+    for k in range(300):
+        words = [f"{k} {i}".encode() for i in range(200)] + [b"common"]
+        assert cache.ids(words) == [w * 2 for w in words]
+        held = sum(len(w) + len(v) + tokens.ENTRY for d in (cache.young, cache.old) for w, v in d.items())
+        assert held <= 2 * (100_000 + 201 * (tokens.ENTRY + 30))
+    first = tokens.once(("kind", 1), object)
+    assert tokens.once(("kind", 1), object) is first and tokens.once(("kind", 2), object) is not first
+    assert sum(key[0] == "kind" for key, _ in tokens._loaded.values()) == 1
 
 
 @pytest.fixture(scope="module")
@@ -214,8 +239,7 @@ def whole():
 @settings(max_examples=200, deadline=None)
 def test_boundaries_by_scan_equal_the_pattern(whole, texts):
     r = bpe.ranks(queries.vocabulary("byte_bpe_50k.tiktoken"))
-    for t, g in zip(texts, r.encode(texts)):
-        ids = np.frombuffer(g, "<u4")
+    for (ids, i), t in zip(r.each(pa.array(texts, pa.string())), texts):
         assert ids.tolist() == whole.encode_ordinary(t)
         assert r.decode(ids) == r.decode(ids, r.offsets(ids)) == t.encode()
 
