@@ -6,7 +6,7 @@ costs at most one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleaner.session import stored, stored_counted
@@ -128,3 +128,100 @@ def closure_from(edges: DataFrame, roots: DataFrame) -> DataFrame:
         frontier, n = stored_counted(new, "closure")
         seen = seen.unionByName(frontier)
     return seen
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """`(node, component)` of every node of `edges(node, next)` that reaches itself; a component is named by its least node.
+
+    Each round first draws chains together: nodes with one way in and one way out are left out by pointer doubling,
+    so a ring or a tail of any length takes log2(length) joins. Then nodes without a way in or out are trimmed off.
+    When neither changes anything, colours spread forward (each node takes the greatest that reaches it) and the node
+    that gave a colour collects, backward, those of its colour that reach it: a component. A round shuffles what edges
+    are left; no pairs of nodes are formed. What was left out of a chain is in a component if both ends are in it.
+    """
+    given = stored(edges.where(F.col("node").isNotNull() & F.col("next").isNotNull()).select("node", "next").distinct(), "edges")
+    own = given.where("node = next").select("node")
+    left, n = stored_counted(given.where("node <> next"), "edges")
+    found = own.select("node", F.col("node").alias("root")).limit(0)
+    chains: list[DataFrame] = []
+    while n:
+        left, own, found, drawn = _drawn(left, own, found, chains)
+        heads, tails = left.select(F.col("next").alias("node")).distinct(), left.select(F.col("node").alias("next")).distinct()
+        left, now = stored_counted(left.join(heads, "node", "left_semi").join(tails, "next", "left_semi").select("node", "next"), "edges")
+        if now == n and not drawn:
+            some = stored(_coloured(left), "component")
+            found = found.unionByName(some)
+            gone = some.select("node")
+            rest = left.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "next"), "next", "left_anti")
+            left, now = stored_counted(rest.select("node", "next"), "edges")
+        n = now
+    return _named(found, own, chains)
+
+
+def _drawn(left: DataFrame, own: DataFrame, found: DataFrame, chains: list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Edges without the nodes that have one way in and one way out; loops and whole rings that this shows."""
+    ins = left.groupBy(F.col("next").alias("node")).count().where("count = 1").select("node")
+    outs = left.groupBy("node").count().where("count = 1").select("node")
+    through, n = stored_counted(ins.join(outs, "node"), "through")
+    if not n:
+        return left, own, found, 0
+    ahead = stored(left.join(through, "node", "left_semi").select("node", "next"), "ahead")
+    back = left.join(through.withColumnRenamed("node", "next"), "next", "left_semi").select(F.col("next").alias("node"), F.col("node").alias("next"))
+    to = stored(ends(ahead), "ends")
+    chains.append(stored(to.join(ends(back).withColumnRenamed("end", "start"), "node"), "chain"))
+    rings = _rings(ahead.join(to, "node", "left_anti").select("node", "next"))
+    outer = left.join(through, "node", "left_anti").select(F.col("node").alias("a"), F.col("next").alias("b"))
+    moved = stored(outer.join(to, F.col("b") == F.col("node"), "left").select(F.col("a").alias("node"), F.coalesce("end", "b").alias("next")).distinct(), "moved")
+    loops = moved.where("node = next").select("node")
+    return moved.where("node <> next"), own.unionByName(loops), found.unionByName(rings), n
+
+
+def _rings(jump: DataFrame) -> DataFrame:
+    """`(node, root)` of rings of nodes with one successor each: the least node of each ring, by doubling."""
+    jump, n = stored_counted(jump.withColumn("root", F.col("node")), "ring")
+    reach = 1
+    while reach < n:
+        onward = jump.select(F.col("node").alias("next"), F.col("next").alias("onward"), F.col("root").alias("other"))
+        jump = stored(jump.join(onward, "next").select("node", F.col("onward").alias("next"), F.least("root", "other").alias("root")), "ring")
+        reach *= 2
+    return jump.select("node", "root")
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """`(node, root)`: for each node whose own colour it has, the nodes of that colour that reach it, itself included."""
+    nodes = edges.select("node").unionByName(edges.select(F.col("next").alias("node"))).distinct()
+    colour, changed = stored(nodes.withColumn("colour", F.col("node")), "colour"), 1
+    while changed:
+        brought = edges.join(colour, "node").groupBy(F.col("next").alias("node")).agg(F.max("colour").alias("brought"))
+        new = colour.join(brought, "node", "left").select("node", F.greatest("colour", "brought").alias("now"), (F.col("brought") > F.col("colour")).alias("up"))
+        seen = Observation()
+        new = stored(new.observe(seen, F.count(F.when(F.col("up"), 1)).alias("n")), "colour")
+        colour, changed = new.select("node", F.col("now").alias("colour")), seen.get["n"]
+    far = colour.select(F.col("node").alias("next"), F.col("colour").alias("other"))
+    inside = stored(edges.join(colour, "node").join(far, "next").where("colour = other").select("node", "next"), "inside")
+    frontier, n = stored_counted(colour.where("node = colour").select("node", F.col("colour").alias("root")), "reached")
+    reached = frontier
+    while n:
+        more = inside.join(frontier.withColumnRenamed("node", "next"), "next").select("node", "root").distinct().join(reached, ["node", "root"], "left_anti")
+        frontier, n = stored_counted(more, "reached")
+        reached = reached.unionByName(frontier)
+    return reached
+
+
+def _named(found: DataFrame, own: DataFrame, chains: list[DataFrame]) -> DataFrame:
+    own = stored(own.distinct(), "own")
+    sizes = found.groupBy("root").count().where("count > 1").select("root")
+    several = found.join(sizes, "root", "left_semi").select("node", "root")
+    # A node with a loop of its own is a component if it is in no larger one; one left out of a chain is told there.
+    alone = own.join(several.select("node"), "node", "left_anti")
+    for chain in chains:
+        alone = alone.join(chain.select("node"), "node", "left_anti")
+    found = stored(several.unionByName(alone.select("node", F.col("node").alias("root"))), "found")
+    for chain in reversed(chains):
+        first = found.select(F.col("node").alias("start"), F.col("root").alias("r"))
+        last = found.select(F.col("node").alias("end"), "root")
+        inner = stored(chain.join(first, "start").join(last, "end").where("r = root").select("node", "root"), "inner")
+        loops = chain.select("node").join(own, "node").join(inner.select("node"), "node", "left_anti")
+        found = stored(found.unionByName(inner).unionByName(loops.select("node", F.col("node").alias("root"))), "found")
+    least = found.groupBy("root").agg(F.min("node").alias("component"))
+    return found.join(least, "root").select("node", "component")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.operators.graph import ancestors, closure_from, ends, on_cycle
+from gleaner.operators.graph import ancestors, closure_from, cycles, ends, on_cycle
 from gleaner.operators.iterate import for_each
-from gleaner.session import stored, stored_counted
+from gleaner.session import stored
 
 
 def _parents(types: DataFrame) -> DataFrame:
@@ -121,19 +121,5 @@ def stage_closure(stages: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def cyclic_jobs(stages: DataFrame) -> DataFrame:
-    """Jobs that reach themselves.
-
-    Jobs nothing leads into, or that lead nowhere, cannot be on a cycle; they are trimmed off
-    before the closure is built, which leaves little of a sound registry.
-    """
-    edges, size = stored_counted(stages.select("node", "next").distinct(), "edges")
-    while size:
-        heads, tails = edges.select(F.col("next").alias("node")).distinct(), edges.select(F.col("node").alias("next")).distinct()
-        inner = edges.join(heads, "node", "left_semi").join(tails, "next", "left_semi")
-        edges, left = stored_counted(inner.select("node", "next"), "edges")
-        if left > 0.9 * size:
-            break  # long tails are cheaper to close than to trim one layer at a time
-        size = left
-    loops = closure_from(edges, edges.select("node").distinct())
-    return loops.filter(F.col("root") == F.col("node")).select("node")
-
+    """Jobs that reach themselves, with the cycle they are part of: `(node, component)`, named by its least job."""
+    return cycles(stages)

@@ -274,7 +274,8 @@ def terminal_types(t):
     "compose_cycle",
     """WITH RECURSIVE m AS (SELECT max(s_suppkey) AS k FROM supplier),
       e AS (SELECT s_suppkey AS node, s_suppkey // 2 AS next FROM supplier WHERE s_suppkey > 0 UNION SELECT s_suppkey, s_suppkey // 3 FROM supplier WHERE s_suppkey > 0 UNION SELECT 1, k FROM m),
-      c AS (SELECT node AS root, next AS node FROM e UNION SELECT c.root, e.next FROM c JOIN e ON e.node = c.node) SELECT node FROM c WHERE root = node""",
+      c AS (SELECT node AS root, next AS node FROM e UNION SELECT c.root, e.next FROM c JOIN e ON e.node = c.node)
+    SELECT a.root AS node, min(a.node) AS component FROM c a JOIN c b ON b.root = a.node AND b.node = a.root GROUP BY a.root""",
 )
 def compose_cycle(t):
     back = t.supplier.agg(F.max("s_suppkey").alias("next")).select(F.lit(1).cast("long").alias("node"), "next")

@@ -110,3 +110,44 @@ def test_ends_keep_one_row_for_each_node(spark, monkeypatch):
     got = graph.ends(chain.unionByName(loop)).groupBy("end").count().collect()
     assert [tuple(r) for r in got] == [(0, n)]
     assert len(most) <= 18 and all(d.count() <= n + 4 for d in most[::5])
+
+
+def components_brute(pairs):
+    """Each node on a cycle with the least node that it reaches and that reaches it."""
+    onward = {}
+    for a, b in pairs:
+        onward.setdefault(a, set()).add(b)
+    reach = {}
+    for a in onward:
+        seen, todo = set(), [a]
+        while todo:
+            for b in onward.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach[a] = seen
+    return sorted((a, min(b for b in reach[a] if a in reach.get(b, ()))) for a in reach if a in reach[a])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_random_digraphs(spark, seed):
+
+    rng = random.Random(seed)
+    pairs = []
+    for block in range(6):
+        n = rng.randint(2, 9)
+        pairs += [(block * 20 + rng.randrange(n), block * 20 + rng.randrange(n)) for _ in range(rng.randint(1, 2 * n))]
+        pairs += [(block * 20 + i, block * 20 + i + 1) for i in range(10, 10 + rng.randint(0, 6))]
+        pairs += [(block * 20 + rng.randrange(n), 10 + rng.randrange(110)) for _ in range(rng.randint(0, 2))]
+    e = edges(spark, pairs + [(None, 3), (4, None)])
+    assert sorted(map(tuple, graph.cycles(e).collect())) == components_brute(pairs)
+
+
+def test_a_long_ring_with_long_tails_takes_few_rounds(spark):
+    n = 3000
+    ring = [(i, (i + 1) % n) for i in range(n)]
+    tails = [(100_000 + i, 100_001 + i) for i in range(1500)] + [(101_500, 7), (11, 200_000)] + [(200_000 + i, 200_001 + i) for i in range(1500)]
+    lone = [(300_000 + i, 300_000 + (i + 1) % 500) for i in range(500)]
+    got = sorted(map(tuple, graph.cycles(edges(spark, ring + tails + lone)).collect()))
+    assert got == [(i, 0) for i in range(n)] + [(300_000 + i, 300_000) for i in range(500)]
+    assert graph.cycles(edges(spark, [(1, 2)]).limit(0)).count() == 0
