@@ -14,8 +14,15 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 BLOCK = 512
 
 
+def _plain(text: Column) -> Column:
+    """Marks within a text lose their meaning."""
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
 def _head(role: Column, name: Column) -> Column:
-    named = F.when(role == "user", F.concat(F.lit(" name="), name)).otherwise(F.lit(""))
+    # A name stays on its line, and can neither close the head nor open another.
+    shown = _plain(F.translate(name, "\n\r\x0b\x0c\x85\u2028\u2029", " " * 7))
+    named = F.when(role == "user", F.concat(F.lit(" name="), shown)).otherwise(F.lit(""))
     return F.concat(F.lit(OPEN), role, named, F.lit("\n"))
 
 
@@ -28,14 +35,14 @@ def rotated(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker
 
     A null speaker is the participant `unknown`; a null text is empty; null dialogue ids are one dialogue. A
     dialogue of system turns only has no perspective and gives no row. Turns are taken in the order of number
-    (nulls first), speaker, text; repeated rows are kept. Marks within a text lose their meaning: `<|` becomes
-    `< |`. Columns other than the four named are not read.
+    (nulls first), speaker, text; repeated rows are kept. Marks within a text or a shown name lose their meaning: `<|`
+    becomes `< |`, and line ends in a shown name become spaces. Columns other than the four named are not read.
     """
     said = turns.select(
         F.col(conv).alias("conv_id"),
         F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("name"),
-        F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|"), F.lit("< |")).alias("said"),
+        _plain(F.coalesce(F.col(text), F.lit(""))).alias("said"),
     )
     parties = said.where(F.col("name") != system).select(F.col("conv_id").alias("_conv"), F.col("name").alias("perspective")).distinct()
     role = F.when(F.col("name") == system, F.lit("system")).when(F.col("name") == F.col("perspective"), F.lit("assistant")).otherwise(F.lit("user"))
