@@ -1,8 +1,9 @@
 """Toxicity by compression distance: two zstandard dictionaries, and the windows of a text under each.
 
 One dictionary is trained on ordinary text. The other has the same bytes but for a stretch at its far end, trained on
-what the first does not know of toxic text: words that recur in several surroundings there and are in no ordinary
-sample. So a window is as long under both unless toxic matter shortens it, and the difference is its gain. A text's
+what is telling of toxic text: words far more frequent there than in ordinary text, in several surroundings. So a
+window is as long under both unless toxic matter shortens it, and the difference is its gain. (Two dictionaries trained
+apart, each on its whole texts, differ more by which ordinary words they happen to hold than by toxic ones.) A text's
 gains (greatest, second, mean, share of high ones) give a score by a logistic model, fitted on labelled texts that
 neither dictionary has seen and weighted to the share of toxic labels, so that scores are probabilities.
 """
@@ -31,18 +32,22 @@ ORDINARY_BYTES, TOXIC_BYTES = 32768, 2048
 SEGMENT = 32  # bytes that training takes at once: some words
 TABLES = 512  # a trained dictionary begins with tables that are of no use as content
 HIGH = 3  # bytes of gain
+CHUNK = 256  # bytes of an ordinary sample
+RATIO = 32  # by how much a word must be more frequent among toxic texts
 
 
 @dataclass(frozen=True)
 class Bounds:
     """Of the labelled sample that a model is fitted on: texts of each class for the dictionaries and for the scores,
-    and the longest text that it takes, in bytes. Nothing else is bounded."""
+    the longest text that it takes, and how much ordinary text zstandard trains on, both in bytes. Nothing else is
+    bounded, so the driver gets 180 MB of text at most."""
 
     toxic: int = 2000
     ordinary: int = 6000
     toxic_scored: int = 1000
     ordinary_scored: int = 2000
-    text_bytes: int = 32768
+    text_bytes: int = 16384
+    train_bytes: int = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -101,48 +106,56 @@ def features(model: Model, texts: Sequence[str]) -> np.ndarray:
     return out
 
 
-def residue(toxic: Sequence[str], known: set[str]) -> list[bytes]:
-    """What training gets of each toxic text: its words that no ordinary text has and that recur.
+def telling(toxic: Sequence[str], ordinary: Sequence[str]) -> list[bytes]:
+    """What training gets of each toxic text: its words that are far more frequent among toxic texts than among ordinary ones.
 
-    A word must follow several different words: copies of one text repeat its words in one surrounding only.
+    Rates are of texts, so an ordinary text that quotes a word, or a wrong label, takes little away. A word must also
+    follow several different words: copies of one text repeat its words in one surrounding only.
     """
-    after = defaultdict(set)
+    after, rate, common = defaultdict(set), defaultdict(int), defaultdict(int)
     for t in toxic:
-        last = ""
-        for w in words(t):
-            if w not in known:
-                after[w].add(last)
+        last, ws = "", words(t)
+        for w in ws:
+            after[w].add(last)
             last = w
+        for w in set(ws):
+            rate[w] += 1
+    for t in ordinary:
+        for w in set(words(t)):
+            common[w] += 1
     least = max(4, math.ceil(0.0025 * len(toxic)))
-    kept = {w for w, before in after.items() if len(before) >= least}
+    far = lambda w: rate[w] * max(1, len(ordinary)) > RATIO * common[w] * len(toxic)
+    kept = {w for w, before in after.items() if len(before) >= least and far(w)}
     out = [" ".join(dict.fromkeys(w for w in words(t) if w in kept)) for t in toxic]
     return [f" {s} ".encode() for s in out if s]
 
 
 def _trained(size: int, samples: list[bytes], **how) -> bytes:
-    """A dictionary's bytes; of samples too few to train on, their own last bytes."""
-    try:
-        got = zstd.train_dictionary(size + TABLES, samples, **how).as_bytes()
-    except zstd.ZstdError:
-        got = b"".join(samples)
-    return got[-size:]
-
-
-def train(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
-    """The two dictionaries; none if there is no residue."""
-    known = {w for t in ordinary for w in words(t)}
-    new = residue(toxic, known)
+    """A dictionary's bytes; samples that fit into one whole are that dictionary, as there is nothing to choose."""
+    if sum(map(len, samples)) <= size:
+        return b"".join(samples)
+    return zstd.train_dictionary(size + TABLES, samples, **how).as_bytes()[-size:]
+
+
+def train(toxic: Sequence[str], ordinary: Sequence[str], train_bytes: int = Bounds.train_bytes) -> Model | None:
+    """The two dictionaries; none if no word is telling."""
+    new = telling(toxic, ordinary)
     if not new:
         return None
-    joined = [" ".join(words(t)).encode() for t in ordinary[: len(ordinary) // 2 or 1]]
-    plain = [t[i : i + 256] for t in joined for i in range(0, len(t), 256)]
+    joined = [" ".join(words(t)).encode() for t in ordinary]
+    plain = [t[i : i + CHUNK] for t in joined for i in range(0, len(t), CHUNK)]
     np.random.default_rng(1).shuffle(plain)
-    base = _trained(ORDINARY_BYTES + TOXIC_BYTES, plain[:30_000])
-    own = _trained(TOXIC_BYTES, new, k=SEGMENT, d=6, f=20, accel=1, steps=1)
+    base = _trained(ORDINARY_BYTES + TOXIC_BYTES, plain[: max(1, train_bytes // CHUNK)])
+    lists = [f" {' '.join(w)} ".encode() for s in new for w in _grouped(s.decode().split(), 8)]
+    own = _trained(TOXIC_BYTES, lists, k=SEGMENT, d=6, f=20, accel=1, steps=1)
     # The stretch that is exchanged is the farthest and least useful one.
     return Model(base, own + base[len(own) :])
 
 
+def _grouped(items: list, size: int) -> Iterator[list]:
+    return (items[i : i + size] for i in range(0, len(items), size))
+
+
 def calibrated(model: Model, texts: Sequence[str], labels: Sequence[int], share: float) -> Model:
     """Weights by Newton steps on the logistic loss, each class weighted to its share, with a small ridge."""
     x, y = features(model, texts), np.array(labels, float)
@@ -165,11 +178,12 @@ def calibrated(model: Model, texts: Sequence[str], labels: Sequence[int], share:
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, learn: Column, bounds: Bounds = Bounds()) -> Model:  # noqa: B008
     """Fit on the labelled rows where `learn` (over `labels`) is true.
 
-    The sample is bounded by `bounds`: rows of each class with the least hashes of their keys. Null keys, labels and
-    texts are left out, a key labelled twice counts as toxic if it is once. The share of toxic labels is counted over
-    all of them. Without labels of both classes, or without anything new in toxic text, every score is 0.
+    The sample is bounded by `bounds`: rows of each class with the least hashes of their keys. Null keys and texts, and
+    labels other than 0 and 1 are left out, a key labelled twice counts as toxic if it is once. The share of toxic labels is counted over
+    all of them. Without labels of both classes, or without a telling word, every score is 0.
     """
-    rows = labels.where(learn).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label")).where(F.col("_key").isNotNull() & F.col("_label").isNotNull())
+    known = labels.where(learn & F.col(key).isNotNull() & F.col(label).isin(0, 1))
+    rows = known.groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_label"))
     counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
     total = sum(counts.values())
     if not counts.get(1) or counts.get(1) == total:
@@ -183,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, lea
     got = short.join(F.broadcast(picked), F.col("_id") == F.col("_key")).select("_key", "_label", "_text").orderBy(F.xxhash64("_key"), "_text").collect()
     by = {k: [r["_text"] for r in got if r["_label"] == k] for k in (0, 1)}
     cut = {k: max(1, len(v) * a // (a + b)) for (k, v), (a, b) in zip(by.items(), ((bounds.ordinary, bounds.ordinary_scored), (bounds.toxic, bounds.toxic_scored)))}
-    model = train(by[1][: cut[1]], by[0][: cut[0]])
+    model = train(by[1][: cut[1]], by[0][: cut[0]], bounds.train_bytes)
     if model is None:
         return Model(b"", b"")
     rest = [(t, k) for k in (0, 1) for t in by[k][cut[k] :]]
