@@ -41,7 +41,7 @@ parties AS (SELECT DISTINCT conv_id, name AS perspective FROM said WHERE name <>
 heads AS (
   SELECT s.conv_id, perspective, turn, name, said, name = perspective AS own,
     CASE WHEN name = 'system' THEN '<|im_start|>system' WHEN name = perspective THEN '<|im_start|>assistant'
-      ELSE '<|im_start|>user name=' || name END || chr(10) AS head
+      ELSE '<|im_start|>user name=' || replace(translate(name, chr(10) || chr(13) || chr(11) || chr(12) || chr(133) || chr(8232) || chr(8233), '       '), '<|', '< |') END || chr(10) AS head
   FROM said s JOIN parties p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 pieces AS (
   SELECT *, head || said || '<|im_end|>' || chr(10) AS piece,
@@ -95,14 +95,12 @@ FROM b
 def quality_rules(spark: SparkSession, path: str) -> DataFrame:
     """Measures of every document; what the base leaves goes through the cascade, in the order that a sample gives."""
     docs = documents(spark, path).select("doc_id", "text")
-    sample = stored(quality.sample_of(docs), "sample")
-    rules = quality.ordered(sample, quality.text_rules())
+    sample = stored(quality.measured(quality.sample_of(docs)), "sample")
+    rules = quality.ordered(sample, quality.text_rules(have=quality.measures()))
     m = quality.measured(docs)
-    have = {k: F.col(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines")}
-    again = {r.name: r for r in quality.text_rules(have=have)}
     m = m.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(quality.cascade([again[r.name] for r in rules]).isNull())
-    return m.withColumn("kept", kept).drop("text")
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(quality.cascade(rules).isNull())
+    return m.withColumn("kept", kept).drop("text", "n_lines")
 
 
 # crc32 by the byte, over a table that its rule gives.

@@ -52,10 +52,14 @@ def numbered(rows: DataFrame, shard: str, key: str, order: Sequence[str], out: s
 
     Each shard is numbered in 4096 blocks of the key's digest, so no task sorts a whole shard. The one broadcast
     holds a count for each shard and block: 4096 x shards rows at any size of input. Rows alike in `key` and
-    `order` are interchangeable.
+    `order` are interchangeable. All columns are kept; the new name must be free.
     """
+    if out in rows.columns:
+        raise ValueError(f"column exists already: {out}")
     block = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, _BLOCK_HEX)
-    rows = rows.withColumn("_block", block)
+    # The row goes along whole, so its own names cannot meet those used here.
+    kept = rows.columns
+    rows = rows.select(F.struct("*").alias("_all"), *[F.col(c) for c in dict.fromkeys([shard, key, *order])], block.alias("_block"))
     counts = rows.groupBy(F.col(shard).alias("_shard"), F.col("_block").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_shard").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("_shard", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -63,23 +67,28 @@ def numbered(rows: DataFrame, shard: str, key: str, order: Sequence[str], out: s
     return (
         rows.withColumn("_row", F.row_number().over(inside))
         .join(F.broadcast(base), (F.col(shard) == F.col("_shard")) & (F.col("_block") == F.col("_of")))
-        .withColumn(out, (F.col("_base") + F.col("_row") - 1).cast("long"))
-        .drop("_block", "_row", "_shard", "_of", "_base")
+        .select(*[F.col("_all")[c].alias(c) for c in kept], (F.col("_base") + F.col("_row") - 1).cast("long").alias(out))
     )
 
 
 def assign(docs: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
     """Add `shard`, and `grown_shard` for a second list of weights that begins with the first.
 
-    Null keys share one shard; repeated rows stay together. An empty table gives an empty table.
+    Null keys share one shard; repeated rows stay together. An empty table gives an empty table. All columns are
+    kept; the new names must be free.
     """
-    k = F.col(key)
+    if clash := ({"shard"} | ({"grown_shard"} if grown is not None else set())) & set(docs.columns):
+        raise ValueError(f"columns exist already: {sorted(clash)}")
+    k = F.col("_key")
     every = list(grown or weights)
     bids = [f"_bid{i}" for i in range(len(every))]
     if grown is not None and list(grown[: len(weights)]) != list(weights):
         raise ValueError("the grown shards must begin with the present ones")
-    out = reduce(lambda d, i: d.withColumn(bids[i], bid(k, i, every[i])), range(len(every)), docs)
+    kept = docs.columns
+    start = docs.select(F.struct("*").alias("_all"), F.col(key).alias("_key"))
+    out = reduce(lambda d, i: d.withColumn(bids[i], bid(k, i, every[i])), range(len(every)), start)
     out = out.withColumn("shard", winner([F.col(b) for b in bids[: len(weights)]]))
     if grown is not None:
         out = out.withColumn("grown_shard", winner([F.col(b) for b in bids]))
-    return out.drop(*bids)
+    new = ["shard"] + (["grown_shard"] if grown is not None else [])
+    return out.select(*[F.col("_all")[c].alias(c) for c in kept], *new)

@@ -292,3 +292,78 @@ def test_clean_documents_stay(spark):
     got = d.join(labels, "doc_id").select("quality", quality.cascade(rules).isNull().alias("kept")).groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share"))
     share = {r["quality"]: r["share"] for r in got.collect()}
     assert share[1] > 0.95 and share[0] < 0.1
+
+
+def test_a_few_wrong_labels_cost_little(spark):
+    rows = toxic_corpus(900)
+    labelled = [(i, t, y) for i, t, y in rows if i % 4 != 2]
+    held = [(t, y) for i, t, y in rows if i % 4 == 2]
+    toxic = [t for _, t, y in labelled if y]
+    plain = [t for _, t, y in labelled if not y]
+    found = []
+    for wrong in (0, 3):
+        half = len(toxic) // 2
+        model = toxicity.train(toxic[wrong:half], plain[: len(plain) // 2] + toxic[:wrong])
+        rest = [(t, 1) for t in toxic[half:]] + [(t, 0) for t in plain[len(plain) // 2 :]]
+        model = toxicity.calibrated(model, [t for t, _ in rest], [y for _, y in rest], len(toxic) / len(labelled))
+        scores = model.scores([t for t, _ in held])
+        found.append(np.mean([s >= 0.3 for s, (_, y) in zip(scores, held) if y]))
+    assert found[0] > 0.85 and found[1] > found[0] - 0.1
+
+
+def test_little_text_needs_no_training():
+    few = [b" some words "]
+    assert toxicity._trained(100, few) == few[0]
+    assert toxicity.telling(["a b c"], ["a b c"]) == []
+
+
+def test_query_rows_by_hand(spark):
+    """The contract's columns of op2, op4, op6 and op7, recomputed from the table."""
+    import hashlib
+    import zlib
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rows = {r["doc_id"]: r["text"] or "" for r in queries.documents(spark, SF).collect()}
+    tok = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    ids = {k: tok.encode(t, add_special_tokens=False).ids + [2] for k, t in rows.items()}
+    parts, bins = defaultdict(list), defaultdict(list)
+    for r in queries.QUERIES["op2_packing"](spark, SF).collect():
+        parts[r["doc_id"]].append((r["start"], r["length"]))
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]])
+    for spans, ends in ((parts, {k: len(v) for k, v in ids.items()}), (bins, None)):
+        for k, v in spans.items():
+            at = 0
+            for start, n in sorted(v):
+                assert start == at
+                at += n
+            assert at == ends[k] if ends else at <= 4096
+    assert parts.keys() == ids.keys()
+
+    import base64
+
+    import public_tokenizers
+
+    lines = open(queries.vocabulary("byte_bpe_50k.tiktoken"), "rb").read().splitlines()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = queries.QUERIES["op4_byte_bpe"](spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = whole.encode_ordinary(rows[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(want), sha(np.array(want, "<u4").tobytes()), sha(rows[r["doc_id"]].encode()))
+
+    got = queries.QUERIES["op6_toxicity"](spark, SF).collect()
+    assert {r["doc_id"] for r in got} == rows.keys() and len(got) == len(rows)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+
+    for r in queries.QUERIES["op7_pii"](spark, SF).collect():
+        before = rows[r["doc_id"]]
+        assert len(r["text"] or "") == len(before) and r["n_replaced"] == len(r["spans"] or [])
+        assert pii.replaced(r["text"] or "", queries.PII_KEY, True)[0] == before
