@@ -16,17 +16,27 @@ from gleaner.session import stored
 ORACLE_SQL = None
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit. Fitted on labels of what is here, but for the held-out fold."""
-    model = queries.toxicity_model(docs, spark, sf_dir)
-    return toxicity.scored(docs, "text", model, "_score").where(F.col("_score") < queries.TOXIC_FROM).drop("_score")
+    model, score = queries.toxicity_model(docs, spark, sf_dir), free_name(docs, "_score")
+    return toxicity.scored(docs, "text", model, score).where(F.col(score) < queries.TOXIC_FROM).drop(score)
 
 
 def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects; rules are tried in the order that a sample gives."""
-    rules = [*quality.base_rules(), *quality.text_rules()]
-    rules = quality.ordered(stored(quality.sample_of(docs.select("doc_id", "text")), "sample"), rules)
-    return docs.where(quality.cascade(rules).isNull())
+    have = quality.measures()
+    rules = [*quality.base_rules(have=have), *quality.text_rules(have=have)]
+    sample = stored(quality.measured(quality.sample_of(docs.select("text"))), "sample")
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = quality.measured(docs.select(row, "text"))
+    return rows.where(quality.cascade(quality.ordered(sample, rules)).isNull()).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +46,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     2^62), so rows without an id are copies like others, and those of equal text are one document.
     """
     own = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), own))
-    found = stored(jaccard.near_duplicates(keyed, "_key"), "components")
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), own))
+    found = stored(jaccard.near_duplicates(keyed.select(key, "text"), key), "components")
     ids = found.groupBy("id").agg(F.max(F.col("id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n"))
-    odd = stored(ids.where("gone OR n > 1").select("id", "gone"), "odd")
-    once = keyed.join(odd, keyed["_key"] == odd["id"], "left_anti").drop("_key")
-    again = odd.where("NOT gone")
+    odd = stored(ids.where("gone OR n > 1").select(F.col("id").alias(key), "gone"), "odd")
+    once = keyed.join(odd, key, "left_anti").select(*docs.columns)
+    again = odd.where("NOT gone").select(key)
     if again.isEmpty():
         return once
-    rows = keyed.join(again, keyed["_key"] == again["id"], "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return once.unionByName(rows.select("row.*"))
+    rows = keyed.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return once.unionByName(rows.select("_row.*"))
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
