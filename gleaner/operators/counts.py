@@ -40,6 +40,15 @@ def check_counts(records: DataFrame, expected: Sequence[tuple[str, str, int]], t
     return judged(records.agg(F.array(*checks).alias("c")).select(F.inline("c")))
 
 
+def check_counts_by(records: DataFrame, run: str, expected: Sequence[tuple[str, str, int]], type_col: str = "_type") -> DataFrame:
+    """`check_counts` for every run that has records: `(run, type, op, expected, actual, met)`, from one aggregate."""
+    checks = [
+        F.struct(F.lit(t).alias("type"), F.lit(op).alias("op"), F.lit(n).alias("expected"), F.count_if(F.col(type_col) == t).alias("actual"))
+        for t, op, n in expected
+    ]
+    return judged(records.groupBy(run).agg(F.array(*checks).alias("c")).select(run, F.inline("c")))
+
+
 def judged(rows: DataFrame) -> DataFrame:
     """Rows `(type, op, expected, actual)` with whether the expectation is met."""
     met = None

@@ -125,3 +125,23 @@ def column_union(objects: DataFrame, json: str) -> DataFrame:
         .groupBy("field")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def change_log(rows: DataFrame, key: str, version: str, term: str) -> DataFrame:
+    """What every version of an index adds and removes: `(key, version, term, change)`.
+
+    `rows` are the terms of each version of a key, versions being consecutive. A term is added by a version whose
+    predecessor lacks it and removed by one that lacks what its predecessor had; what the last version has stays.
+    """
+    now = rows.select(key, version, term).where(F.col(term).isNotNull()).distinct()
+    before = now.select(key, (F.col(version) + 1).alias(version), term)
+    present = rows.select(key, version).distinct()
+    added = now.join(before, [key, version, term], "left_anti").withColumn("change", F.lit("add"))
+    removed = before.join(now, [key, version, term], "left_anti").join(present, [key, version], "left_semi")
+    return added.unionByName(removed.withColumn("change", F.lit("remove")))
+
+
+def folded(log: DataFrame, key: str, version: str, term: str, upto: Column | None = None) -> DataFrame:
+    """The index a change log leads to: `(key, term)` whose last change, of those where `upto` holds, is an add."""
+    some = log if upto is None else log.where(upto)
+    return some.groupBy(key, term).agg(F.max_by("change", version).alias("_last")).where("_last = 'add'").select(key, term)

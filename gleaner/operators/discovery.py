@@ -7,11 +7,14 @@ share stays as many rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.ordered import numbered
 from gleaner.operators.publishing import latest
+from gleaner.session import stored
 
 SORTS = ("created_at", "stars", "downloads")
 
@@ -24,9 +27,28 @@ def latest_index(versions: DataFrame, key: Sequence[str], term: str, version: st
     return rows.select(*key, value.alias(term)).filter(F.col(term).isNotNull()).distinct()
 
 
-def discover(index: DataFrame, packages: DataFrame, versions: DataFrame, key: str) -> DataFrame:
-    """Index members with the data of their package and latest version; members lacking either are left out."""
-    return index.join(packages, key).join(latest(versions, [key]).select(key, "version", "recipe"), key)
+def discover(index: DataFrame, packages: DataFrame, versions: DataFrame, key: str, exact: Column | None = None) -> DataFrame:
+    """Index members with the data of their package and latest version; members lacking either are left out.
+
+    `exact` is a test of the latest version's own columns, such as which version of a type it pins: members that pin
+    another are left out.
+    """
+    head = latest(versions, [key])
+    head = head if exact is None else head.where(exact)
+    return index.join(packages, key).join(head.select(key, "version", "recipe"), key)
+
+
+def members_by_author(**kinds: DataFrame) -> DataFrame:
+    """What each author has published, by kind: `(author, kind, member, total)`; each frame is `(author, member)`.
+
+    Totals are counted before the join, so an author with very many members is one row of it.
+    """
+    out = None
+    for kind, df in kinds.items():
+        rows = df.select("author", F.lit(kind).alias("kind"), F.col("member").cast("string").alias("member")).distinct()
+        out = rows if out is None else out.unionByName(rows)
+    totals = out.groupBy("author", "kind").agg(F.count(F.lit(1)).alias("total"))
+    return out.join(totals, ["author", "kind"])
 
 
 def filter_packages(packages: DataFrame, category: str | None = None, query: str | None = None) -> DataFrame:
@@ -46,6 +68,44 @@ def filter_signatures(signatures: DataFrame, output: Column, name: str | None =
     return out.filter(F.contains(F.lower("name"), F.lit(name.lower()))) if name else out
 
 
+@dataclass(frozen=True)
+class Pages:
+    """`rows`: rows with their `page` (from 0), in files sorted by owner and order. `fences`: first and last order value
+    of every page of an owner, and whether another follows."""
+
+    rows: DataFrame
+    fences: DataFrame
+    owner: str
+    order: str
+
+    def page(self, owner, page: int) -> DataFrame:
+        """One page of one owner. Owner and order values bound the read, so files and row groups beyond are skipped."""
+        fence = self.fences.where((F.col("owner") == F.lit(owner)) & (F.col("page") == page)).select("first", "last").first()
+        if fence is None:
+            return self.rows.limit(0)
+        return self.rows.where((F.col(self.owner) == F.lit(owner)) & F.col(self.order).between(fence["first"], fence["last"]))
+
+    def after(self, owner, cursor) -> DataFrame:
+        """The page that begins behind a cursor, the order value of a last row; an unknown cursor is a place like another."""
+        begun = self.fences.where((F.col("owner") == F.lit(owner)) & (F.col("first") > F.lit(cursor))).agg(F.min("page")).first()[0]
+        return self.rows.limit(0) if begun is None else self.page(owner, begun)
+
+
+def paged(rows: DataFrame, owner: str, order: str, size: int) -> Pages:
+    """Cut each owner's rows into pages in ascending `order`, which must be unique for an owner.
+
+    One ordered scan numbers the rows; an owner with a third of all rows spans many blocks of it. The fences, one row
+    for each page, come from partial aggregates.
+    """
+    placed = numbered(rows, [owner], [order], "_n").withColumn("page", F.floor((F.col("_n") - 1) / size)).drop("_n")
+    table = stored(placed.repartitionByRange(owner, order).sortWithinPartitions(owner, order), "pages")
+    ends = table.groupBy(F.col(owner).alias("owner"), "page").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    further = ends.select(F.col("owner").alias("_owner"), (F.col("page") - 1).alias("_page"))
+    more = F.col("owner").eqNullSafe(F.col("_owner")) & (F.col("page") == F.col("_page"))
+    fences = stored(ends.join(further, more, "left").select("owner", "page", "first", "last", F.col("_page").isNotNull().alias("more")), "fences")
+    return Pages(table, fences, owner, order)
+
+
 def sort_packages(packages: DataFrame, by: str, ref: str) -> DataFrame:
     if by not in SORTS:
         raise ValueError(f"unknown sort {by}")

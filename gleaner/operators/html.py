@@ -400,7 +400,11 @@ def parse_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
             if rows:
                 yield flush(batch.schema.types[0], rows)
 
-    return pages.select(key, html).mapInArrow(parse, f"{key} {kind}, page_html binary, page_text binary, nodes array<{NODE}>")
+    whole = pages.select(key, html)
+    parsed = whole.where(F.col(html).isNotNull()).mapInArrow(parse, f"{key} {kind}, page_html binary, page_text binary, nodes array<{NODE}>")
+    # A page without HTML stays a row, of nulls; only such rows are read a second time.
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in parsed.schema.fields[1:]]
+    return parsed.unionByName(whole.where(F.col(html).isNull()).select(key, *absent))
 
 
 def html_nodes(parsed: DataFrame, key: str) -> DataFrame:

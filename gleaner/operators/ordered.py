@@ -179,3 +179,25 @@ def order_statistic(
         .filter(F.col("__pos") - 1 == at(F.col("__size")))
         .select(*keys, F.col(value).alias(name))
     )
+
+
+def as_of(
+    rows: DataFrame, values: DataFrame, key: str, at: str, carry: Sequence[str], row_order: Sequence[str], value_order: Sequence[str], blocks: int | None = None
+) -> DataFrame:
+    """Each row with the latest value of its key at or before its time: a backward as-of join.
+
+    Both sides are laid in one order, values before rows of the same time, and the last value is carried forward over
+    blocks, so a key with a third of all rows is many tasks' work and nothing is matched pair by pair. A row before
+    the first value of its key, or without a time, gets nulls. Of values of one time the last in `value_order` counts;
+    `row_order` makes rows of one time distinct. A value without a time is never met.
+    """
+    other = F.struct(*[F.col(c) for c in rows.columns])
+    mine = rows.select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.lit(1).alias("__side"), other.alias("__row"), F.to_json(F.struct(*row_order)).alias("__tie"))
+    empty = F.lit(None).cast(mine.schema["__row"].dataType)
+    last = F.struct(*[F.col(c) for c in carry])
+    held = values.where(F.col(at).isNotNull()).groupBy(F.col(key).alias("__key"), F.col(at).alias("__at")).agg(F.max_by(last, F.struct(*value_order)).alias("__value"))
+    sides = held.select("__key", "__at", F.lit(0).alias("__side"), empty.alias("__row"), F.lit("").alias("__tie"), "__value").unionByName(
+        mine.withColumn("__value", F.lit(None).cast(held.schema["__value"].dataType))
+    )
+    met = running(sides, ["__key"], ["__at", "__side", "__tie"], last={"__met": F.col("__value")}, blocks=blocks)
+    return met.where("__side = 1").select("__row.*", *[F.col("__met")[c].alias(c) for c in carry])

@@ -145,3 +145,13 @@ def report(**parts: DataFrame) -> DataFrame:
         )
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def report_by_run(**parts: DataFrame) -> DataFrame:
+    """One diagnostics table `(run, kind, detail)`: each part is a table of problems with the `run` they belong to."""
+    out = None
+    for kind, df in parts.items():
+        rest = [c for c in df.columns if c != "run"]
+        rows = df.select("run", F.lit(kind).alias("kind"), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("detail"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

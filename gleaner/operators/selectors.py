@@ -73,7 +73,7 @@ def _nth(nth: Column, arg: str) -> Column:
 
 def _steps(selector: str) -> list[tuple[str, str]]:
     """`a > b c` as [("", "a"), (">", "b"), (" ", "c")]."""
-    tokens = re.findall(r"\s*[>+~]\s*|\s+|(?:\[[^\]]*\]|\([^)]*\)|[^\s>+~\[(])+", selector.strip())
+    tokens = re.findall(r"\s*[>+~]\s*|\s+|(?:\[(?:\"[^\"]*\"|'[^']*'|[^\]])*\]|\([^)]*\)|[^\s>+~\[(])+", selector.strip())
     if "".join(tokens) != selector.strip():
         raise ValueError(f"invalid selector {selector!r}")
     out, link = [], ""
@@ -88,6 +88,23 @@ def _steps(selector: str) -> list[tuple[str, str]]:
     return out
 
 
+def _alternatives(selector: str) -> list[str]:
+    """The parts between commas; a comma in brackets, parentheses or quotes separates nothing."""
+    parts = re.findall(r"(?:\[(?:\"[^\"]*\"|'[^']*'|[^\]])*\]|\([^)]*\)|[^,\[(])+|,", selector)
+    if "".join(parts) != selector:
+        raise ValueError(f"invalid selector {selector!r}")
+    out, last = [], ","
+    for p in parts:
+        if p == "," == last:
+            raise ValueError(f"invalid selector {selector!r}")
+        if p != ",":
+            out.append(p)
+        last = p
+    if last == ",":
+        raise ValueError(f"invalid selector {selector!r}")
+    return out
+
+
 def _bind(value: Column, body) -> Column:
     """`body(value)` with the value computed once per row: a lambda variable is not evaluated again."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -99,7 +116,7 @@ def select(nodes: Column, selector: str, within: Column | None = None) -> Column
     `within` limits the search to one element and what is below it. The element itself can
     match, and nothing above it is seen.
     """
-    chains = [_steps(one) for one in selector.split(",")]
+    chains = [_steps(one) for one in _alternatives(selector)]
     if within is None:
         return _select(nodes, chains, F.lit(0))
     part = F.slice(nodes, within["pre"] + 1, within["last"] - within["pre"] + 1)

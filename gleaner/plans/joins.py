@@ -90,11 +90,15 @@ def status_outer_join(t):
 
 @query(
     "discover_join",
-    f"{VERSIONS_SQL} SELECT output_ref, slug, p_brand AS author, p_type AS category, version FROM latest JOIN part ON p_partkey = slug",
+    f"""{VERSIONS_SQL}, d AS (SELECT output_ref, input_ref, slug, p_brand AS author, p_type AS category, version FROM latest JOIN part ON p_partkey = slug)
+    SELECT output_ref, slug, author, category, version, 'any' AS pinned FROM d UNION ALL SELECT output_ref, slug, author, category, version, '2' FROM d WHERE input_ref = 2""",
 )
 def discover_join(t):
+    """Producers of each type, and those whose latest version pins the second version of its input."""
     index = discovery.latest_index(t.versions, ["slug"], "output_ref")
-    return discovery.discover(index, t.packages, t.versions, "slug").select("output_ref", "slug", "author", "category", "version")
+    of = lambda pinned, exact: discovery.discover(index, t.packages, t.versions, "slug", exact).withColumn("pinned", F.lit(pinned))
+    rows = of("any", None).unionByName(of("2", F.col("input_ref") == 2))
+    return rows.select("output_ref", "slug", "author", "category", "version", "pinned")
 
 
 PINS_SQL = "p AS (SELECT DISTINCT slug, output_ref AS name FROM v)"
@@ -164,9 +168,17 @@ def extends_index(t):
     return discovery.latest_index(rows, ["name"], "parent_pin").select(F.col("parent_pin").alias("parent"), "name")
 
 
-@query("user_index", "SELECT p_brand AS author, p_partkey AS slug FROM part")
+@query(
+    "user_index",
+    """WITH m AS (SELECT p_brand AS author, 'package' AS kind, p_partkey::VARCHAR AS member FROM part
+      UNION SELECT 'a' || s_nationkey, 'type', 'T' || s_suppkey FROM supplier
+      UNION SELECT p_brand, 'type', p_type FROM part)
+    SELECT *, count(*) OVER (PARTITION BY author, kind) AS total FROM m""",
+)
 def user_index(t):
-    return t.packages.select("author", "slug")
+    """Packages and types of each author; a package's category counts as a type its author uses."""
+    types = t.types.select("author", F.col("name").alias("member")).unionByName(t.packages.select("author", F.col("category").alias("member")))
+    return discovery.members_by_author(package=t.packages.select("author", F.col("slug").alias("member")), type=types)
 
 
 @query("category_list", "SELECT DISTINCT p_type AS category FROM part")

@@ -99,21 +99,18 @@ def endpoint_groups(t):
     return matching.endpoint_groups(t.web_captures)
 
 
-@query(
-    "html_nodes",
-    r"""SELECT page_id, 'title' AS tag, 1 AS n FROM pages UNION ALL SELECT page_id, 'h1', 1 FROM pages
-    UNION ALL SELECT page_id, 'li', len(regexp_extract_all(html, '<li>')) FROM pages
-    UNION ALL SELECT page_id, 'a', len(regexp_extract_all(html, '<a ')) FROM pages
-    UNION ALL SELECT page_id, 'p', len(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', ''), '<p>')) FROM pages
-    UNION ALL SELECT page_id, 'br', len(regexp_extract_all(html, '<br>')) FROM pages WHERE contains(html, '<br>')""",
-)
+# Start tags outside scripts and styles, but for those of the document itself, which a fragment of a body has not.
+TAGS_SQL = r"""tags AS (SELECT page_id, lower(unnest(regexp_extract_all(
+      regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<script[^>]*>).*?</script>', '\1', 'gs'), '(<style[^>]*>).*?</style>', '\1', 'gs'),
+      '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages)"""
+
+
+@query("html_nodes", f"WITH {TAGS_SQL} SELECT page_id, tag, CASE WHEN tag = 'b' THEN 1 ELSE count(*) END AS n FROM tags WHERE tag NOT IN ('html', 'head', 'body') GROUP BY 1, 2")
 def html_nodes(t):
-    nodes = html.html_nodes(parsed(t), "page_id")
-    return (
-        nodes.filter(F.col("tag").isin("title", "h1", "li", "a", "p", "br"))
-        .groupBy("page_id", "tag")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """How often each page has each element. Bold text that is not closed begins anew in every paragraph, which start
+    tags do not show, so of `b` it is told that there is some."""
+    n = F.when(F.col("tag") == "b", 1).otherwise(F.count(F.lit(1))).alias("n")
+    return html.html_nodes(parsed(t), "page_id").where("depth > 0").groupBy("page_id", "tag").agg(n)
 
 
 @query(
@@ -212,10 +209,15 @@ def html_first(t):
     )
 
 
-@query("parseHtml", "SELECT page_id, 'html' AS tag, 0 AS depth FROM pages")
+@query(
+    "parseHtml",
+    f"WITH {TAGS_SQL} SELECT page_id, 'html' AS root, 1 + count(tag) FILTER (tag NOT IN ('html', 'head', 'body', 'b')) AS n_nodes, true AS nested FROM pages LEFT JOIN tags USING (page_id) GROUP BY 1",
+)
 def parse_html(t):
-    root = html.first(F.col("nodes"))
-    return parsed(t).select("page_id", root["tag"].alias("tag"), root["depth"].alias("depth"))
+    """The root of every page, the number of its nodes (bold ones apart, see `html_nodes`), and whether each lies inside its parent, one level deeper."""
+    of = lambda n: F.get("nodes", n["parent"])
+    inside = F.forall("nodes", lambda n: (n["depth"] == 0) | ((of(n)["depth"] == n["depth"] - 1) & (of(n)["pre"] < n["pre"]) & (of(n)["last"] >= n["last"])))
+    return parsed(t).select("page_id", html.first(F.col("nodes"))["tag"].alias("root"), F.size(F.filter("nodes", lambda n: n["tag"] != "b")).cast("long").alias("n_nodes"), inside.alias("nested"))
 
 
 @query(

@@ -180,9 +180,26 @@ def stars(t: Tables) -> DataFrame:
     return star_state(star_events(t), "user_id", "package", ["event_id"], F.col("event_type") == "signup")
 
 
-@query("list_stars", f"{STARS_SQL} SELECT user_id, package, event_id FROM stars ORDER BY package, event_id")
+STARS_PER_PAGE = 5
+
+
+def _star_pages_sql(direction: str, owner: str, member: str) -> str:
+    return f"""SELECT '{direction}' AS direction, {owner} AS owner, page, {member} AS member, event_id,
+      CASE WHEN page < max(page) OVER (PARTITION BY {owner}) THEN min(event_id) OVER (PARTITION BY {owner}, page) END AS next_cursor
+    FROM (SELECT *, (row_number() OVER (PARTITION BY {owner} ORDER BY event_id DESC) - 1) // {STARS_PER_PAGE} AS page FROM stars)"""
+
+
+@query("list_stars", f"{STARS_SQL} {_star_pages_sql('by user', 'user_id', 'package')} UNION ALL {_star_pages_sql('of package', 'package', 'user_id')}")
 def list_stars(t):
-    return stars(t).orderBy("package", "event_id")
+    """All pages of what a user starred and of who starred a package, the latest first, with the cursor of the next."""
+    rows, out = stars(t).withColumn("newest", -F.col("event_id")), None
+    for direction, owner, member in (("by user", "user_id", "package"), ("of package", "package", "user_id")):
+        pages = discovery.paged(rows, owner, "newest", STARS_PER_PAGE)
+        fences = pages.fences.select(F.col("owner").alias("_owner"), F.col("page").alias("_page"), F.when(F.col("more"), -F.col("last")).alias("next_cursor"))
+        of = F.col(owner).eqNullSafe(F.col("_owner")) & (F.col("page") == F.col("_page"))
+        one = pages.rows.join(fences, of).select(F.lit(direction).alias("direction"), F.col(owner).alias("owner"), "page", F.col(member).alias("member"), "event_id", "next_cursor")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("star_count", f"{STARS_SQL} SELECT package, count(*) AS stars FROM stars GROUP BY 1")

@@ -108,24 +108,34 @@ def dq_counts(t):
     return quality.count_problems(t.runs.withColumn("counts", wrong), "counts", ["id"], actual)
 
 
+RUN_SQL = "CASE WHEN {0} % 2 = 0 THEN 'even' ELSE 'odd' END"
+
+
 @query(
     "dq_stall_report",
-    r"""SELECT 'unmet expectation' AS kind, 3 AS n UNION ALL SELECT 'unfired rule', 1
-    UNION ALL SELECT 'unmatched capture', count(*) FROM pages WHERE NOT (regexp_matches(url, 'example\.org') OR contains(url, '/en/') OR contains(url, '.html'))
-    UNION ALL SELECT 'null field', 1""",
+    rf"""WITH e AS (SELECT {RUN_SQL.format("user_id")} AS run, event_type FROM events),
+      c AS (SELECT run, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors,
+        count(*) FILTER (event_type = 'refund') AS refunds, count(*) FILTER (event_type = 'signup') AS signups FROM e GROUP BY 1)
+    SELECT run, 'unmet expectation' AS kind, (NOT views > 0)::INT + (NOT clicks >= 1000000000)::INT + (NOT refunds = 0)::INT + (NOT refunds > 0)::INT + (NOT errors <> 5)::INT + (NOT signups <= 1)::INT AS n FROM c
+    UNION ALL SELECT {RUN_SQL.format("page_id")}, 'unmatched capture', count(*) FROM pages WHERE NOT (regexp_matches(url, 'example\.org') OR contains(url, '/en/') OR contains(url, '.html')) GROUP BY 1
+    UNION ALL SELECT {RUN_SQL.format("d.doc_id")}, 'null field', count(*) FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE quality IS NULL GROUP BY 1
+    UNION ALL SELECT 'all', 'unfired rule', 1""",
 )
 def dq_stall_report(t):
+    """What went wrong in each run, by kind; two runs, told by the parity of ids. Rules are shared by all runs."""
+    from gleaner.operators.counts import check_counts_by
     from gleaner.operators.matching import unfired_rules, unmatched_captures
 
-    report = quality.report(
+    run = lambda c: F.when(F.col(c) % 2 == 0, "even").otherwise("odd")
+    report = quality.report_by_run(
         **{
-            "unmet expectation": check_counts(t.events, EXPECTED, "event_type").filter(~F.col("met")),
-            "unfired rule": unfired_rules(t.pages, RULES),
-            "unmatched capture": unmatched_captures(t.pages, RULES).select("page_id", "url"),
-            "null field": quality.nulls_in(t.documents.join(t.labels, "doc_id", "left"), ["quality"]).filter("nulls > 0"),
+            "unmet expectation": check_counts_by(t.events.withColumn("run", run("user_id")), "run", EXPECTED, "event_type").filter(~F.col("met")),
+            "unfired rule": unfired_rules(t.pages, RULES).withColumn("run", F.lit("all")),
+            "unmatched capture": unmatched_captures(t.pages, RULES).select(run("page_id").alias("run"), "page_id", "url"),
+            "null field": t.documents.join(t.labels, "doc_id", "left").where(F.col("quality").isNull()).select(run("doc_id").alias("run"), "doc_id"),
         }
     )
-    return report.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return report.groupBy("run", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

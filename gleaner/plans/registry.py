@@ -58,14 +58,19 @@ def dedup_pub(t):
 
 @query(
     "index_diff",
-    f"""{VERSIONS_SQL}, prior AS (SELECT v.slug, v.output_ref FROM v JOIN latest ON latest.slug = v.slug AND v.version = latest.version - 1),
-      now AS (SELECT slug, output_ref FROM latest)
-    SELECT *, 'add' AS change FROM (FROM now EXCEPT FROM prior) UNION ALL SELECT *, 'remove' FROM (FROM prior EXCEPT FROM now)""",
+    f"""{VERSIONS_SQL}, p AS (SELECT slug, version, output_ref, lag(output_ref) OVER (PARTITION BY slug ORDER BY version) AS prior FROM v)
+    SELECT slug, version, output_ref, 'add' AS change FROM p WHERE prior IS NULL OR prior <> output_ref
+    UNION ALL SELECT slug, version, prior, 'remove' FROM p WHERE prior <> output_ref""",
 )
 def index_diff(t):
-    head = publishing.latest(t.versions, ["slug"])
-    before = head.select("slug", (F.col("version") - 1).alias("version")).join(t.versions, ["slug", "version"])
-    return diff.set_changes(before.select("slug", "output_ref"), head.select("slug", "output_ref"))
+    """The whole change log of the producers' index."""
+    return diff.change_log(t.versions, "slug", "version", "output_ref")
+
+
+@query("index_fold", f"{VERSIONS_SQL}, n AS (SELECT * FROM v WHERE version <= 3) SELECT slug, arg_max(output_ref, version) AS output_ref FROM n GROUP BY slug")
+def index_fold(t):
+    """The producers' index as it was after the third version of each package, folded from its changes."""
+    return diff.folded(diff.change_log(t.versions, "slug", "version", "output_ref"), "slug", "version", "output_ref", F.col("version") <= 3)
 
 
 @query(

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.functions.value import epoch_micros
 from gleaner.operators import quality
 from gleaner.operators.iterate import emit, envelope, for_each, ref
+from gleaner.operators.ordered import as_of
 from gleaner.plans import query
 from gleaner.plans.tables import ORDER_BODY, Tables
 from gleaner.session import new_path
 from gleaner.sources import captures as C
-from gleaner.sources import jsonld, store
+from gleaner.sources import inputs, jsonld, store
 from gleaner.types import Catalog, Enum, Field, RecordType, Ref, check_emit
 
 CATALOG = Catalog.of(
@@ -102,6 +104,41 @@ def read_captures(t):
     )
 
 
+@query(
+    "bad_capture_lines",
+    """WITH l AS (SELECT event_id // 1000 AS file, event_type, event_id, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS line FROM events)
+    SELECT file, line, '{"kind": "http", "seq": ' || event_id AS value FROM l WHERE event_type = 'error'""",
+)
+def bad_capture_lines(t):
+    """Files of a thousand event captures each, torn where an event is an error."""
+    path = new_path(t.spark, "torn")
+    whole = F.to_json(F.struct(F.lit("http").alias("kind"), F.col("event_id").alias("seq"), F.col("props").alias("body")))
+    torn = F.concat(F.lit('{"kind": "http", "seq": '), "event_id")
+    lines = t.events.select("event_id", F.floor(F.col("event_id") / 1000).alias("part"), F.when(F.col("event_type") == "error", torn).otherwise(whole).alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    found = C.bad_lines(t.spark, path)
+    return found.select(F.regexp_extract("file", r"part=(\d+)/", 1).cast("long").alias("file"), "line", "value")
+
+
+@query(
+    "read_inputs",
+    """SELECT n_name AS nation, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON n_nationkey = c_nationkey
+    WHERE c_acctbal > 1000 AND c_mktsegment = 'BUILDING' AND n_regionkey IN (SELECT min(r_regionkey) FROM region UNION SELECT max(r_regionkey) FROM region) GROUP BY 1""",
+)
+def read_inputs(t):
+    """An inputs file with two constants and a list of nations, bound to a job over customers."""
+    path = new_path(t.spark, "inputs")
+    ends = t.region.agg(F.min("r_regionkey").alias("a"), F.max("r_regionkey").alias("b"))
+    listed = t.nation.join(ends, F.col("n_regionkey").isin(F.col("a"), F.col("b"))).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    one = listed.agg(F.sort_array(F.collect_list(F.struct("id", "name"))).alias("nations"))
+    one.select(F.to_json(F.struct(F.lit("BUILDING").alias("segment"), F.lit(1000).alias("least"), "nations")).alias("value")).coalesce(1).write.text(path)
+    given = inputs.constants(inputs.read_inputs(t.spark, path))
+    nations = inputs.table(t.spark, path, "nations", "id long, name string")
+    wanted = t.customer.where((F.col("c_mktsegment") == given["segment"]) & (F.col("c_acctbal") > given["least"]))
+    rows = wanted.join(nations, F.col("c_nationkey") == F.col("id")).groupBy(F.col("name").alias("nation"))
+    return rows.agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
 @query(
     "parse_captures",
     f"SELECT o_orderkey AS seq, 'GET' AS method, {URL} AS url, 'application/json; charset=utf-8' AS content_type FROM orders",
@@ -248,11 +285,20 @@ def load_run_snapshot(t):
     )
 
 
-@query("run_to_store", f"SELECT {RUN_OF} AS run, 'Order' AS type, count(*) AS n FROM orders GROUP BY 1")
+@query(
+    "run_to_store",
+    f"""WITH v AS (SELECT l_partkey AS job, l_shipdate AS published, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS version FROM lineitem),
+      r AS (SELECT {RUN_OF} AS run, l_partkey AS job, make_date({RUN_OF}::INTEGER, 7, 1) AS at, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2)
+    SELECT run, job, 'Line' AS type, n, (SELECT max(version) FROM v WHERE v.job = r.job AND v.published <= r.at) AS version FROM r""",
+)
 def run_to_store(t):
-    history = t.orders.select(F.year("o_orderdate").cast("string").alias("run")).distinct()
-    rows = store.load_records(t.spark, _store(t), "Order", ordered=False).select(F.col("_scheduled_run_id").alias("run"))
-    return history.join(rows.groupBy("run").agg(F.count(F.lit(1)).alias("n")), "run").select("run", F.lit("Order").alias("type"), "n")
+    """What each run stored of a job's records, with the version of the job that was deployed when it ran."""
+    rows = store.load_records(t.spark, _store(t), "Line", ordered=False)
+    held = rows.groupBy(F.col("_scheduled_run_id").alias("run"), F.col("part").alias("job")).agg(F.count(F.lit(1)).alias("n"))
+    runs = held.withColumn("at", epoch_micros(F.make_date(F.col("run").cast("int"), F.lit(7), F.lit(1))))
+    deployed = t.versions.select(F.col("slug").alias("job"), F.col("published_at").alias("at"), "version")
+    met = as_of(runs, deployed, "job", "at", ["version"], ["run"], ["version"])
+    return met.select("run", "job", F.lit("Line").alias("type"), "n", "version")
 
 
 @query(

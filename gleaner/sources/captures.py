@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.session import path_exists
@@ -33,7 +33,7 @@ def read_captures(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     """JSON lines of captures; blank lines are skipped, a missing path is an empty table.
 
     Strict fails on a line that is not JSON. Otherwise such lines come back with their text in
-    `_corrupt_record`, to be split off by `quarantine`.
+    `_corrupt_record`, to be split off by `quarantine`; `bad_lines` tells their files and line numbers.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], CAPTURE)
@@ -44,6 +44,42 @@ def read_captures(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     return lines.select(parsed.alias("c")).select("c.*")
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with `file`, `block` (where their split begins) and `at`, which rises with their place in it."""
+    return spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+
+
+def with_line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add `line`, the number from 1 of a line in its file, to some rows of `placed_lines`.
+
+    Lines are counted by split, splits are summed by file, and a row's place in its split is added: no file is read
+    by one task, and only counts and the rows asked for are shuffled. `lines` must be the frame the rows come from.
+    """
+    splits = lines.groupBy(F.col("file").alias("_file"), F.col("block").alias("_block")).agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (
+        rows.join(starts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+        .withColumn("line", F.col("at") - F.col("_first") + F.col("_before") + 1)
+        .drop("_file", "_block", "_first", "_before", "at", "block")
+    )
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are no captures: `(file, line, value)`; blank lines count but are never bad."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "value string, file string, line long")
+    lines = placed_lines(spark, path)
+    parsed = F.from_json("value", f"{CAPTURE}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+    bad = lines.withColumn("_c", parsed).where((F.trim("value") != "") & F.col(f"_c.{CORRUPT}").isNotNull()).drop("_c")
+    return with_line_numbers(bad, lines)
+
+
 def quarantine(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the lines that could not be read."""
     bad = F.col(CORRUPT).isNotNull()
