@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators.ordered import first_rows
+from gleaner.operators.ordered import first_rows, numbered
 from gleaner.session import path_exists
 
 
@@ -24,12 +24,12 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: Sequence[str], field
     )
     counts = both.groupBy(*key, *fields).agg(F.sum("__b").alias("__b"), F.sum("__a").alias("__a"))
     alike = counts.where("__b > 0 AND __a > 0").groupBy(*key).agg(F.sum(F.least("__a", "__b")).alias("copies"))
-    place = Window.partitionBy(*key).orderBy(*fields)
 
     def rest(n: Column, name: str) -> DataFrame:
-        """The copies that the other side lacks, numbered within their key."""
-        own = counts.where(n > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
-        return own.select(*[F.col(k).alias(f"__{name}_{k}") for k in key], F.row_number().over(place).alias(f"__{name}"), F.struct(*fields).alias(name))
+        """The copies that the other side lacks, numbered within their key by an ordered scan, so that no key is one task's."""
+        own = counts.where(n > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).drop("__a", "__b")
+        placed = numbered(own, key, [*fields, "__copy"], f"__{name}")
+        return placed.select(*[F.col(k).alias(f"__{name}_{k}") for k in key], f"__{name}", F.struct(*fields).alias(name))
 
     old = rest(F.col("__b") - F.col("__a"), "old")
     new = rest(F.col("__a") - F.col("__b"), "new")

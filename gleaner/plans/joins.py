@@ -10,6 +10,8 @@ from gleaner.operators.counts import count_by_type
 from gleaner.plans import query
 from gleaner.plans.paging import VERSIONS_SQL
 from gleaner.plans.tables import Tables
+from gleaner.session import new_path
+from gleaner.sources import lookup
 
 
 def entity_payloads(t: Tables) -> DataFrame:
@@ -60,8 +62,12 @@ def en_label(t):
 
 @query("fn_table", "SELECT s_suppkey, CASE WHEN n_regionkey <> 3 THEN n_name END AS nation FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
 def fn_table(t):
-    table = enrich.entities(entity_payloads(t), "n_nationkey", "json")
+    """A transform that consults an entity source: payloads kept by key range, of which the needed ranges are read."""
+    path = new_path(t.spark, "lookup")
+    lookup.write_lookup(entity_payloads(t), "n_nationkey", path, 5)
     rows = t.supplier.select("s_suppkey", "s_nationkey")
+    source = lookup.read_lookup(t.spark, path, "n_nationkey", 5, "n_nationkey long, json string")
+    table = enrich.entities(lookup.needed(source, "n_nationkey", rows, "s_nationkey"), "n_nationkey", "json")
     return enrich.enrich(rows, "s_nationkey", table, {}).select("s_suppkey", F.col("entity_label").alias("nation"))
 
 

@@ -146,9 +146,9 @@ def topk_per_type(t):
     return first_per_type(t.events.select("event_type", "event_id"), "event_type", ["event_id"])
 
 
-VERSIONS_SQL = """WITH v AS (SELECT l_partkey AS slug, l_returnflag || l_linestatus AS recipe, l_suppkey AS output_ref, l_suppkey % 5 AS input_ref,
+VERSIONS_SQL = """WITH v AS MATERIALIZED (SELECT l_partkey AS slug, l_returnflag || l_linestatus AS recipe, l_suppkey AS output_ref, l_suppkey % 5 AS input_ref,
       row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS version FROM lineitem),
-    latest AS (SELECT * FROM v QUALIFY version = max(version) OVER (PARTITION BY slug))"""
+    latest AS MATERIALIZED (SELECT * FROM v QUALIFY version = max(version) OVER (PARTITION BY slug))"""
 
 
 @query("list_versions", f"{VERSIONS_SQL} SELECT slug, version, recipe FROM v ORDER BY slug, version")

@@ -96,3 +96,36 @@ def test_commas_in_selectors_and_pages_without_html(spark):
     for bad in ("a,", ",a", "a,,b", ""):
         with pytest.raises(ValueError):
             select(F.col("nodes"), bad)
+
+
+def test_lookups_read_the_ranges_they_need(spark):
+    from gleaner.sources import lookup
+
+    path = new_path(spark, "lookup")
+    rows = [(k, f"v{k}") for k in [*range(-30, 60, 3), 1000]]
+    lookup.write_lookup(spark.createDataFrame([*rows, (None, "lost")], "key long, value string"), "key", path, 10)
+    table = lambda: lookup.read_lookup(spark, path, "key", 10, "key long, value string")
+    tests = {
+        "key = 21": lambda k: k == 21,
+        "key IN (0, 21, 1000, 7)": lambda k: k in (0, 21, 1000, 7),
+        "key >= -5 AND key < 30 AND value <> 'v3'": lambda k: -5 <= k < 30 and k != 3,
+        "key > 57 AND key <= 1000": lambda k: 57 < k <= 1000,
+        "key = 3 OR key = 60": lambda k: k in (3, 60),
+        "value = 'v6'": lambda k: k == 6,
+        "key IS NULL": lambda k: False,
+    }
+    for sql, test in tests.items():
+        assert sorted(map(tuple, table().where(sql).collect())) == [r for r in rows if test(r[0])], sql
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan, StringContains
+
+    reader = lookup.LookupReader(path, "key", 10, ["key", "value"])
+    other = StringContains(("value",), "x")
+    assert list(reader.pushFilters([GreaterThan(("key",), -1), LessThan(("key",), 25), other])) == [other]
+    assert [p.folder.rsplit("=", 1)[1] for p in reader.partitions()] == ["0", "1", "2"]
+    assert list(reader.pushFilters([In(("key",), (21, 24, None)), EqualTo(("key",), 21)])) == []
+    assert len(reader.partitions()) == 1 and sum(b.num_rows for b in reader.read(reader.partitions()[0])) == 1
+    asked = spark.createDataFrame([(3,), (18,), (None,)], "k long")
+    assert sorted(r["key"] for r in lookup.needed(table(), "key", asked, "k").collect()) == [3, 6, 9, 12, 15, 18]
+    assert lookup.needed(table(), "key", asked.where("k > 99"), "k").count() == 0
+    plan = table().where("key = 21 AND value = 'v21'")._jdf.queryExecution().executedPlan().toString()
+    assert "= v21" in plan and "= 21" not in plan  # the test of the key is the source's
