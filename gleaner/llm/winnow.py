@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from gleaner.llm.tokens import batched, texts_of
 
+BLOCK_BYTES = 32 << 20
 K, W = 8, 8  # any 15 shared code points are found, so a text of 30 always meets its half-kept edit
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -121,12 +122,14 @@ def chained(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Rows go to blocks by quantiles of the key. The first row of a block is also sent to the block above, with
     `more` = 1, to follow that one's last row; the first row of all follows the last. The keys of those rows are
-    the only thing the driver holds, one for each block; two blocks are made for each shuffle partition. Rows come
-    sorted. Null keys come last; rows of one key go by their text, and are one block's work.
+    the only thing the driver holds, one for each block. There are two blocks for each shuffle partition, or more where
+    that would make them larger than BLOCK_BYTES of text. Rows come sorted. Keys are numbers. Null keys come last; rows of one key go by their text, and are one block's work.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * BLOCK_BYTES)))
+    n = 2 * tasks
     place = F.coalesce(F.col("key").cast("double"), F.lit(-math.inf))
     cuts = docs.select(F.col("key").cast("double").alias("p")).approxQuantile("p", [i / n for i in range(1, n)], 0.1 / n)
     docs = docs.withColumn("_place", place)
@@ -139,7 +142,7 @@ def chained(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.array(F.struct("block", F.lit(0).alias("more")), F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("block"), F.lit(1).alias("more"))))
     )
     out = docs.join(F.broadcast(heads), F.col("key").eqNullSafe(F.col("_top")), "left").select("key", "text", F.explode(dealt).alias("at"))
-    out = out.select("key", "text", "at.block", "at.more").repartition("block")
+    out = out.select("key", "text", "at.block", "at.more").repartition(tasks, "block")
     return out.sortWithinPartitions("block", "more", F.col("key").desc_nulls_last(), "text")
 
 

@@ -387,6 +387,12 @@ def test_next_text_across_blocks_nulls_and_ties(spark):
         want = (len(t), hashlib.sha256(e.encode()).hexdigest(), a.astype("<u4").tobytes(), winnow.likeness(a, b), winnow.likeness(a, c))
         assert want in [(r["n_chars"], r["edited_sha256"], bytes(r["hashes"]), r["near_edited"], r["near_next"]) for r in got[k]]
     assert winnow.compared(docs(spark, []), "doc_id", "text").count() == 0
+    whole = sorted(map(str, winnow.compared(docs(spark, rows), "doc_id", "text").collect()))
+    old, winnow.BLOCK_BYTES = winnow.BLOCK_BYTES, 2000
+    try:  # many more blocks than partitions
+        assert sorted(map(str, winnow.compared(docs(spark, rows), "doc_id", "text").collect())) == whole
+    finally:
+        winnow.BLOCK_BYTES = old
     one = winnow.compared(docs(spark, [(1, "alone " * 50)]), "doc_id", "text").first()
     assert one["near_next"] == 1.0
     assert winnow.fingerprints(docs(spark, ROWS).drop("hashes"), "text").count() == len(ROWS)
