@@ -6,13 +6,16 @@ the source as a filter on the key, so ranges without a wanted key are neither li
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.pandas.types import to_arrow_schema
 
 RANGE = "key_range"
 NAME = "gleaner_lookup"
@@ -29,8 +32,8 @@ class _Range(InputPartition):
 class LookupReader(DataSourceReader):
     """Reads the ranges that the pushed filters on the key leave. Filters on other columns stay with Spark."""
 
-    def __init__(self, path: str, key: str, width: int, columns: Sequence[str]):
-        self.path, self.key, self.width, self.columns = path, key, width, list(columns)
+    def __init__(self, path: str, key: str, width: int, schema: T.StructType):
+        self.path, self.key, self.width, self.schema = path, key, width, schema
         self.least, self.most, self.among = None, None, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -81,7 +84,9 @@ class LookupReader(DataSourceReader):
             if one is not None:
                 test = one if test is None else test & one
         table = ds.dataset(partition.folder, filesystem=fs, format="parquet", exclude_invalid_files=False)
-        yield from table.to_batches(columns=self.columns, filter=test, batch_size=10_000)
+        kind = to_arrow_schema(self.schema)  # files may hold narrower numbers than were asked for
+        for batch in table.to_batches(columns=self.schema.names, filter=test, batch_size=10_000):
+            yield from pa.Table.from_batches([batch]).cast(kind).to_batches()
 
 
 def _opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -96,7 +101,7 @@ class Lookup(DataSource):
         return NAME
 
     def reader(self, schema) -> LookupReader:
-        return LookupReader(self.options["path"], self.options["key"], int(self.options["width"]), schema.names)
+        return LookupReader(self.options["path"], self.options["key"], int(self.options["width"]), schema)
 
 
 def write_lookup(table: DataFrame, key: str, path: str, width: int) -> None:

@@ -103,7 +103,7 @@ def test_lookups_read_the_ranges_they_need(spark):
 
     path = new_path(spark, "lookup")
     rows = [(k, f"v{k}") for k in [*range(-30, 60, 3), 1000]]
-    lookup.write_lookup(spark.createDataFrame([*rows, (None, "lost")], "key long, value string"), "key", path, 10)
+    lookup.write_lookup(spark.createDataFrame([*rows, (None, "lost")], "key int, value string"), "key", path, 10)
     table = lambda: lookup.read_lookup(spark, path, "key", 10, "key long, value string")
     tests = {
         "key = 21": lambda k: k == 21,
@@ -118,7 +118,7 @@ def test_lookups_read_the_ranges_they_need(spark):
         assert sorted(map(tuple, table().where(sql).collect())) == [r for r in rows if test(r[0])], sql
     from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan, StringContains
 
-    reader = lookup.LookupReader(path, "key", 10, ["key", "value"])
+    reader = lookup.LookupReader(path, "key", 10, table().schema)
     other = StringContains(("value",), "x")
     assert list(reader.pushFilters([GreaterThan(("key",), -1), LessThan(("key",), 25), other])) == [other]
     assert [p.folder.rsplit("=", 1)[1] for p in reader.partitions()] == ["0", "1", "2"]
