@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.value import epoch_micros
@@ -49,18 +49,28 @@ def _stream(t: Tables) -> DataFrame:
     return _typed(S.read_stream(t.spark, _folder(t), LIVE, per_batch=2))
 
 
-@query("stream_captures", "SELECT event_id AS seq, event_type AS type, props AS body, row_number() OVER (ORDER BY event_id) AS arrival FROM events")
+@query(
+    "stream_captures",
+    """WITH w AS (SELECT event_id % 3 AS wave, event_type AS type, count(*) AS n, sum(length(props)) AS chars FROM events GROUP BY 1, 2),
+      t AS (SELECT wave, sum(n) AS n FROM w GROUP BY 1), e AS (SELECT wave, n, sum(n) OVER (ORDER BY wave) AS last FROM t)
+    SELECT w.wave, type, w.n, chars::BIGINT AS chars, (last - e.n + 1)::BIGINT AS first, last::BIGINT AS last, true AS rising FROM w JOIN e ON e.wave = w.wave""",
+)
 def stream_captures(t):
-    """Captures come a wave at a time, each wave in the order of `seq`; their numbers go on from wave to wave."""
+    """Captures come in three waves of files. For each wave and type: how many, their bodies' length, the wave's arrival
+    numbers, and whether numbers follow one another without a gap, in the order of `seq`, in every file."""
     live, folder = _live(t), new_path(t.spark, "arriving")
     out, counts, state = (new_path(t.spark, n) for n in ("arrived", "arrival_counts", "arrival_state"))
-    ends = live.agg(F.percentile_approx("seq", [0.3, 0.6])).first()[0] or [0, 0]
-    for wave, part in enumerate((F.col("seq") <= ends[0], (F.col("seq") > ends[0]) & (F.col("seq") <= ends[1]), F.col("seq") > ends[1])):
-        # One file a wave: what it holds is in order, whatever the times of its neighbours.
-        C.write_captures(live.where(part).orderBy("seq").coalesce(1), f"{folder}/wave={wave}")
-        rows = _typed(S.placed(S.read_stream(t.spark, f"{folder}/wave=*", LIVE)))
-        S.drain(rows.select("seq", "type", "body", "__file_at", "__file", "__block"), each=S.number_arrivals(out, counts), state=state)
-    return t.spark.read.parquet(out).select("seq", "type", "body", "arrival")
+    for wave in range(3):
+        C.write_captures(live.where(F.col("seq") % 3 == wave).repartitionByRange("seq").sortWithinPartitions("seq"), f"{folder}/wave={wave}")
+        rows = _typed(S.placed(S.read_stream(t.spark, f"{folder}/wave=*", LIVE))).withColumn("file", F.col("__file"))
+        S.drain(rows.select("seq", "type", "body", "file", "__file_at", "__file", "__block"), each=S.number_arrivals(out, counts), state=state)
+    # A file has as many rows as its writer gave it.
+    before = Window.partitionBy("file").orderBy("seq")
+    got = t.spark.read.parquet(out).withColumn("wave", F.regexp_extract("file", r"wave=(\d)", 1).cast("long"))
+    got = got.withColumn("follows", F.coalesce(F.col("arrival") - F.lag("arrival").over(before) == 1, F.lit(True)))
+    whole = got.groupBy(F.col("wave").alias("_wave")).agg(F.min("arrival").alias("first"), F.max("arrival").alias("last"), F.bool_and("follows").alias("rising"))
+    parts = got.groupBy("wave", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("body")).alias("chars"))
+    return parts.join(whole, F.col("wave") == F.col("_wave")).drop("_wave")
 
 
 @query(
