@@ -174,9 +174,12 @@ def write_tokens(docs: DataFrame, key: str, text: str, vocabulary: str, end: Seq
 
     Keys are dealt by range, each task sorts its own and writes one file; `part` and `frame` order the frames of
     all files. A frame ends with the document that fills it. A null text is empty and has its end; null keys come
-    first; rows of one key go by their text; an empty table gives an empty one. Other columns are not read.
+    first; rows of one key go by their text; an empty table gives an empty one. Other columns are not read. A key is
+    a bigint, an int or a string.
     """
     kind = docs.schema[key].dataType
+    if kind.simpleString() not in ("bigint", "int", "string"):
+        raise ValueError(f"no key of type {kind.simpleString()}")
     rows = docs.select(key, text).repartitionByRange(F.col(key)).sortWithinPartitions(key, text)
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
     out = rows.mapInArrow(lambda it: _framed(it, vocabulary, end, frame_ids, arrow), FRAMES.format(key=kind.simpleString()))

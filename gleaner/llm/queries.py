@@ -59,7 +59,8 @@ FROM firsts GROUP BY conv_id, perspective, part, first
 
 @query("op1_chat_formatting", CHAT_SQL)
 def chat_formatting(spark: SparkSession, path: str) -> DataFrame:
-    """Every dialogue in the eyes of each speaker, with the spans that bear loss as text."""
+    """Every dialogue in the eyes of each speaker, with the spans that bear loss as text. A rendering of more than
+    65,536 code points comes in several rows, cut between turns and numbered by `part`."""
     out = chat.rendered(chat.rotated(spark.read.parquet(f"{path}/conversations.parquet")))
     spans = F.transform("loss", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
     return out.withColumn("loss", F.array_join(spans, ","))

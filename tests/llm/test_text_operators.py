@@ -329,6 +329,8 @@ def test_token_files_read_back_in_order(spark):
             assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == ids
             at += len(ids)
     path = new_path(spark, "tokens")
+    with pytest.raises(ValueError):
+        binary.write_tokens(docs(spark, []).selectExpr("doc_id * 0.5 AS doc_id", "text"), "doc_id", "text", v, [0], path)
     binary.write_tokens(docs(spark, []), "doc_id", "text", v, [0], path)
     assert binary.read_tokens(spark, path).count() == 0
 
