@@ -84,8 +84,8 @@ def test_roles_shuffle_the_pins_once(spark):
     frame = lambda *rows: spark.createDataFrame(rows, "slug long, name long")
     pins = frame((1, 5), (1, 6), (2, 5), (2, 5), (None, 5))
     got = discovery.roles(pins, frame((1, 5), (1, 5)), frame((1, 5), (2, 5)), ["slug", "name"])
+    assert plan_of(got).count("Join ") == 1
     assert sorted(map(tuple, got.collect())) == [(1, 5, "input"), (1, 5, "output"), (2, 5, "output"), (2, 5, "output")]
-    assert plan_of(got).count("Join") == 1
 
 
 @pytest.mark.parametrize("limit", [1, 6, 1000])
@@ -102,3 +102,56 @@ def test_accepted_publishes_of_short_and_long_keys(spark, monkeypatch, limit):
                 want.add((f"{k}.{seq}", state))
     frame = spark.createDataFrame(log, "k long, event string, seq long, base long")
     assert set(map(tuple, publishing.accepted_publishes(frame, "k", "event", "seq", "base").select("event", "made_version").collect())) == want
+
+
+def test_captures_are_read_from_compressed_lines(spark):
+    from gleaner.session import new_path
+    from gleaner.sources import captures as C
+
+    path = new_path(spark, "lines")
+    C.write_captures(spark.range(50).select(F.col("id").alias("seq"), F.lit("http").alias("kind")), path)
+    assert all(r["path"].endswith(".gz") for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    assert C.read_captures(spark, path).count() == 50
+
+
+def test_runs_come_with_captures(spark):
+    from gleaner.plans.sources import line_records
+    from gleaner.plans.tables import Tables
+
+    rows = line_records(Tables(spark, SF), ("run",))
+    assert "Join" not in plan_of(rows) and rows.where("run IS NULL").count() == 0
+
+
+def test_record_ids_move_no_fields(spark, monkeypatch):
+    from gleaner.operators import iterate
+
+    kept = []
+    real = iterate.stored
+    monkeypatch.setattr(iterate, "stored", lambda df, name="": kept.append(df.columns) or real(df, name))
+    driver.queries()["record_id"](spark, SF)
+    assert kept and "fields" not in kept[0]
+
+
+def test_snapshot_counts_without_a_second_look(spark):
+    from gleaner.sources.store import snapshot_by_type
+
+    rows = spark.range(1005).select(F.when(F.col("id") % 5 == 0, "A").otherwise("B").alias("_type"), F.array(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("_order"), F.col("id").cast("string").alias("fields"))
+    got = snapshot_by_type(rows, per_block=100)
+    assert "Range (" not in plan_of(got)
+    want = {k: [r["fields"] for r in rows.where(F.col("_type") == k).orderBy("_order").collect()] for k in "AB"}
+    blocks = got.orderBy("block").collect()
+    for k in "AB":
+        mine = [r for r in blocks if r["_type"] == k]
+        assert [x for r in mine for x in r["records"]] == want[k] and {r["count"] for r in mine} == {len(want[k])}
+
+
+def test_recorded_exchanges_are_laid_by_key_before_sorting(spark, monkeypatch):
+    from gleaner.operators import matching
+
+    monkeypatch.setattr("gleaner.session.TASK_ROWS", 50)
+    captures = spark.range(1000).select(F.col("id").alias("seq"), F.when(F.col("id") >= 0, "get").otherwise("put").alias("method"), F.concat(F.lit("http://a/x?"), F.col("id") % 100).alias("url"), F.col("id").cast("string").alias("body"))
+    requests = spark.range(100).select("id", F.lit("GET").alias("method"), F.concat(F.lit("http://b/x?"), "id").alias("url"))
+    got = matching.replay(requests, captures)
+    plan = plan_of(matching._recorded(captures, ["seq"]))
+    assert "Exchange" not in plan[: plan.rindex("WindowGroupLimit")]
+    assert {r["id"]: r["hit_body"] for r in got.collect()} == {i: str(i) for i in range(100)}
