@@ -72,7 +72,8 @@ def emission_order(t):
 )
 def record_id(t):
     at = F.col("_order")
-    return with_record_ids(envelopes(t)).select(
+    # Ids depend on the order alone, so the fields are not moved with it.
+    return with_record_ids(envelopes(t).select("_type", "_order")).select(
         F.col("_type").alias("type"),
         F.get(at, F.lit(0)).alias("seq"),
         F.coalesce(F.get(at, F.lit(2)) + 1, F.lit(0)).alias("nth"),
