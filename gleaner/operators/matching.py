@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.iterate import for_each
 from gleaner.operators.ordered import first_rows
+from gleaner.session import sized
 
 
 def _hits(url: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -89,6 +90,8 @@ def url_key(url: Column) -> Column:
 
 def _recorded(captures: DataFrame, order: Sequence[str]) -> DataFrame:
     keyed = captures.withColumns({"__method": F.upper("method"), "__url": url_key(F.col("url"))})
+    # Laid by key before they are sorted: bodies are wide, so a sort of whole file splits would spill.
+    keyed = sized(keyed, captures.count(), "__method", "__url")
     kept = [c for c in ("url", "status", "response_headers", "body") if c in captures.columns]
     return first_rows(keyed, ["__method", "__url"], order).select(
         "__method", "__url", *[F.col(c).alias(f"hit_{c}") for c in kept]
