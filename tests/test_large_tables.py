@@ -2,11 +2,12 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from gleaner.operators import diff, discovery, ordered, publishing
+from gleaner.operators import diff, discovery, html, ordered, publishing
 from gleaner.operators.ordered import numbered_by_size, running
 from tests.oracle import compare, connect
 
@@ -155,3 +156,11 @@ def test_recorded_exchanges_are_laid_by_key_before_sorting(spark, monkeypatch):
     plan = plan_of(matching._recorded(captures, ["seq"]))
     assert "Exchange" not in plan[: plan.rindex("WindowGroupLimit")]
     assert {r["id"]: r["hit_body"] for r in got.collect()} == {i: str(i) for i in range(100)}
+
+
+def test_parsed_pages_are_written_in_small_pieces():
+    page = "<p>" + "<b>x</b>" * 5000 + "</p>"
+    batch = pa.RecordBatch.from_pydict({"id": list(range(100)), "page": [page] * 100})
+    out = list(html._parsed(iter([batch]), "id"))
+    assert sum(b.num_rows for b in out) == 100
+    assert max(len(b"".join(b.column("page_html").to_pylist())) for b in out) <= (1 << 20) + len(page)
