@@ -11,7 +11,7 @@ from gleaner.operators.matching import match_rules, url_key
 from gleaner.plans import query
 from gleaner.plans.paging import PAGES_SQL, customer_pages
 from gleaner.plans.tables import Tables
-from gleaner.session import new_path
+from gleaner.session import new_path, stored
 from gleaner.sources import captures as C
 from gleaner.sources import store
 from gleaner.streaming import captures as S
@@ -100,7 +100,7 @@ SETTLE_SQL = f"""WITH e AS (SELECT user_id, epoch_us(ts) AS at_us, lag(epoch_us(
 @query("stream_settle", SETTLE_SQL)
 def stream_settle(t):
     """All stretches, those still open at the end too, and captures that came too late (none: waves are in order of time)."""
-    live, folder = _live(t), new_path(t.spark, "settling")
+    live, folder = stored(_live(t), "timed"), new_path(t.spark, "settling")
     out, state = new_path(t.spark, "settled"), new_path(t.spark, "settle_state")
     ends = live.agg(F.percentile_approx("at_us", [0.25, 0.5, 0.75])).first()[0] or [0, 0, 0]
     wave = F.lit(0)

@@ -1,24 +1,31 @@
 """Operators that keep state for each source, in a RocksDB store beside the stream's checkpoint.
 
-A batch reads and writes the state of the sources that are in it and of those whose timers fire, no other. Rows are
+A call of the state store costs far more than a row, so sources are dealt into a fixed number of groups and a group's
+state is read and written at once. A batch touches the groups of the sources that are in it and those whose timers fire,
+no other. Rows are
 not dropped by the watermark on their way here: the event time goes on as a plain number, so a late row still reaches
 the operator, which puts it aside.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SECOND = 1_000_000
+# Calls of the state store grow with the groups, what a call moves with the sources in one.
+GROUPS = 4096
+# Rows held or sent on at once while a group's rows pass.
+CHUNK = 10_000
 
 
 def with_keyed_state(spark: SparkSession) -> None:
@@ -36,48 +43,101 @@ def merged(stretches: Iterable[tuple[int, int, int]], quiet: int) -> list[tuple[
     return out
 
 
+def _group(source: str, groups: int) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(groups)).cast("int").alias("group")
+
+
+def _columns(source: T.StructField, *numbers: str) -> list[T.StructField]:
+    """Rows of many sources in one: an array for the sources and one for each number."""
+    if isinstance(source.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        raise TypeError(f"a source is a plain value, not {source.dataType.simpleString()}")
+    types = [("source", source.dataType)] + [(n, T.LongType()) for n in numbers]
+    return [T.StructField(n, T.ArrayType(t)) for n, t in types]
+
+
+def _rows(df: DataFrame, *keep: str) -> DataFrame:
+    """Arrays of `_columns` taken apart, beside the columns to keep."""
+    return df.select(*keep, F.inline(F.arrays_zip(*[c for c in df.columns if c not in keep])))
+
+
+def _name(source):
+    """The source as a key of a dictionary: NaN is equal to itself."""
+    return source if source == source else math.nan
+
+
+class _Table:
+    """A group's rows in one value of the state store, which costs by the value rather than by the row."""
+
+    def __init__(self, handle, name: str, columns: list[T.StructField]):
+        self.state = handle.getValueState(name, T.StructType(columns))
+
+    def get(self) -> list[tuple]:
+        had = self.state.get()
+        return list(zip(*had)) if had else []
+
+    def put(self, rows: list[tuple]) -> None:
+        if rows:
+            self.state.update(tuple(map(list, zip(*rows))))
+        else:
+            self.state.clear()
+
+
 class _Settle(StatefulProcessor):
-    """Open stretches of one source. All times are microseconds; timers and the watermark are milliseconds."""
+    """Open stretches of a group of sources. All times are microseconds; timers and the watermark are milliseconds."""
 
-    def __init__(self, quiet: int, grain: int):
-        self.quiet, self.grain = quiet, grain
+    def __init__(self, source: T.StructField, quiet: int, grain: int):
+        self.source, self.quiet, self.grain = source, quiet, grain
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, n long")
+        self.open = _Table(handle, "open", _columns(self.source, "first", "last", "n"))
 
-    def _over(self, stretch: tuple[int, int, int], watermark_ms: int) -> bool:
+    def _out(self, kind: str, rows: list[tuple]) -> Iterator[Row]:
+        if rows:
+            source, first, last, n = map(list, zip(*rows))
+            yield Row(kind=kind, source=source, first=first, last=last, n=n)
+
+    def _close(self, stretches: Iterable[tuple], watermark_ms: int) -> Iterator[Row]:
+        """Give out the stretches that are over and hold the others; a timer is set for the first of them to end."""
         # A row on time can be one grain older than the watermark.
-        return stretch[1] + self.quiet + self.grain < watermark_ms * 1000
+        end = watermark_ms * 1000 - self.quiet - self.grain
+        left = [s for s in stretches if s[2] >= end]
+        yield from self._out("stretch", [s for s in stretches if s[2] < end])
+        self.open.put(left)
+        if left:
+            self.handle.registerTimer((min(s[2] for s in left) + self.quiet + self.grain) // 1000 + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        new = []
+        new: dict[object, list[tuple[int, int, int]]] = {}
+        late: list[tuple] = []
+        n, limit = 0, CHUNK
         for r in rows:
             if (r.slot + 1) * self.grain <= watermark * 1000:
-                yield Row(kind="late", source=key[0], first=r.first, last=r.last, n=r.n)
-            else:
-                new.append((r.first, r.last, r.n))
-                if len(new) > 10_000:
-                    new = merged(new, self.quiet)
+                late.append((r.source, r.first, r.last, r.n))
+                if len(late) >= CHUNK:
+                    yield from self._out("late", late)
+                    late = []
+                continue
+            new.setdefault(_name(r.source), []).append((r.first, r.last, r.n))
+            n += 1
+            if n > limit:
+                new = {s: merged(mine, self.quiet) for s, mine in new.items()}
+                n = sum(map(len, new.values()))
+                limit = max(limit, 2 * n)
+        yield from self._out("late", late)
         if new:
-            had = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-            now = merged([*had, *new], self.quiet)
-            self.open.put(now)
-            for _, last, _ in now:
-                self.handle.registerTimer((last + self.quiet + self.grain) // 1000 + 1)
+            now = []
+            for s, *stretch in self.open.get():
+                if _name(s) in new:
+                    new[_name(s)].append(tuple(stretch))
+                else:
+                    now.append((s, *stretch))
+            now += [(s, *x) for s, mine in new.items() for x in merged(mine, self.quiet)]
+            yield from self._close(now, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        had = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        left = []
-        for s in had:
-            if self._over(s, watermark):
-                yield Row(kind="stretch", source=key[0], first=s[0], last=s[1], n=s[2])
-            else:
-                left.append(s)
-        if len(left) < len(had):
-            self.open.put(left) if left else self.open.clear()
+        yield from self._close(self.open.get(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -104,18 +164,20 @@ def _slots(stream: DataFrame, grain: int) -> DataFrame:
     return stream.mapInArrow(run, out)
 
 
-def settle(stream: DataFrame, source: str, at: str, quiet: int, late: str = "1 hour", grain: int = SECOND) -> DataFrame:
+def settle(stream: DataFrame, source: str, at: str, quiet: int, late: str = "1 hour", grain: int = SECOND, groups: int = GROUPS) -> DataFrame:
     """Stretches of a source with no gap longer than `quiet` microseconds, and captures that came too late.
 
     Rows are (kind, source, first, last, n): `stretch` comes out once the watermark, `late` behind the latest capture,
     shows that nothing can be added to it; `late` are captures, counted by `grain`, that the watermark had passed when
     they came. What is open when a stream ends stays in its state: `settled` reads it. A null source is a source; a
-    capture without a time belongs to no stretch and is `late` at once.
+    capture without a time belongs to no stretch and is `late` at once. A checkpoint keeps the `groups` it was begun with.
     """
     with_keyed_state(stream.sparkSession)
     timed = stream.withWatermark(at, late).select(F.col(source).alias("source"), F.coalesce(F.unix_micros(at), F.lit(-(1 << 62))).alias("at"))
-    kind = T.StructType([T.StructField("kind", T.StringType()), timed.schema["source"], *T._parse_datatype_string("first long, last long, n long").fields])
-    return _slots(timed, grain).groupBy("source").transformWithState(_Settle(quiet, grain), kind, "append", "eventTime")
+    held = timed.schema["source"]
+    kind = T.StructType([T.StructField("kind", T.StringType()), *_columns(held, "first", "last", "n")])
+    slots = _slots(timed, grain).withColumn("group", _group("source", groups)).groupBy("group")
+    return _rows(slots.transformWithState(_Settle(held, quiet, grain), kind, "append", "eventTime"), "kind")
 
 
 @dataclass(frozen=True)
@@ -129,7 +191,7 @@ class Settled:
 def settled(spark: SparkSession, out: str, state: str) -> Settled:
     """What a drained `settle` has written to `out`, and the stretches that its checkpoint `state` still holds open."""
     rows = spark.read.parquet(out)
-    held = state_rows(spark, state, "open").select(F.col("key.source").alias("source"), "list_element.*", F.lit(False).alias("closed"))
+    held = _rows(state_rows(spark, state, "open").select("value.*")).withColumn("closed", F.lit(False))
     closed = rows.where("kind = 'stretch'").select("source", "first", "last", "n", F.lit(True).alias("closed"))
     return Settled(closed.unionByName(held), rows.where("kind = 'late'").drop("kind"))
 

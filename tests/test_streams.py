@@ -144,3 +144,25 @@ def test_merging_in_any_order(quiet):
     times = [rng.randrange(300) for _ in range(80)]
     some = [keyed.merged([(t, t, 1) for t in times[k::5]], quiet) for k in range(5)]
     assert keyed.merged([s for part in some for s in part], quiet) == stretches(times, quiet)
+
+
+def held(spark, state, variable):
+    """Values in the store, however many rows they hold."""
+    return spark.read.format("statestore").option("path", state).option("stateVarName", variable).load().count()
+
+
+def test_sources_of_a_group_share_one_value_of_open_stretches(spark):
+    rng = random.Random(3)
+    folder, out, state = (new_path(spark, n) for n in ("in", "out", "state"))
+    schema, sources = "source double, at_us long", [None, float("nan"), *map(float, range(300))]
+    waves = [[(s, START + (k * 400 + rng.randrange(400)) * MINUTE) for s in sources for _ in range(3)] for k in range(2)]
+    late = [(5.0, START), (float("nan"), START + MINUTE)]
+    for k, rows in enumerate((waves[0], waves[1] + late)):
+        wave(spark, folder, k, rows, schema)
+        stream = S.read_stream(spark, f"{folder}/wave=*", schema).withColumn("at", F.timestamp_micros("at_us"))
+        S.drain(keyed.settle(stream, "source", "at", 60 * MINUTE, groups=4), out=out, state=state)
+    done = keyed.settled(spark, out, state)
+    want = [(str(s), *x) for s in sources for x in stretches([t for rows in waves for r, t in rows if str(r) == str(s)], 60 * MINUTE)]
+    assert sorted((str(r["source"]), r["first"], r["last"], r["n"]) for r in done.stretches.collect()) == sorted(want)
+    assert sorted(str(r["source"]) for r in done.late.collect()) == ["5.0", "nan"]
+    assert held(spark, state, "open") <= 4 < done.stretches.where("NOT closed").count()
