@@ -191,72 +191,74 @@ class Settled:
 def settled(spark: SparkSession, out: str, state: str) -> Settled:
     """What a drained `settle` has written to `out`, and the stretches that its checkpoint `state` still holds open."""
     rows = spark.read.parquet(out)
-    held = _rows(state_rows(spark, state, "open").select("value.*")).withColumn("closed", F.lit(False))
+    held = state_rows(spark, state, "open").select("*", F.lit(False).alias("closed"))
     closed = rows.where("kind = 'stretch'").select("source", "first", "last", "n", F.lit(True).alias("closed"))
     return Settled(closed.unionByName(held), rows.where("kind = 'late'").drop("kind"))
 
 
 def state_rows(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
     """The rows of one state variable of a stopped stream, for its last batch."""
-    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable).load()
+    return _rows(spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable).load().select("value.*"))
 
 
 class _Pages(StatefulProcessor):
-    """Pages of one source in the order of their numbers; those that came early wait."""
+    """Pages of a group of sources in the order of their numbers; those that came early wait."""
 
-    def __init__(self, first: int):
-        self.first = first
+    def __init__(self, source: T.StructField, first: int):
+        self.source, self.first = source, first
 
     def init(self, handle) -> None:
-        self.done = handle.getValueState("done", "next long, items long, over boolean")
-        self.early = handle.getMapState("early", "page long", "n_items long, total long")
+        self.done = _Table(handle, "done", _columns(self.source, "next", "items", "over"))
+        self.early = _Table(handle, "early", _columns(self.source, "page", "n_items", "total"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        at, items, over = self.done.get() if self.done.exists() else (self.first, 0, False)
-        if over:
-            return
-        new: dict[int, tuple] = {}
+        done = {_name(s): x for s, *x in self.done.get()}
+        waiting: dict[object, dict[int, tuple]] = {}
+        for s, page, *what in self.early.get():
+            waiting.setdefault(_name(s), {})[page] = tuple(what)
+        touched, begun = set(), (self.first, 0, 0)
         for r in rows:
-            if r.page is not None and r.page >= at:
-                new.setdefault(r.page, (r.n_items, r.total))
-        begun = at
-        while not over:
-            if at in new:
-                page = new.pop(at)
-            elif self.early.containsKey((at,)):
-                page = tuple(self.early.getValue((at,)))
-                self.early.removeKey((at,))
-            else:
-                break
-            yield Row(source=key[0], page=at)
-            n, total = page[0] or 0, page[1]
-            items += n
-            over = n == 0 or (total is not None and items >= total)
-            at += 1
-        if over:
-            self.early.clear()
-        else:
-            for page, what in new.items():
-                if not self.early.containsKey((page,)):
-                    self.early.updateValue((page,), what)
-        if at > begun:
-            self.done.update((at, items, over))
+            s = _name(r.source)
+            at, _, over = done.get(s, begun)
+            if not over and r.page is not None and r.page >= at:
+                waiting.setdefault(s, {}).setdefault(r.page, (r.n_items, r.total))
+                touched.add(s)
+        kept = []
+        for s in touched:
+            mine = waiting[s]
+            at, items, over = done.get(s, begun)
+            while not over and at in mine:
+                n, total = mine.pop(at)
+                kept.append((s, at))
+                items += n or 0
+                over = int(not n or (total is not None and items >= total))
+                at += 1
+            if over:
+                mine.clear()
+            done[s] = (at, items, over)
+        if kept:
+            source, page = map(list, zip(*kept))
+            yield Row(source=source, page=page)
+            self.done.put([(s, *x) for s, x in done.items()])
+        if touched:
+            self.early.put([(s, page, *x) for s, mine in waiting.items() for page, x in mine.items()])
 
     def close(self) -> None:
         pass
 
 
-def pages(stream: DataFrame, source: str, page: str, n_items: str, total: str, first: int = 1) -> DataFrame:
+def pages(stream: DataFrame, source: str, page: str, n_items: str, total: str, first: int = 1, groups: int = GROUPS) -> DataFrame:
     """The pages (source, page) to keep: in order from `first` until a source has its total, or an empty page.
 
     Pages may come in any order: one that is ahead waits in the state until the gap before it closes, one that came
     before is not kept twice, and of two with one number in a batch either is. Pages after the stop are not kept.
     A null page number is left out; a page without a number of items counts as empty; without a total only an empty
-    page stops.
+    page stops. A checkpoint keeps the `groups` it was begun with.
     """
     with_keyed_state(stream.sparkSession)
     rows = stream.select(
         F.col(source).alias("source"), F.col(page).cast("long").alias("page"), F.col(n_items).cast("long").alias("n_items"), F.col(total).cast("long").alias("total")
     )
-    out = T.StructType([rows.schema["source"], T.StructField("page", T.LongType())])
-    return rows.groupBy("source").transformWithState(_Pages(first), out, "append", "none")
+    held = rows.schema["source"]
+    grouped = rows.withColumn("group", _group("source", groups)).groupBy("group")
+    return _rows(grouped.transformWithState(_Pages(held, first), T.StructType(_columns(held, "page")), "append", "none"))

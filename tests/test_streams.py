@@ -166,3 +166,22 @@ def test_sources_of_a_group_share_one_value_of_open_stretches(spark):
     assert sorted((str(r["source"]), r["first"], r["last"], r["n"]) for r in done.stretches.collect()) == sorted(want)
     assert sorted(str(r["source"]) for r in done.late.collect()) == ["5.0", "nan"]
     assert held(spark, state, "open") <= 4 < done.stretches.where("NOT closed").count()
+
+
+def test_sources_of_a_group_share_one_value_of_pages(spark):
+    rng = random.Random(4)
+    folder, out, state = (new_path(spark, n) for n in ("in", "out", "state"))
+    schema, sources = "source string, page long, n_items long, total long", [None, "", *map(str, range(300))]
+    # Sources end by their total, by an empty page, or wait for a page that never comes.
+    pages = [(s, i, 0 if k % 3 == 1 and i == 4 else 2, 6 if k % 3 == 0 else None) for k, s in enumerate(sources) for i in range(1, 6) if k % 3 != 2 or i != 2]
+    want = [(s, i) for k, s in enumerate(sources) for i in range(1, (4, 5, 2)[k % 3])]
+    rng.shuffle(pages)
+    for k in range(2):
+        wave(spark, folder, k, pages[k::2], schema)
+        S.drain(keyed.pages(S.read_stream(spark, f"{folder}/wave=*", schema), "source", "page", "n_items", "total", groups=4), out=out, state=state)
+    got = [(r["source"], r["page"]) for r in spark.read.parquet(out).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert keyed.state_rows(spark, state, "early").count() == 3 * len(sources[2::3])
+    assert held(spark, state, "done") <= 4 and held(spark, state, "early") <= 4
+    with pytest.raises(TypeError, match="plain value"):
+        keyed.pages(S.read_stream(spark, f"{folder}/wave=*", "source array<long>, page long, n long, total long"), "source", "page", "n", "total")
