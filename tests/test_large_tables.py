@@ -74,6 +74,24 @@ def test_small_groups_are_shuffled_once_and_in_tasks_of_bounded_size(spark, monk
     assert plan_of(out).count("Exchange") == 1 and out.rdd.getNumPartitions() == 20
 
 
+def test_small_groups_are_not_counted_one_by_one(spark, monkeypatch):
+    """However many groups there are, what is shuffled to count them is bounded; a full bucket is looked into."""
+    kept = []
+    real = ordered.stored_counted
+    monkeypatch.setattr(ordered, "BUCKETS", 64)
+    monkeypatch.setattr(ordered, "stored_counted", lambda df, name="": kept.append((name, plan_of(df))) or real(df, name))
+    rows = spark.range(40_000).select(F.when(F.col("id") < 5000, F.lit(None)).otherwise(F.col("id")).alias("k"), "id")
+    few, many = ordered.by_size(rows.where("k IS NOT NULL"), ["k"], 4000)
+    assert few.count() == 35_000 and many is None
+    assert [n for n, _ in kept] == ["full"]
+    few, many = ordered.by_size(rows, ["k"], 4000)
+    assert few.count() == 35_000 and many.count() == 5000 and many.where("k IS NOT NULL").isEmpty()
+    assert [n for n, _ in kept] == ["full", "full", "large"]
+    # Groups that are not large, together in one bucket, stay with the small ones.
+    few, many = ordered.by_size(rows, ["k"], 5000)
+    assert few.count() == 40_000 and many is None
+
+
 def test_latest_keeps_no_row_whole(spark):
     rows = [("a", 1, "x", 5), ("a", 3, None, 6), ("a", 2, "z", 7), (None, 1, "n", 8), ("b", None, "only", 9)]
     versions = spark.createDataFrame(rows, "slug string, version long, recipe string, ref long")
