@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import sized
+
 
 def resolve(children: DataFrame, ref: str, parents: DataFrame, prefix: str = "parent_") -> DataFrame:
     """Children with the fields of the record their reference names; a dangling one has nulls."""
@@ -17,9 +19,14 @@ def resolve(children: DataFrame, ref: str, parents: DataFrame, prefix: str = "pa
     return children.join(target, on, "left").drop("__id", "__ty")
 
 
-def dangling(children: DataFrame, ref: str, parents: DataFrame, type_name: str) -> DataFrame:
-    """Children whose reference is null, of another type, or names no record."""
+def dangling(children: DataFrame, ref: str, parents: DataFrame, type_name: str, rows: int | None = None) -> DataFrame:
+    """Children whose reference is null, of another type, or names no record.
+
+    Given how many children there are at most (`rows`), both sides are laid by reference over tasks of bounded size,
+    whatever the shuffle setting. The parents ask for it: an anti-join is moved below a layout of the children.
+    """
     known = parents.filter(F.col("_type") == type_name).select(F.col("_id").alias("__id"))
+    known = known if rows is None else sized(known, rows, "__id")
     wrong = F.coalesce(F.col(f"{ref}._type") != type_name, F.lit(True))
     key = F.when(~wrong, F.col(f"{ref}._ref"))
     return children.withColumn("__key", key).join(known, F.col("__key") == F.col("__id"), "left_anti").drop("__key")

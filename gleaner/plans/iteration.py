@@ -106,7 +106,7 @@ def ref_integrity(t):
     parents = order_records(t).filter(F.col("status") != "P")
     other = F.struct(F.col("order._ref").alias("_ref"), F.lit("Invoice").alias("_type"))
     lines = line_records(t).withColumn("order", F.when(F.col("qty") >= 50, other).otherwise(F.col("order")))
-    return refs.dangling(lines, "order", parents, "Order").select(F.get("_order", F.lit(0)).alias("seq"), "part")
+    return refs.dangling(lines, "order", parents, "Order", rows=t.lineitem.count()).select(F.get("_order", F.lit(0)).alias("seq"), "part")
 
 
 @query(

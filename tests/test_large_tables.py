@@ -1,6 +1,7 @@
 """What larger tables and odd keys bring: small groups beside large ones, gaps between keys, narrow rows."""
 
 import os
+import re
 
 import pyarrow as pa
 import pytest
@@ -92,6 +93,21 @@ def test_small_groups_are_not_counted_one_by_one(spark, monkeypatch):
     assert few.count() == 40_000 and many is None
 
 
+@pytest.mark.parametrize("name", ["dq_ref", "ref_integrity"])
+def test_references_are_checked_in_tasks_of_bounded_size(spark, monkeypatch, name):
+    """Lines meet orders in a task for every 100 lines, and the rows are the SQL's."""
+    monkeypatch.setattr("gleaner.session.TASK_ROWS", 100)
+    tasks = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = driver.queries()[name](spark, SF)
+        assert re.search(rf"hashpartitioning\(__key#\d+, {tasks}\)", plan_of(got))
+        assert compare(got, connect(SF), driver.oracle_sql()[name]) is None
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_latest_keeps_no_row_whole(spark):
     rows = [("a", 1, "x", 5), ("a", 3, None, 6), ("a", 2, "z", 7), (None, 1, "n", 8), ("b", None, "only", 9)]
     versions = spark.createDataFrame(rows, "slug string, version long, recipe string, ref long")
